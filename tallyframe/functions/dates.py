@@ -11,27 +11,27 @@ from pyspark.sql import functions as F
 from tallyframe.functions.columns import data_type, is_categorical, is_temporal, named
 
 # Candidate formats for string dates, in order of preference: at equal hits the
-# earlier one wins, so month-first beats day-first. Each comes with the shape a
-# text must start with before it is parsed at all; a failed parse is far dearer
-# than a failed regular expression.
+# earlier one wins, so month-first beats day-first. Each comes with the shapes
+# (see ``date_shape``) of the texts it is tried on; a failed parse is far dearer
+# than a comparison of shapes.
 DATE_FORMATS = (
-    ("yyyy-M-d[ H:m[:s[.SSSSSSSSS]]]", r"^\d{4}-\d{1,2}-\d{1,2}( |$)"),
-    ("yyyy-M-d'T'H:m[:s[.SSSSSSSSS]][XXX]", r"^\d{4}-\d{1,2}-\d{1,2}T"),
-    ("yyyy/M/d[ H:m[:s]]", r"^\d{4}/\d{1,2}/\d{1,2}( |$)"),
-    ("M/d/yyyy[ H:m[:s]]", r"^\d{1,2}/\d{1,2}/\d{4}( [0-9:]+)?$"),
-    ("d/M/yyyy[ H:m[:s]]", r"^\d{1,2}/\d{1,2}/\d{4}( [0-9:]+)?$"),
-    ("M/d/yyyy h:m[:s] a", r"^\d{1,2}/\d{1,2}/\d{4} [0-9:]+ [AaPp][Mm]$"),
-    ("M/d/yy[ H:m[:s]]", r"^\d{1,2}/\d{1,2}/\d{2}( |$)"),
-    ("M-d-yyyy[ H:m[:s]]", r"^\d{1,2}-\d{1,2}-\d{4}( |$)"),
-    ("d-M-yyyy[ H:m[:s]]", r"^\d{1,2}-\d{1,2}-\d{4}( |$)"),
-    ("d.M.yyyy[ H:m[:s]]", r"^\d{1,2}\.\d{1,2}\.\d{4}( |$)"),
-    ("yyyyMMdd", r"^\d{8}$"),
-    ("yyyy-M", r"^\d{4}-\d{1,2}$"),
-    ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
-    ("MMMM d, yyyy", r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$"),
-    ("d MMM yyyy", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
-    ("d MMMM yyyy", r"^\d{1,2} [A-Za-z]{3,9} \d{4}$"),
-    ("d-MMM-yyyy", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"),
+    ("yyyy-M-d[ H:m[:s[.SSSSSSSSS]]]", ("Y-d-d", "Y-d-D")),
+    ("yyyy-M-d'T'H:m[:s[.SSSSSSSSS]][XXX]", ("Y-d-dT", "Y-d-DT")),
+    ("yyyy/M/d[ H:m[:s]]", ("Y/d/d", "Y/d/D")),
+    ("M/d/yyyy[ H:m[:s]]", ("d/d/Y", "d/D/Y")),
+    ("d/M/yyyy[ H:m[:s]]", ("d/d/Y", "D/d/Y")),
+    ("M/d/yyyy h:m[:s] a", ("d/d/Yp", "d/D/Yp")),
+    ("M/d/yy[ H:m[:s]]", ("d/d/d", "d/D/d", "d/d/D", "d/D/D")),
+    ("M-d-yyyy[ H:m[:s]]", ("d-d-Y", "d-D-Y")),
+    ("d-M-yyyy[ H:m[:s]]", ("d-d-Y", "D-d-Y")),
+    ("d.M.yyyy[ H:m[:s]]", ("d.d.Y", "D.d.Y")),
+    ("yyyyMMdd", ("YY",)),
+    ("yyyy-M", ("Y-d",)),
+    ("MMM d, yyyy", ("m d, Y", "m D, Y")),
+    ("MMMM d, yyyy", ("m d, Y", "m D, Y")),
+    ("d MMM yyyy", ("d m Y", "D m Y")),
+    ("d MMMM yyyy", ("d m Y", "D m Y")),
+    ("d-MMM-yyyy", ("d-m-Y", "D-m-Y")),
 )
 
 PERIOD_TEXT = re.compile(r"^(\d{4})-(\d{2})$")
@@ -39,16 +39,32 @@ PERIOD_TEXT = re.compile(r"^(\d{4})-(\d{2})$")
 
 def parse_date(text: Column, date_format: str) -> Column:
     """Wall-clock timestamp of a text, NULL where the format does not fit."""
-    parsed = F.try_to_timestamp(text, F.lit(date_format))
-    shape = dict(DATE_FORMATS).get(date_format)
-    if shape is not None:
-        parsed = F.when(text.rlike(shape), parsed)
-    return parsed.cast("timestamp_ntz")
+    return F.try_to_timestamp(text, F.lit(date_format)).cast("timestamp_ntz")
 
 
-def format_hits(text: Column) -> list[Column]:
-    """For each candidate format, how many values it parses (aggregates)."""
-    return [F.count(parse_date(text, date_format)) for date_format, _ in DATE_FORMATS]
+def date_shape(text: Column) -> Column:
+    """Outline of the date in a text, without the time of day.
+
+    Y is four digits, D a number from 13 to 31 (no month), d any other one or two
+    digits, m a word and p the end of a 12-hour time.
+    """
+    shape = F.regexp_replace(text, "[0-9]{4}", "Y")
+    shape = F.regexp_replace(shape, "(?<![0-9])(?:1[3-9]|2[0-9]|3[01])(?![0-9])", "D")
+    shape = F.regexp_replace(shape, "[0-9]{1,2}", "d")
+    shape = F.regexp_replace(shape, "[A-Za-z]{3,}", "m")
+    shape = F.regexp_replace(shape, " [dD]:.* [AaPp][Mm]$", "p")
+    return F.regexp_replace(shape, "(?:(?<=T)| )[dD]:.*", "")
+
+
+def format_hits(text: Column, shape: Column) -> list[Column]:
+    """For each candidate format, how many values it parses (aggregates).
+
+    ``shape`` should be a column made beforehand, so that it is computed once.
+    """
+    return [
+        F.count(F.when(shape.isin(*shapes), parse_date(text, date_format)))
+        for date_format, shapes in DATE_FORMATS
+    ]
 
 
 def best_format(hits: list[Column]) -> Column:
@@ -67,10 +83,9 @@ def best_format(hits: list[Column]) -> Column:
 
 def detect_date_format(df: DataFrame, date_col: str) -> str | None:
     """Format that parses most of a string date column: one job, one row back."""
-    hits = [
-        hit.alias(f"hits_{position}") for position, hit in enumerate(format_hits(named(date_col)))
-    ]
-    counted = df.agg(*hits)
+    texts = df.select(named(date_col).alias("text"), date_shape(named(date_col)).alias("shape"))
+    hits = format_hits(F.col("text"), F.col("shape"))
+    counted = texts.agg(*[hit.alias(f"hits_{position}") for position, hit in enumerate(hits)])
     return counted.select(best_format([F.col(name) for name in counted.columns])).first()[0]
 
 

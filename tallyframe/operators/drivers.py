@@ -11,7 +11,7 @@ from tallyframe.functions.columns import named, present
 from tallyframe.functions.dates import coerce_date, filter_periods, month_of, month_start
 from tallyframe.functions.kpi import check_kpi, kpi_value, role_columns
 from tallyframe.functions.numbers import percent_change, round2
-from tallyframe.operators.trend import MONTH, collect_periods, list_periods
+from tallyframe.operators.trend import MONTH, collect_periods
 from tallyframe.settings import Settings
 
 SEGMENT_COLUMN = "segment_column"
@@ -35,29 +35,34 @@ def segment_drivers(
     current: str | None = None,
     by: Sequence[str] = (),
     periods: Sequence[str] | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
     """KPI of every segment in two months, ascending by change.
 
     The months default to the last two. A segment missing in one month counts
     0.0 there; rows without segment are left out; with fewer than two months in
     the data the result is empty. ``periods`` are the sorted months present;
-    left out, a job over the date column finds them.
+    left out, a job over the date column finds them. ``ordered=False`` saves the
+    sort when the result is processed further.
     """
     rows = coerce_date(df, settings.date_col, settings.date_format)
     labelled = rows.select(
         *base_columns(kpi_name, settings, by), present(rows, segment_col).alias(SEGMENT)
     )
     if periods is None:
-        periods = collect_periods(list_periods(rows, settings))
+        periods = present_periods(rows, settings, previous, current)
     drivers = compare_segments(
         labelled, settings, kpi_name, [*by, SEGMENT], previous, current, periods
     )
-    return drivers.select(
+    drivers = drivers.select(
         *[named(key) for key in by],
         F.lit(segment_col).alias(SEGMENT_COLUMN),
         SEGMENT,
         *DRIVER_VALUES,
-    ).orderBy(*[named(key) for key in by], "absolute_change", SEGMENT)
+    )
+    if not ordered:
+        return drivers
+    return drivers.orderBy(*[named(key) for key in by], "absolute_change", SEGMENT)
 
 
 def drivers_all_segments(
@@ -69,6 +74,7 @@ def drivers_all_segments(
     current: str | None = None,
     by: Sequence[str] = (),
     periods: Sequence[str] | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
     """``segment_drivers`` for several segment columns in one pass over two months.
 
@@ -88,12 +94,29 @@ def drivers_all_segments(
     )
     labelled = rows.select(*base, F.inline(named_segments))
     if periods is None:
-        periods = collect_periods(list_periods(rows, settings))
+        periods = present_periods(rows, settings, previous, current)
     keys = [*by, SEGMENT_COLUMN, SEGMENT]
     drivers = compare_segments(labelled, settings, kpi_name, keys, previous, current, periods)
+    if not ordered:
+        return drivers
     return drivers.orderBy(*[named(key) for key in keys[:-1]], "absolute_change", SEGMENT)
 
 
+def present_periods(
+    rows: DataFrame, settings: Settings, previous: str | None, current: str | None
+) -> list[str]:
+    """Enough of the months present to choose two and to tell that there are two.
+
+    If both months are named and found, only those two months are read.
+    """
+    if previous is not None and current is not None:
+        two_months = filter_periods(rows, settings.date_col, previous, current)
+        found = collect_periods(two_months, settings)
+        if len(found) == 2:
+            return found
+    return collect_periods(rows, settings)
+
+
 def base_columns(kpi_name: str, settings: Settings, by: Sequence[str]) -> list[Column]:
     check_kpi(kpi_name, settings)
     names = dict.fromkeys([*by, settings.date_col, *role_columns(kpi_name, settings)])

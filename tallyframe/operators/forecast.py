@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import named
 from tallyframe.functions.numbers import round2
-from tallyframe.operators.trend import by_period
+from tallyframe.operators.trend import by_period, in_order
 from tallyframe.settings import DEFAULT_FORECAST_STEPS
 
 
@@ -47,14 +47,13 @@ def forecast_kpi(
     if steps < 1:
         fit = fit.filter(F.lit(False))
     step = F.col("__step")
-    return (
-        fit.withColumn("__step", F.explode(F.sequence(F.lit(1), F.lit(max(steps, 1)))))
-        .select(
-            *keys,
-            future_periods(F.col("last_period"), step).alias("period"),
-            round2(F.col("slope") * (F.col("months") + step - 1) + F.col("intercept")).alias(
-                "forecast_value"
-            ),
-        )
-        .orderBy(*keys, "period")
+    future = fit.withColumn(
+        "__step", F.explode(F.sequence(F.lit(1), F.lit(max(steps, 1))))
+    ).select(
+        *keys,
+        future_periods(F.col("last_period"), step).alias("period"),
+        round2(F.col("slope") * (F.col("months") + step - 1) + F.col("intercept")).alias(
+            "forecast_value"
+        ),
     )
+    return in_order(future, by)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +16,12 @@ from tallyframe.functions.columns import (
     is_temporal,
     named,
 )
-from tallyframe.functions.dates import best_format, format_hits
+from tallyframe.functions.dates import (
+    best_format,
+    date_shape,
+    detect_date_format,
+    format_hits,
+)
 from tallyframe.session import durable
 from tallyframe.settings import Settings
 
@@ -27,6 +34,13 @@ ROLE_KEYWORDS = {
     "sql_segment": ("region", "category", "channel", "segment", "product"),
 }
 
+COLUMN_FACTS = (
+    "array<struct<column_no:int,column_name:string,data_type:string,is_numeric:boolean,"
+    "is_categorical:boolean,is_date_like:boolean,is_segment_candidate:boolean,"
+    + ",".join(f"{role}_match:int" for role in ROLE_KEYWORDS)
+    + ">>"
+)
+
 # More than this share of all rows must parse for a string column to be a date.
 DATE_PARSE_RATIO = 0.7
 
@@ -34,30 +48,74 @@ DATE_PARSE_RATIO = 0.7
 MAX_BROADCAST_HASHES = 2_000_000
 
 
-def profile_columns(df: DataFrame, distinct_estimates: bool = False) -> DataFrame:
-    """One row per column, from one aggregation over the table.
-
-    Class flags, missing values, date format with most hits, whether the column
-    is a segment candidate, and for each role its rank among the candidates (1
-    is the suggestion). ``distinct_estimates`` adds ``approx_distinct``.
-    """
+def column_counts(df: DataFrame, distinct_estimates: bool = False) -> DataFrame:
+    """One row of counts behind both profiles: rows, missing values, date format hits."""
+    fields = list(enumerate(df.schema.fields))
+    shaped = df.select(
+        "*",
+        *[
+            date_shape(named(field.name)).alias(f"__shape_{position}")
+            for position, field in fields
+            if maybe_date_text(field)
+        ],
+    )
     measures: list[Column] = [F.count(F.lit(1)).alias("rows")]
-    for position, field in enumerate(df.schema.fields):
+    for position, field in fields:
         measures.append(F.count_if(is_missing(df, field.name)).alias(f"missing_{position}"))
         if maybe_date_text(field):
+            hits = format_hits(named(field.name), F.col(f"__shape_{position}"))
             measures += [
-                hit.alias(f"hits_{position}_{candidate}")
-                for candidate, hit in enumerate(format_hits(named(field.name)))
+                hit.alias(f"hits_{position}_{candidate}") for candidate, hit in enumerate(hits)
             ]
         if distinct_estimates:
             measures.append(distinct_estimate(field).alias(f"distinct_{position}"))
-    counted = df.agg(*measures)
+    return shaped.agg(*measures)
 
-    described = [
-        column_facts(counted, position, field, distinct_estimates)
-        for position, field in enumerate(df.schema.fields)
-    ]
-    return rank_roles(counted.select(F.inline(F.array(*described)))).orderBy("column_no")
+
+def profile_columns(
+    df: DataFrame, distinct_estimates: bool = False, counts: DataFrame | None = None
+) -> DataFrame:
+    """One row per column, from one aggregation over the table.
+
+    Class flags, missing values, date format with most hits, whether the column
+    is a segment candidate, and for each role its rank among the candidates (1
+    is the suggestion). ``distinct_estimates`` adds ``approx_distinct``.
+    ``counts`` is the result of ``column_counts`` if it is there already.
+    """
+    if counts is None:
+        counts = column_counts(df, distinct_estimates)
+    fields = list(enumerate(df.schema.fields))
+    facts = json.dumps([column_facts(position, field) for position, field in fields])
+    columns = counts.select("*", F.inline(F.from_json(F.lit(facts), COLUMN_FACTS)))
+
+    def counted(prefix: str) -> Column:
+        values = ", ".join(f"{prefix}_{position}" for position, _ in fields)
+        return F.expr(f"element_at(array({values}), column_no)")
+
+    date_like, date_format = F.col("is_date_like"), F.lit(None).cast("string")
+    for position, field in fields:
+        if maybe_date_text(field):
+            this = F.col("column_no") == position + 1
+            hits = hit_columns(counts, position)
+            enough = F.try_divide(F.greatest(*hits), F.col("rows")) > DATE_PARSE_RATIO
+            date_like = F.when(this, F.coalesce(enough, F.lit(False))).otherwise(date_like)
+            date_format = F.when(this & enough, best_format(hits)).otherwise(date_format)
+
+    matches = [f"{role}_match" for role in ROLE_KEYWORDS]
+    columns = columns.select(
+        "column_no",
+        "column_name",
+        "data_type",
+        "is_numeric",
+        "is_categorical",
+        date_like.alias("is_date_like"),
+        date_format.alias("date_format"),
+        counted("missing").alias("missing_values"),
+        "is_segment_candidate",
+        *([counted("distinct").alias("approx_distinct")] if distinct_estimates else []),
+        *matches,
+    )
+    return rank_roles(columns).drop(*matches).orderBy("column_no")
 
 
 def maybe_date_text(field: T.StructField) -> bool:
@@ -70,67 +128,80 @@ def distinct_estimate(field: T.StructField) -> Column:
     return F.approx_count_distinct(named(field.name))
 
 
-def column_facts(
-    counted: DataFrame, position: int, field: T.StructField, distinct_estimates: bool
-) -> Column:
-    date_format = F.lit(None).cast("string")
-    date_like = F.lit(is_temporal(field.dataType))
-    if maybe_date_text(field):
-        hits = [
-            F.col(name) for name in counted.columns if name.startswith(f"hits_{position}_")
-        ]
-        ratio = F.try_divide(F.greatest(*hits), F.col("rows"))
-        date_like = F.coalesce(ratio > DATE_PARSE_RATIO, F.lit(False))
-        date_format = F.when(date_like, best_format(hits))
+def counted_date_format(df: DataFrame, settings: Settings, counts: DataFrame) -> str | None:
+    """Best format of the date column by ``column_counts``, or by a pass of its own."""
+    position = df.columns.index(settings.date_col)
+    hits = hit_columns(counts, position)
+    if not hits:
+        return detect_date_format(df, settings.date_col)
+    return counts.select(best_format(hits)).first()[0]
+
+
+def hit_columns(counts: DataFrame, position: int) -> list[Column]:
+    return [F.col(name) for name in counts.columns if name.startswith(f"hits_{position}_")]
+
+
+def column_facts(position: int, field: T.StructField) -> dict:
+    """What the schema alone tells about a column."""
     categorical = is_categorical(field.dataType)
-    facts = [
-        F.lit(position + 1).alias("column_no"),
-        F.lit(field.name).alias("column_name"),
-        F.lit(field.dataType.simpleString()).alias("data_type"),
-        F.lit(is_numeric(field.dataType)).alias("is_numeric"),
-        F.lit(categorical).alias("is_categorical"),
-        date_like.alias("is_date_like"),
-        date_format.alias("date_format"),
-        F.col(f"missing_{position}").alias("missing_values"),
-        F.lit(categorical and "id" not in field.name.lower()).alias("is_segment_candidate"),
-    ]
-    if distinct_estimates:
-        facts.append(F.col(f"distinct_{position}").alias("approx_distinct"))
-    return F.struct(*facts)
+    return {
+        "column_no": position + 1,
+        "column_name": field.name,
+        "data_type": field.dataType.simpleString(),
+        "is_numeric": is_numeric(field.dataType),
+        "is_categorical": categorical,
+        "is_date_like": is_temporal(field.dataType),
+        "is_segment_candidate": categorical and "id" not in field.name.lower(),
+        **{f"{role}_match": role_match(field.name, role) for role in ROLE_KEYWORDS},
+    }
 
 
-def rank_roles(columns: DataFrame) -> DataFrame:
-    """Add a rank per role. The table has one row per column, so its windows are small.
+def role_match(name: str, role: str) -> int:
+    """How well a name fits a role, lower is better: equal to a keyword, holding one, neither.
 
-    Exact name matches come first, then names holding a keyword, then the other
-    candidates; within a class the earlier keyword wins, then the earlier column.
+    Among equals the earlier keyword is better.
     """
-    normal_name = F.translate(F.lower("column_name"), " -", "__")
-
-    def ranked(table: DataFrame, role: str, candidate: Column, last: Column) -> DataFrame:
-        keywords = ROLE_KEYWORDS[role]
-        exact = first_position([normal_name == keyword for keyword in keywords])
-        partial = first_position([normal_name.contains(keyword) for keyword in keywords])
-        order = Window.partitionBy(candidate).orderBy(
-            exact.asc_nulls_last(), partial.asc_nulls_last(), last, "column_no"
-        )
-        return table.withColumn(f"{role}_rank", F.when(candidate, F.row_number().over(order)))
+    keywords = ROLE_KEYWORDS[role]
+    normal = name.lower().replace(" ", "_").replace("-", "_")
+    if normal in keywords:
+        return keywords.index(normal)
+    held = [place for place, keyword in enumerate(keywords) if keyword in normal]
+    return len(keywords) + (held[0] if held else len(keywords))
 
+
+def rank_roles(columns: DataFrame) -> DataFrame:
+    """Add a rank per role: best match first, then the earlier column.
+
+    The table has one row per column of the profiled table, so its windows need
+    no partitions.
+    """
     never = F.lit(0)
-    segment = F.col("is_segment_candidate")
-    no_segment = F.sum(segment.cast("int")).over(Window.partitionBy()) == 0
-    columns = ranked(columns, "date", F.col("is_date_like"), never)
-    columns = ranked(columns, "revenue", F.col("is_numeric"), never)
-    suggested_date = F.coalesce((F.col("date_rank") == 1).cast("int"), never)
-    columns = ranked(columns, "order", F.lit(True), suggested_date)
-    columns = ranked(columns, "segment", segment, never)
-    columns = columns.withColumn("__sql_segment", segment | (no_segment & (F.col("column_no") == 1)))
-    return ranked(columns, "sql_segment", F.col("__sql_segment"), never).drop("__sql_segment")
 
+    def rank(role: str, candidate: Column, last: Column = never) -> Column:
+        match = F.col(f"{role}_match")
+        order = Window.orderBy(candidate.desc(), last, match, "column_no")
+        return F.when(candidate, F.row_number().over(order))
 
-def first_position(tests: list[Column]) -> Column:
-    """Position of the first test that holds, else NULL."""
-    return F.coalesce(*[F.when(test, position) for position, test in enumerate(tests)])
+    segment = F.col("is_segment_candidate")
+    no_segment = F.max(segment).over(Window.partitionBy()) == F.lit(False)
+    columns = columns.withColumns(
+        {
+            "date_rank": rank("date", F.col("is_date_like")),
+            "revenue_rank": rank("revenue", F.col("is_numeric")),
+            "segment_rank": rank("segment", segment),
+            "__sql_segment": segment | (no_segment & (F.col("column_no") == 1)),
+        }
+    )
+    # Without a matching name the first column that is not the date is taken.
+    unmatched = F.col("order_match") >= 2 * len(ROLE_KEYWORDS["order"])
+    last = (unmatched & F.coalesce(F.col("date_rank") == 1, F.lit(False))).cast("int")
+    ranked = columns.withColumns(
+        {
+            "order_rank": rank("order", F.lit(True), last),
+            "sql_segment_rank": rank("sql_segment", F.col("__sql_segment")),
+        }
+    )
+    return ranked.drop("__sql_segment")
 
 
 def suggest_settings(columns: DataFrame) -> Settings:
@@ -197,15 +268,22 @@ def count_repeats(df: DataFrame) -> int:
     return counted.agg(F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0))).first()[0]
 
 
-def profile_dataset(df: DataFrame, duplicates: bool = True) -> DataFrame:
+def profile_dataset(
+    df: DataFrame, duplicates: bool = True, counts: DataFrame | None = None
+) -> DataFrame:
     """One row about the whole table; ``duplicates=False`` skips the only wide step."""
-    counted = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        sum_of([F.count_if(is_missing(df, name)) for name in df.columns]).alias("missing_total"),
-    )
+    if counts is None:
+        counts = df.agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[
+                F.count_if(is_missing(df, name)).alias(f"missing_{position}")
+                for position, name in enumerate(df.columns)
+            ],
+        )
+    missing = [F.col(f"missing_{position}") for position in range(len(df.columns))]
     repeats = F.lit(duplicate_rows(df)) if duplicates else F.lit(None)
     fields = df.schema.fields
-    return counted.select(
+    return counts.select(
         "rows",
         F.lit(len(fields)).alias("columns"),
         text_array([field.name for field in fields]).alias("column_names"),
@@ -213,7 +291,7 @@ def profile_dataset(df: DataFrame, duplicates: bool = True) -> DataFrame:
         text_array([f.name for f in fields if is_categorical(f.dataType)]).alias(
             "categorical_columns"
         ),
-        "missing_total",
+        sum_of(missing).alias("missing_total"),
         repeats.cast("bigint").alias("duplicate_rows"),
     )
 

@@ -60,17 +60,28 @@ def mentions(text: Column, words: tuple[str, ...]) -> Column:
     return found
 
 
-def analyses_for(text: Column) -> Column:
-    """Ordered list of analyses for a question text."""
-    lowered = F.lower(F.trim(text))
-    change = mentions(lowered, CHANGE_WORDS)
-    root_cause = mentions(lowered, ROOT_CAUSE_WORDS)
-    anomaly = mentions(lowered, ANOMALY_WORDS)
-    forecast = mentions(lowered, FORECAST_WORDS)
-    sql = mentions(lowered, SQL_WORDS)
-    summary = mentions(lowered, SUMMARY_WORDS)
+def tag_questions(questions: DataFrame, text_col: str, name: str = "analyses") -> DataFrame:
+    """Add the ordered list of analyses each question asks for; one pass, no shuffle.
+
+    Three projections on purpose: the lower-cased text and the flags are used
+    several times, and Spark keeps such values instead of computing them anew
+    in every test.
+    """
+    text = F.col("__text")
+    flags = {
+        "__change": CHANGE_WORDS,
+        "__root_cause": ROOT_CAUSE_WORDS,
+        "__anomaly": ANOMALY_WORDS,
+        "__forecast": FORECAST_WORDS,
+        "__sql": SQL_WORDS,
+        "__summary": SUMMARY_WORDS,
+    }
+    flagged = questions.withColumn("__text", F.lower(F.trim(named(text_col)))).withColumns(
+        {flag: mentions(text, words) for flag, words in flags.items()}
+    )
+    change, root_cause, anomaly, forecast, sql, summary = [F.col(flag) for flag in flags]
     general = ~(change | root_cause | anomaly | forecast | sql | summary)
-    return F.array_compact(
+    analyses = F.array_compact(
         F.array(
             F.lit("profile_dataset"),
             F.lit("calculate_kpi_trend"),
@@ -82,8 +93,4 @@ def analyses_for(text: Column) -> Column:
             F.lit("generate_insight_summary"),
         )
     )
-
-
-def tag_questions(questions: DataFrame, text_col: str, name: str = "analyses") -> DataFrame:
-    """Add the analyses each question asks for; one pass, no shuffle."""
-    return questions.withColumn(name, analyses_for(named(text_col)))
+    return flagged.withColumn(name, analyses).drop("__text", *flags)

@@ -51,18 +51,34 @@ def kpi_trend(
     df: DataFrame, settings: Settings, kpi_name: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """KPI per calendar month, rounded to 2; months without rows do not appear."""
-    return monthly_kpi(df, settings, kpi_name, by).orderBy(*[named(key) for key in by], "period")
+    return in_order(monthly_kpi(df, settings, kpi_name, by), by)
 
 
-def list_periods(df: DataFrame, settings: Settings) -> DataFrame:
-    """Months that occur, ascending; reads only the date column."""
+def in_order(months: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Sort a table with one row per month by period, or per series by series and period.
+
+    One series has no more rows than the calendar has months; these are put
+    together directly, without sampling them for a range partitioning.
+    """
+    if by:
+        return months.orderBy(*[named(key) for key in by], "period")
+    return months.repartition(1).sortWithinPartitions("period")
+
+
+def distinct_periods(df: DataFrame, settings: Settings) -> DataFrame:
+    """Months that occur; reads only the date column and combines before the shuffle."""
     months = dated(df, settings).select(month_of(settings.date_col).alias(MONTH)).distinct()
-    return months.select(period_of(F.col(MONTH)).alias("period")).orderBy("period")
+    return months.select(period_of(F.col(MONTH)).alias("period"))
+
+
+def list_periods(df: DataFrame, settings: Settings) -> DataFrame:
+    """Months that occur, ascending."""
+    return in_order(distinct_periods(df, settings))
 
 
-def collect_periods(periods: DataFrame) -> list[str]:
+def collect_periods(df: DataFrame, settings: Settings) -> list[str]:
     """Sorted periods on the driver: one short text per calendar month, however large the table."""
-    return sorted(row.period for row in periods.select("period").distinct().collect())
+    return sorted(row.period for row in distinct_periods(df, settings).collect())
 
 
 def by_period(by: Sequence[str]):

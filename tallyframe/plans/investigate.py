@@ -8,26 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import data_type, is_categorical
-from tallyframe.functions.dates import detect_date_format
 from tallyframe.operators.anomaly import detect_anomalies
 from tallyframe.operators.compare import CUSTOM, compare_periods, comparison_periods
 from tallyframe.operators.drivers import segment_drivers
 from tallyframe.operators.forecast import forecast_kpi
-from tallyframe.operators.profile import profile_columns, profile_dataset, quality_notes
-from tallyframe.operators.trend import collect_periods, latest_change, monthly_kpi
+from tallyframe.operators.profile import (
+    column_counts,
+    counted_date_format,
+    profile_columns,
+    profile_dataset,
+    quality_notes,
+)
+from tallyframe.operators.trend import in_order, latest_change, monthly_kpi
 from tallyframe.plans.narrative import investigation_steps, kpi_summary
 from tallyframe.plans.report import report_bundle
 from tallyframe.session import durable
 from tallyframe.settings import DEFAULT_FORECAST_STEPS, DEFAULT_Z_THRESHOLD, Settings
 
 
-def with_date_format(df: DataFrame, settings: Settings) -> Settings:
-    """Settings with the format of a string date column, so it is measured only once."""
-    if settings.date_format or not is_categorical(data_type(df, settings.date_col)):
-        return settings
-    return replace(settings, date_format=detect_date_format(df, settings.date_col))
-
-
 def investigate(
     df: DataFrame,
     settings: Settings,
@@ -41,29 +39,33 @@ def investigate(
 ) -> dict[str, DataFrame]:
     """Profile, trend, changes, drivers, anomalies, forecast, summary, log and report.
 
-    The trend is computed once and kept in the checkpoint folder; the drivers
-    read the base table again, but only two months of it. Months default to the
-    last two. With fewer than two months there is no comparison, and without a
-    segment column there are no drivers.
+    The base table is read once for the profile counts, once for the trend, once
+    more to look for duplicates, and for two months to find the drivers; the
+    small results are kept in the checkpoint folder and everything else is made
+    from them. Months default to the last two. With fewer than two months there
+    is no comparison, and without a segment column there are no drivers.
     """
-    settings = with_date_format(df, settings)
-    trend = durable(monthly_kpi(df, settings, kpi_name)).orderBy("period")
-    periods = collect_periods(trend)
+    counts = durable(column_counts(df))
+    if settings.date_format is None and is_categorical(data_type(df, settings.date_col)):
+        settings = replace(settings, date_format=counted_date_format(df, settings, counts))
+    profile = profile_dataset(df, duplicates, counts)
 
-    profile = profile_dataset(df, duplicates)
-    change = latest_change(trend)
-    anomalies = detect_anomalies(trend, threshold)
-    forecast = forecast_kpi(trend, steps)
+    months = durable(monthly_kpi(df, settings, kpi_name))
+    trend = in_order(months)
+    periods = [row.period for row in trend.select("period").collect()]
+    change = latest_change(months)
+    anomalies = detect_anomalies(months, threshold)
+    forecast = forecast_kpi(months, steps)
 
     drivers = None
     if len(periods) >= 2:
         previous, current = comparison_periods(periods, CUSTOM, previous, current)
-        missing = {previous, current} - set(periods)
+        missing = sorted({previous, current} - set(periods))
         if missing:
-            raise ValueError(f"periods not in the data: {sorted(missing)}")
-        comparison = compare_periods(trend, previous, current)
+            raise ValueError(f"periods not in the data: {missing}")
+        comparison = compare_periods(months, previous, current)
     else:
-        comparison = latest_change(trend).filter(F.lit(False))
+        comparison = change.filter(F.lit(False))
     if segment_col is not None and previous is not None and current is not None:
         drivers = durable(
             segment_drivers(
@@ -74,19 +76,17 @@ def investigate(
     summary = kpi_summary(comparison, kpi_name, drivers)
     results = {
         "profile": profile,
-        "columns": profile_columns(df),
+        "columns": profile_columns(df, counts=counts),
         "trend": trend,
         "change": change,
         "comparison": comparison,
-        "anomalies": anomalies,
+        "anomalies": in_order(anomalies),
         "forecast": forecast,
         "summary": summary,
         "steps": investigation_steps(
-            quality_notes(profile), trend, change, anomalies, forecast, kpi_name
-        ),
-        "report": report_bundle(
-            kpi_name, change, trend, summary, drivers, anomalies, forecast
+            quality_notes(profile), months, change, anomalies, forecast, kpi_name
         ),
+        "report": report_bundle(kpi_name, change, months, summary, drivers, anomalies, forecast),
     }
     if drivers is not None:
         results["drivers"] = drivers

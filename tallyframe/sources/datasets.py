@@ -40,7 +40,7 @@ FLOAT_SHAPE = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|Inf|
 def read_dataset(
     spark: SparkSession,
     path: str | list[str],
-    schema: T.StructType | None = None,
+    schema: T.StructType | str | None = None,
     multi_line: bool = False,
 ) -> DataFrame:
     """Read a CSV file with header, or Parquet, into a table with one kind of missing value.
@@ -53,23 +53,12 @@ def read_dataset(
     """
     paths = [path] if isinstance(path, str) else list(path)
     if all(one.rstrip("/").endswith(".parquet") for one in paths):
-        return nan_to_null(spark.read.parquet(*paths))
-    texts = (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .csv(paths)
-    )
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return nan_to_null(reader.parquet(*paths))
+    reader = spark.read.options(header=True, escape='"', multiLine=multi_line)
     if schema is not None:
-        typed = (
-            spark.read.option("header", True)
-            .option("escape", '"')
-            .option("multiLine", multi_line)
-            .schema(schema)
-            .csv(paths)
-        )
-        return nan_to_null(tokens_to_null(typed))
-    texts = tokens_to_null(texts)
+        return nan_to_null(tokens_to_null(reader.schema(schema).csv(paths)))
+    texts = tokens_to_null(reader.csv(paths))
     return nan_to_null(apply_types(texts, infer_types(texts)))
 
 

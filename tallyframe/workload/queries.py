@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from tallyframe import AOV, ORDERS, REVENUE
 from tallyframe.functions.columns import named
-from tallyframe.functions.dates import coerce_date, filter_periods, format_hits, with_period
+from tallyframe.functions.dates import (
+    coerce_date,
+    date_shape,
+    filter_periods,
+    format_hits,
+    with_period,
+)
 from tallyframe.functions.numbers import format_kpi_value
 from tallyframe.operators import (
     anomaly_count,
@@ -91,7 +97,7 @@ def compared(mode: str, *periods: str) -> Query:
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         table = orders(spark, sf_dir)
-        present = collect_periods(list_periods(table, ORDERS_SETTINGS))
+        present = collect_periods(table, ORDERS_SETTINGS)
         chosen = comparison_periods(present, mode, *periods)
         rows = filter_periods(table, ORDERS_SETTINGS.date_col, *chosen)
         return compare_periods(monthly_kpi(rows, ORDERS_SETTINGS, REVENUE), *chosen)
@@ -123,7 +129,7 @@ def date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, and rows that parse in the format found for the text dates."""
     table = text_orders(spark, sf_dir)
     typed = coerce_date(table, "order_date")
-    month_first = format_hits(named("order_date"))[3]
+    month_first = format_hits(named("order_date"), date_shape(named("order_date")))[3]
     counts = typed.agg(
         F.count(F.lit(1)).alias("rows"), F.count("order_date").alias("dated_rows")
     )
@@ -153,7 +159,13 @@ def extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = ["o_orderpriority", "o_orderstatus"]
     return driver_extremes(
         drivers_all_segments(
-            orders(spark, sf_dir), ORDERS_SETTINGS, REVENUE, segments, PREVIOUS, CURRENT
+            orders(spark, sf_dir),
+            ORDERS_SETTINGS,
+            REVENUE,
+            segments,
+            PREVIOUS,
+            CURRENT,
+            ordered=False,
         )
     )
 
@@ -190,7 +202,13 @@ def summary(kpi_name: str) -> Query:
         rows = filter_periods(table, ORDERS_SETTINGS.date_col, PREVIOUS, CURRENT)
         change = compare_periods(monthly_kpi(rows, ORDERS_SETTINGS, kpi_name), PREVIOUS, CURRENT)
         drivers = segment_drivers(
-            table, ORDERS_SETTINGS, kpi_name, "o_orderpriority", PREVIOUS, CURRENT
+            table,
+            ORDERS_SETTINGS,
+            kpi_name,
+            "o_orderpriority",
+            PREVIOUS,
+            CURRENT,
+            ordered=False,
         )
         return kpi_summary(change, kpi_name, drivers)
 
@@ -212,6 +230,7 @@ def summary_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
         CURRENT,
         ["r_name"],
         [PREVIOUS, CURRENT],
+        ordered=False,
     )
     return kpi_summary(change, REVENUE, drivers, ["r_name"])
 
