@@ -48,10 +48,10 @@ def date_shape(text: Column) -> Column:
     Y is four digits, D a number from 13 to 31 (no month), d any other one or two
     digits, m a word and p the end of a 12-hour time.
     """
-    shape = F.regexp_replace(text, "[0-9]{4}", "Y")
+    shape = F.regexp_replace(text, "[A-Za-z]{3,}", "m")
+    shape = F.regexp_replace(shape, "[0-9]{4}", "Y")
     shape = F.regexp_replace(shape, "(?<![0-9])(?:1[3-9]|2[0-9]|3[01])(?![0-9])", "D")
     shape = F.regexp_replace(shape, "[0-9]{1,2}", "d")
-    shape = F.regexp_replace(shape, "[A-Za-z]{3,}", "m")
     shape = F.regexp_replace(shape, " [dD]:.* [AaPp][Mm]$", "p")
     return F.regexp_replace(shape, "(?:(?<=T)| )[dD]:.*", "")
 

@@ -76,7 +76,8 @@ def tag_questions(questions: DataFrame, text_col: str, name: str = "analyses") -
         "__sql": SQL_WORDS,
         "__summary": SUMMARY_WORDS,
     }
-    flagged = questions.withColumn("__text", F.lower(F.trim(named(text_col)))).withColumns(
+    lowered = F.coalesce(F.lower(F.trim(named(text_col))), F.lit(""))
+    flagged = questions.withColumn("__text", lowered).withColumns(
         {flag: mentions(text, words) for flag, words in flags.items()}
     )
     change, root_cause, anomaly, forecast, sql, summary = [F.col(flag) for flag in flags]
