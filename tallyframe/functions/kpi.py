@@ -29,7 +29,8 @@ def order_count(df: DataFrame, settings: Settings) -> Column:
     """
     if settings.order_col is None:
         return F.count(F.lit(1))
-    return F.count_distinct(present(df, settings.order_col))
+    order = present(df, settings.order_col)
+    return F.approx_count_distinct(order) if settings.approximate_orders else F.count_distinct(order)
 
 
 def kpi_value(df: DataFrame, kpi_name: str, settings: Settings) -> Column:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import data_type, is_categorical
+from tallyframe.functions.kpi import check_kpi
 from tallyframe.operators.anomaly import detect_anomalies
 from tallyframe.operators.compare import CUSTOM, compare_periods, comparison_periods
 from tallyframe.operators.drivers import segment_drivers
@@ -26,68 +28,165 @@ from tallyframe.session import durable
 from tallyframe.settings import DEFAULT_FORECAST_STEPS, DEFAULT_Z_THRESHOLD, Settings
 
 
-def investigate(
-    df: DataFrame,
-    settings: Settings,
-    kpi_name: str,
-    segment_col: str | None = None,
-    previous: str | None = None,
-    current: str | None = None,
-    threshold: float = DEFAULT_Z_THRESHOLD,
-    steps: int = DEFAULT_FORECAST_STEPS,
-    duplicates: bool = True,
-) -> dict[str, DataFrame]:
-    """Profile, trend, changes, drivers, anomalies, forecast, summary, log and report.
-
-    The base table is read once for the profile counts, once for the trend, once
-    more to look for duplicates, and for two months to find the drivers; the
-    small results are kept in the checkpoint folder and everything else is made
-    from them. Months default to the last two. With fewer than two months there
-    is no comparison, and without a segment column there are no drivers.
+class Investigation:
+    """The results for one KPI, each made when first asked for.
+
+    The small tables several results need (profile counts, trend, drivers) are
+    computed once and kept in the checkpoint folder. So the base table is read
+    once for the trend, once for the profile counts, once to look for
+    duplicates, and for two months to find the drivers; what is not asked for
+    is not read. Months default to the last two.
     """
-    counts = durable(column_counts(df))
-    if settings.date_format is None and is_categorical(data_type(df, settings.date_col)):
-        settings = replace(settings, date_format=counted_date_format(df, settings, counts))
-    profile = profile_dataset(df, duplicates, counts)
-
-    months = durable(monthly_kpi(df, settings, kpi_name))
-    trend = in_order(months)
-    periods = [row.period for row in trend.select("period").collect()]
-    change = latest_change(months)
-    anomalies = detect_anomalies(months, threshold)
-    forecast = forecast_kpi(months, steps)
-
-    drivers = None
-    if len(periods) >= 2:
-        previous, current = comparison_periods(periods, CUSTOM, previous, current)
-        missing = sorted({previous, current} - set(periods))
+
+    def __init__(
+        self,
+        df: DataFrame,
+        settings: Settings,
+        kpi_name: str,
+        segment_col: str | None = None,
+        previous: str | None = None,
+        current: str | None = None,
+        threshold: float = DEFAULT_Z_THRESHOLD,
+        steps: int = DEFAULT_FORECAST_STEPS,
+        duplicates: bool = True,
+    ) -> None:
+        check_kpi(kpi_name, settings)
+        self.df = df
+        self.kpi_name = kpi_name
+        self.segment_col = segment_col
+        self.threshold = threshold
+        self.forecast_steps = steps
+        self.duplicates = duplicates
+        self._settings = settings
+        self._named = (previous, current)
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return durable(column_counts(self.df))
+
+    @cached_property
+    def settings(self) -> Settings:
+        """With the format of a text date, so that it is measured only once."""
+        given = self._settings
+        if given.date_format or not is_categorical(data_type(self.df, given.date_col)):
+            return given
+        return replace(given, date_format=counted_date_format(self.df, given, self.counts))
+
+    @cached_property
+    def months(self) -> DataFrame:
+        return durable(monthly_kpi(self.df, self.settings, self.kpi_name))
+
+    @cached_property
+    def periods(self) -> list[str]:
+        return sorted(row.period for row in self.months.select("period").collect())
+
+    @cached_property
+    def compared(self) -> tuple[str | None, str | None]:
+        """The two months to compare."""
+        previous, current = self._named
+        if len(self.periods) < 2:
+            return previous, current
+        chosen = comparison_periods(self.periods, CUSTOM, previous, current)
+        missing = sorted(set(chosen) - set(self.periods))
         if missing:
             raise ValueError(f"periods not in the data: {missing}")
-        comparison = compare_periods(months, previous, current)
-    else:
-        comparison = change.filter(F.lit(False))
-    if segment_col is not None and previous is not None and current is not None:
-        drivers = durable(
+        return chosen
+
+    @cached_property
+    def profile(self) -> DataFrame:
+        return profile_dataset(self.df, self.duplicates, self.counts)
+
+    @cached_property
+    def columns(self) -> DataFrame:
+        return profile_columns(self.df, counts=self.counts)
+
+    @cached_property
+    def trend(self) -> DataFrame:
+        return in_order(self.months)
+
+    @cached_property
+    def change(self) -> DataFrame:
+        return latest_change(self.months)
+
+    @cached_property
+    def comparison(self) -> DataFrame:
+        """Empty with fewer than two months in the data."""
+        if len(self.periods) < 2:
+            return self.change.filter(F.lit(False))
+        return compare_periods(self.months, *self.compared)
+
+    @cached_property
+    def drivers(self) -> DataFrame | None:
+        """None without a segment column or without two months to compare."""
+        previous, current = self.compared
+        if self.segment_col is None or previous is None or current is None:
+            return None
+        return durable(
             segment_drivers(
-                df, settings, kpi_name, segment_col, previous, current, periods=periods
+                self.df,
+                self.settings,
+                self.kpi_name,
+                self.segment_col,
+                previous,
+                current,
+                periods=self.periods,
             )
         )
 
-    summary = kpi_summary(comparison, kpi_name, drivers)
-    results = {
-        "profile": profile,
-        "columns": profile_columns(df, counts=counts),
-        "trend": trend,
-        "change": change,
-        "comparison": comparison,
-        "anomalies": in_order(anomalies),
-        "forecast": forecast,
-        "summary": summary,
-        "steps": investigation_steps(
-            quality_notes(profile), months, change, anomalies, forecast, kpi_name
-        ),
-        "report": report_bundle(kpi_name, change, months, summary, drivers, anomalies, forecast),
-    }
-    if drivers is not None:
-        results["drivers"] = drivers
-    return results
+    @cached_property
+    def anomalies(self) -> DataFrame:
+        return in_order(detect_anomalies(self.months, self.threshold))
+
+    @cached_property
+    def forecast(self) -> DataFrame:
+        return forecast_kpi(self.months, self.forecast_steps)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return kpi_summary(self.comparison, self.kpi_name, self.drivers)
+
+    @cached_property
+    def steps(self) -> DataFrame:
+        return investigation_steps(
+            quality_notes(self.profile),
+            self.months,
+            self.change,
+            self.anomalies,
+            self.forecast,
+            self.kpi_name,
+        )
+
+    @cached_property
+    def report(self) -> DataFrame:
+        return report_bundle(
+            self.kpi_name,
+            self.change,
+            self.months,
+            self.summary,
+            self.drivers,
+            self.anomalies,
+            self.forecast,
+        )
+
+
+# Results of an investigation, in the order they are usually read.
+RESULTS = (
+    "profile",
+    "columns",
+    "trend",
+    "change",
+    "comparison",
+    "drivers",
+    "anomalies",
+    "forecast",
+    "summary",
+    "steps",
+    "report",
+)
+
+
+def investigate(df: DataFrame, settings: Settings, kpi_name: str, **options) -> dict[str, DataFrame]:
+    """All results of an ``Investigation`` by name; ``drivers`` is left out if there are none."""
+    found = Investigation(df, settings, kpi_name, **options)
+    tables = {name: getattr(found, name) for name in RESULTS}
+    return {name: table for name, table in tables.items() if table is not None}

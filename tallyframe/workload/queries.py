@@ -42,7 +42,7 @@ from tallyframe.operators import (
 )
 from tallyframe.operators.compare import CUSTOM, FIRST_VS_LATEST, LATEST_VS_PREVIOUS
 from tallyframe.operators.trend import collect_periods
-from tallyframe.plans import investigate, kpi_summary
+from tallyframe.plans import Investigation, kpi_summary
 from tallyframe.session import scratch_path
 from tallyframe.settings import Settings
 from tallyframe.sources import preview, read_dataset, read_report, write_report
@@ -258,16 +258,9 @@ def report_values(report: DataFrame) -> DataFrame:
 
 
 def orders_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = investigate(
-        orders(spark, sf_dir),
-        ORDERS_SETTINGS,
-        REVENUE,
-        "o_orderpriority",
-        PREVIOUS,
-        CURRENT,
-        duplicates=False,
-    )
-    return found["report"]
+    return Investigation(
+        orders(spark, sf_dir), ORDERS_SETTINGS, REVENUE, "o_orderpriority", PREVIOUS, CURRENT
+    ).report
 
 
 def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -428,9 +421,9 @@ ALL_QUERIES: dict[str, Query] = {
     "kpi_summary_orders": summary(ORDERS),
     "kpi_summary_by_region": summary_by_region,
     "kpi_summary_single_period": single_month_summary,
-    "investigation_steps": lambda spark, sf_dir: investigate(
+    "investigation_steps": lambda spark, sf_dir: Investigation(
         text_orders(spark, sf_dir), TEXT_SETTINGS, REVENUE
-    )["steps"],
+    ).steps,
     "report_bundle": lambda spark, sf_dir: report_values(orders_report(spark, sf_dir)),
     "report_written": written_report,
     # Question tagging

@@ -4,8 +4,8 @@ import pytest
 
 from helpers import SETTINGS, dicts_of, monthly_table, rows_of, sales_table
 from tallyframe import AOV, ORDERS, REVENUE, Settings
-from tallyframe.operators import latest_change, segment_drivers
-from tallyframe.plans import investigate, kpi_summary
+from tallyframe.operators import latest_change, monthly_kpi, segment_drivers
+from tallyframe.plans import Investigation, investigate, kpi_summary
 
 ROWS = [
     ("2024-01-05", 1000.0, "a", "N"),
@@ -23,14 +23,14 @@ def text_of(df):
 
 def test_summary_with_drivers(spark):
     table = sales_table(spark, ROWS)
-    found = investigate(table, SETTINGS, REVENUE, "region")
+    found = investigate(table, SETTINGS, REVENUE, segment_col="region")
     assert text_of(found["summary"]) == (
         "Revenue increased from $3,000.50 in 2024-01 to $5,000.00 in 2024-02. "
         "This represents a 66.64% change. "
         "By region, the biggest negative driver was S with a change of $-1,500.50. "
         "The biggest positive driver was E with a change of $4,500.00."
     )
-    found = investigate(table, SETTINGS, ORDERS, "region")
+    found = investigate(table, SETTINGS, ORDERS, segment_col="region")
     assert text_of(found["summary"]) == (
         "Orders stayed flat from 2 in 2024-01 to 2 in 2024-02. This represents a 0.00% change. "
         "By region, the biggest negative driver was N with a change of -1. "
@@ -52,7 +52,7 @@ def test_summary_parts(spark):
 
 
 def test_investigation_tables(spark):
-    found = investigate(sales_table(spark, ROWS), SETTINGS, AOV, "region")
+    found = investigate(sales_table(spark, ROWS), SETTINGS, AOV, segment_col="region")
     assert set(found) == {
         "profile",
         "columns",
@@ -98,7 +98,7 @@ def test_investigation_tables(spark):
 
 
 def test_single_period_investigation(spark):
-    found = investigate(sales_table(spark, ROWS[:2]), SETTINGS, REVENUE, "region")
+    found = investigate(sales_table(spark, ROWS[:2]), SETTINGS, REVENUE, segment_col="region")
     assert "drivers" not in found
     assert rows_of(found["comparison"]) == []
     assert text_of(found["summary"]).startswith("Not enough period data")
@@ -119,11 +119,14 @@ def test_empty_investigation(spark):
 
 def test_named_months(spark):
     rows = [*ROWS, ("2024-03-01", 1.0, "z", "N")]
-    found = investigate(sales_table(spark, rows), SETTINGS, REVENUE, "region", "2024-01", "2024-02")
+    table = sales_table(spark, rows)
+    found = investigate(
+        table, SETTINGS, REVENUE, segment_col="region", previous="2024-01", current="2024-02"
+    )
     assert dicts_of(found["change"])[0]["current_period"] == "2024-03"
     assert dicts_of(found["comparison"])[0]["current_period"] == "2024-02"
     with pytest.raises(ValueError, match="2031-01"):
-        investigate(sales_table(spark, rows), SETTINGS, REVENUE, "region", "2031-01")
+        investigate(table, SETTINGS, REVENUE, previous="2031-01")
 
 
 def test_text_dates_are_detected_once(spark):
@@ -134,10 +137,14 @@ def test_text_dates_are_detected_once(spark):
     assert [row["period"] for row in dicts_of(found["trend"])] == ["2024-01", "2024-02"]
 
 
+def test_only_what_is_asked_for_is_computed(spark):
+    found = Investigation(sales_table(spark, ROWS), SETTINGS, REVENUE, "region")
+    assert rows_of(found.trend)[0][0] == "2024-01"
+    assert "drivers" not in vars(found) and "counts" not in vars(found)
+
+
 def test_summary_per_series(spark):
     rows = [*ROWS, ("2024-01-02", 7.0, "x", "E")]
-    from tallyframe.operators import monthly_kpi
-
     table = sales_table(spark, rows)
     trend = monthly_kpi(table, SETTINGS, REVENUE, ["region"])
     found = dict(rows_of(kpi_summary(latest_change(trend, ["region"]), REVENUE, by=["region"])))

@@ -4,7 +4,13 @@ import pytest
 
 from helpers import SETTINGS, dicts_of, rows_of, sales_table
 from tallyframe import AOV, ORDERS, REVENUE, Settings
-from tallyframe.operators import kpi_by_segment, run_sql, sample_queries
+from tallyframe.operators import (
+    kpi_by_segment,
+    kpi_trend,
+    run_sql,
+    sample_queries,
+    segment_drivers,
+)
 
 ROWS = [
     ("2024-01-05", 10.0, "a", "N"),
@@ -67,8 +73,6 @@ def test_sample_queries_with_awkward_names(spark):
 
 
 def test_awkward_names_in_operators(spark):
-    from tallyframe.operators import kpi_trend, segment_drivers
-
     table = sales_table(spark, ROWS).toDF("Order Day", "net `sum`", "order id", "sales.region")
     settings = Settings("Order Day", "net `sum`", "order id")
     assert [row[2] for row in rows_of(kpi_trend(table, settings, AOV))] == [10.0, 12.5]

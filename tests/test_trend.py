@@ -1,5 +1,7 @@
 """KPI values, trends and changes."""
 
+from dataclasses import replace
+
 import pandas as pd
 import pytest
 
@@ -46,6 +48,14 @@ def test_orders_without_order_column_counts_rows(spark):
     assert [row[2] for row in rows_of(trend)] == [3.0, 2.0]
 
 
+def test_approximate_orders(spark):
+    exact = kpi_trend(load(spark, SF, "orders"), ORDERS_SETTINGS, ORDERS)
+    settings = replace(ORDERS_SETTINGS, approximate_orders=True)
+    estimated = kpi_trend(load(spark, SF, "orders"), settings, ORDERS)
+    for one, other in zip(rows_of(exact), rows_of(estimated), strict=True):
+        assert one[0] == other[0] and abs(one[2] - other[2]) <= 0.25 * one[2]
+
+
 def test_all_order_ids_missing(spark):
     table = sales_table(spark, [("2024-01-01", 5.0, None, "N")])
     assert rows_of(kpi_trend(table, SETTINGS, AOV)) == [("2024-01", AOV, 0.0)]
