@@ -40,6 +40,7 @@ HEADLINE = (
     "kpi_summary_by_region",
     "investigation_steps",
     "report_bundle",
+    "report_sales",
     "tag_conversations",
     "tag_documents",
 )

@@ -49,14 +49,13 @@ def has_date_name(name: str) -> bool:
 def present(df: DataFrame, name: str) -> Column:
     """The column with NaN turned into NULL, so both count as missing."""
     dtype = data_type(df, name)
-    value = named(name)
     if is_floating(dtype):
-        return F.nanvl(value, F.lit(None).cast(dtype))
-    return value
+        return F.expr(f"nanvl({quote_identifier(name)}, CAST(NULL AS {dtype.simpleString()}))")
+    return named(name)
 
 
 def is_missing(df: DataFrame, name: str) -> Column:
-    value = named(name)
+    column = quote_identifier(name)
     if is_floating(data_type(df, name)):
-        return value.isNull() | F.isnan(value)
-    return value.isNull()
+        return F.expr(f"{column} IS NULL OR isnan({column})")
+    return F.expr(f"{column} IS NULL")

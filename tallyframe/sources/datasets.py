@@ -117,13 +117,12 @@ def as_type(text: Column, type_name: str) -> Column:
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN and NULL both mean missing; keep only NULL, so sums and counts skip both."""
-    if not any(is_floating(field.dataType) for field in df.schema.fields):
-        return df
-    return df.select(
-        *[
-            present(df, field.name).alias(field.name) if is_floating(field.dataType) else named(field.name)
+    return df.withColumns(
+        {
+            field.name: present(df, field.name)
             for field in df.schema.fields
-        ]
+            if is_floating(field.dataType)
+        }
     )
 
 

@@ -403,13 +403,15 @@ UNION ALL SELECT 5, 'Forecast Agent', 'Generated a baseline KPI forecast.',
   'Forecasted 3 future periods.'
 """
 
-REPORT = f"""
-WITH t AS ({ORDERS_REVENUE}), d AS ({PRIORITY_DRIVERS}),
+def report(rows: str, kpi_name: str, segment: str, previous: str, current: str) -> str:
+    driver_rows = drivers(rows, kpi_name, segment, previous, current)
+    text = summary(compare(rows, kpi_name, previous, current), driver_rows, kpi_name)
+    return f"""
+WITH t AS ({trend(rows, kpi_name)}), d AS ({driver_rows}), s AS ({text}),
   c AS ({latest('SELECT * FROM t')}),
-  s AS ({summary(compare(ORDERS_ROWS, 'Revenue', P, C), PRIORITY_DRIVERS, 'Revenue')}),
   a AS ({anomalies('SELECT * FROM t')}), f AS ({forecast('SELECT * FROM t', 3)}),
   rows_of AS (
-    SELECT 'kpi' AS section, 1 AS row_no, 'Revenue' AS label, CAST(NULL AS DOUBLE) AS number
+    SELECT 'kpi' AS section, 1 AS row_no, '{kpi_name}' AS label, CAST(NULL AS DOUBLE) AS number
     UNION ALL SELECT 'summary', 1, summary, NULL FROM s
     UNION ALL SELECT 'change', 1, current_period, absolute_change FROM c
     UNION ALL SELECT 'trend', row_number() OVER (ORDER BY period), period, kpi_value FROM t
@@ -420,6 +422,7 @@ WITH t AS ({ORDERS_REVENUE}), d AS ({PRIORITY_DRIVERS}),
 SELECT section, CAST(row_no AS INTEGER) AS row_no, label, number FROM rows_of WHERE row_no <= 10
 """
 
+
 ORACLES = {
     "trend_revenue": ORDERS_REVENUE,
     "trend_orders": ORDERS_ORDERS,
@@ -548,8 +551,9 @@ ORACLES = {
     "kpi_summary_single_period": "SELECT CASE WHEN count(DISTINCT strftime(ts, '%Y-%m')) < 2 THEN "
     "'Not enough period data is available to generate a KPI summary.' END AS summary FROM events",
     "investigation_steps": STEPS,
-    "report_bundle": REPORT,
-    "report_written": REPORT,
+    "report_bundle": report(ORDERS_ROWS, "Revenue", "o_orderpriority", P, C),
+    "report_written": report(ORDERS_ROWS, "Revenue", "o_orderpriority", P, C),
+    "report_sales": report(SALES_ROWS, "Average Order Value", "r_name", P, C),
     "tag_conversations": tags("conversations", "conv_id", "turn"),
     "tag_documents": tags("documents", "doc_id"),
     **{

@@ -263,6 +263,12 @@ def orders_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).report
 
 
+def sales_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Investigation(
+        sales(spark, sf_dir, "r_name"), SALES_SETTINGS, AOV, "r_name", PREVIOUS, CURRENT
+    ).report
+
+
 def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "report")
     write_report(orders_report(spark, sf_dir), path)
@@ -426,6 +432,7 @@ ALL_QUERIES: dict[str, Query] = {
     ).steps,
     "report_bundle": lambda spark, sf_dir: report_values(orders_report(spark, sf_dir)),
     "report_written": written_report,
+    "report_sales": lambda spark, sf_dir: report_values(sales_report(spark, sf_dir)),
     # Question tagging
     "tag_conversations": tagged("conversations", "text", "conv_id", "turn"),
     "tag_documents": tagged("documents", "text", "doc_id"),

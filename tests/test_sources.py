@@ -6,7 +6,7 @@ from helpers import dicts_of, rows_of
 from tallyframe import REVENUE, Settings
 from tallyframe.operators import kpi_trend
 from tallyframe.plans import report_bundle
-from tallyframe.sources import preview, read_dataset, read_report, write_report
+from tallyframe.sources import nan_to_null, preview, read_dataset, read_report, write_report
 
 
 @pytest.fixture
@@ -72,6 +72,13 @@ def test_parquet_nan_becomes_null(spark, tmp_path):
     assert sorted(rows_of(read_dataset(spark, path)), key=str) == [(1.0,), (None,)]
 
 
+def test_nan_in_columns_with_awkward_names(spark):
+    table = spark.createDataFrame([(float("nan"), 1.0, "a")], "`a.b` double, `c d` float, e string")
+    cleaned = nan_to_null(table)
+    assert cleaned.dtypes == table.dtypes
+    assert rows_of(cleaned) == [(None, 1.0, "a")]
+
+
 def test_preview(spark):
     assert preview(spark.range(100)).count() == 5
 
