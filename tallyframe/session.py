@@ -18,8 +18,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tallyframe")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -27,9 +25,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    split_hot_keys(spark)
     return spark
 
 
+def split_hot_keys(spark: SparkSession) -> None:
+    """Let AQE split the hot keys of sort-merge joins.
+
+    Forced, because by default Spark keeps a skewed partition whole when the
+    next step could reuse the join's partitioning; one more shuffle of
+    aggregated rows is cheaper than one task with a third of the table.
+    """
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, used for checkpoints and scratch tables.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.session import split_hot_keys
 from tallyframe.settings import Settings
 from tallyframe.sources.datasets import read_dataset
 
@@ -37,6 +38,7 @@ SCHEMAS = {
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    split_hot_keys(spark)
     return read_dataset(spark, f"{sf_dir}/{name}.parquet", SCHEMAS[name])
 
 
@@ -60,14 +62,14 @@ def sales(spark: SparkSession, sf_dir: str, *segments: str) -> DataFrame:
             "c_custkey", "c_nationkey", "c_mktsegment"
         )
         if {"n_name", "r_name"} & set(segments):
-            nations = load(spark, sf_dir, "nation")
+            places = load(spark, sf_dir, "nation")
+            if "r_name" in segments:
+                regions = load(spark, sf_dir, "region")
+                places = places.join(
+                    regions, F.col("n_regionkey") == F.col("r_regionkey"), "left"
+                )
             customers = customers.join(
-                nations, F.col("c_nationkey") == F.col("n_nationkey"), "left"
-            )
-        if "r_name" in segments:
-            regions = load(spark, sf_dir, "region")
-            customers = customers.join(
-                regions, F.col("n_regionkey") == F.col("r_regionkey"), "left"
+                places, F.col("c_nationkey") == F.col("n_nationkey"), "left"
             )
         buyers = (
             load(spark, sf_dir, "orders")

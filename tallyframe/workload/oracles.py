@@ -15,7 +15,8 @@ from tallyframe.operators.tagging import (
     SUMMARY_WORDS,
 )
 
-# SQL that users may send to run_sql, over the orders as sales_data.
+# SQL that users may send to run_sql, over the orders as sales_data. Keys are made
+# distinct before they are matched, so that a hot key is combined before the shuffle.
 SURFACE_SQL = {
     "sql_self_join": """
         WITH months AS (
@@ -37,14 +38,16 @@ SURFACE_SQL = {
     """,
     "sql_exists": """
         SELECT o_orderstatus, COUNT(*) AS n_orders FROM sales_data s
-        WHERE EXISTS (SELECT 1 FROM sales_data u
-                      WHERE u.o_custkey = s.o_custkey AND u.o_orderpriority = '1-URGENT')
+        WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT o_custkey FROM sales_data
+                                     WHERE o_orderpriority = '1-URGENT') u
+                      WHERE u.o_custkey = s.o_custkey)
         GROUP BY o_orderstatus
     """,
     "sql_not_exists": """
         SELECT o_orderpriority, COUNT(*) AS n_orders FROM sales_data s
-        WHERE NOT EXISTS (SELECT 1 FROM sales_data u
-                          WHERE u.o_custkey = s.o_custkey AND u.o_orderstatus = 'F')
+        WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT o_custkey FROM sales_data
+                                         WHERE o_orderstatus = 'F') u
+                          WHERE u.o_custkey = s.o_custkey)
         GROUP BY o_orderpriority
     """,
     "sql_scalar_subquery": """
@@ -75,14 +78,14 @@ SURFACE_SQL = {
         ) parts GROUP BY part
     """,
     "sql_intersect": """
-        SELECT o_custkey FROM sales_data WHERE o_orderstatus = 'F'
+        SELECT DISTINCT o_custkey FROM sales_data WHERE o_orderstatus = 'F'
         INTERSECT
-        SELECT o_custkey FROM sales_data WHERE o_orderstatus = 'O'
+        SELECT DISTINCT o_custkey FROM sales_data WHERE o_orderstatus = 'O'
     """,
     "sql_except": """
-        SELECT o_custkey FROM sales_data WHERE o_orderstatus = 'F'
+        SELECT DISTINCT o_custkey FROM sales_data WHERE o_orderstatus = 'F'
         EXCEPT
-        SELECT o_custkey FROM sales_data WHERE o_orderpriority = '1-URGENT'
+        SELECT DISTINCT o_custkey FROM sales_data WHERE o_orderpriority = '1-URGENT'
     """,
     "sql_rollup": """
         SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n_orders,

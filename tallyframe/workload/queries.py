@@ -217,19 +217,17 @@ def summary(kpi_name: str) -> Query:
 
 def summary_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A summary per region from one comparison and one driver job over two months."""
-    table = sales(spark, sf_dir, "r_name", "p_brand")
-    rows = filter_periods(table, "l_shipdate", PREVIOUS, CURRENT)
-    trend = monthly_kpi(rows, SALES_SETTINGS, REVENUE, ["r_name"])
+    regional = filter_periods(sales(spark, sf_dir, "r_name"), "l_shipdate", PREVIOUS, CURRENT)
+    trend = monthly_kpi(regional, SALES_SETTINGS, REVENUE, ["r_name"])
     change = compare_periods(trend, PREVIOUS, CURRENT, ["r_name"])
     drivers = segment_drivers(
-        rows,
+        sales(spark, sf_dir, "r_name", "p_brand"),
         SALES_SETTINGS,
         REVENUE,
         "p_brand",
         PREVIOUS,
         CURRENT,
         ["r_name"],
-        [PREVIOUS, CURRENT],
         ordered=False,
     )
     return kpi_summary(change, REVENUE, drivers, ["r_name"])
