@@ -44,6 +44,11 @@ COLUMN_FACTS = (
 # More than this share of all rows must parse for a string column to be a date.
 DATE_PARSE_RATIO = 0.7
 
+# Texts of the quality notes (fixed values).
+DUPLICATES_FOUND = "Detected %d duplicate rows."
+MISSING_FOUND = "Detected %d missing values across the dataset."
+NOTHING_FOUND = "No major data quality issues detected from basic profiling."
+
 # Repeated row hashes up to this many are broadcast (8 bytes each, about 16 MB).
 MAX_BROADCAST_HASHES = 2_000_000
 
@@ -311,15 +316,13 @@ def quality_notes(profile: DataFrame) -> DataFrame:
     """Sentences about duplicates and missing values, from ``profile_dataset``."""
     duplicated = F.when(
         F.col("duplicate_rows") > 0,
-        F.format_string("Detected %d duplicate rows.", "duplicate_rows"),
+        F.format_string(DUPLICATES_FOUND, "duplicate_rows"),
     )
     missing = F.when(
         F.col("missing_total") > 0,
-        F.format_string("Detected %d missing values across the dataset.", "missing_total"),
+        F.format_string(MISSING_FOUND, "missing_total"),
     )
     notes = F.concat_ws(" ", duplicated, missing)
     return profile.select(
-        F.when(notes != "", notes)
-        .otherwise("No major data quality issues detected from basic profiling.")
-        .alias("quality_notes")
+        F.when(notes != "", notes).otherwise(NOTHING_FOUND).alias("quality_notes")
     )

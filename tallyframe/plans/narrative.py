@@ -12,7 +12,27 @@ from tallyframe.functions.numbers import direction, format_kpi_value, plain_numb
 from tallyframe.operators.drivers import SEGMENT, SEGMENT_COLUMN
 from tallyframe.operators.trend import CHANGE_FIELDS
 
+# Texts of the summary (fixed values).
 NO_CHANGE = "Not enough period data is available to generate a KPI summary."
+CHANGE_PERCENT = " This represents a %.2f%% change."
+LOWEST_DRIVER = ", the biggest negative driver was "
+HIGHEST_DRIVER = ". The biggest positive driver was "
+DRIVER_CHANGE = " with a change of "
+
+# Texts of the investigation log (fixed values): who does what, and the outcomes.
+LOG_STEPS = (
+    ("Data Quality Agent", "Checked missing values, duplicates, and column types."),
+    ("KPI Agent", "Calculated monthly {kpi_name}."),
+    ("Change Detection Agent", "Compared current period against previous period."),
+    ("Anomaly Agent", "Checked for unusual KPI values using z-score detection."),
+    ("Forecast Agent", "Generated a baseline KPI forecast."),
+)
+TREND_OUTCOME = "Generated %d monthly KPI records."
+CHANGE_OUTCOME = "%s changed by %s (%s%%)."
+ANOMALY_OUTCOME = "Detected %d anomalies."
+NO_ANOMALY_CHECK = "No anomaly check was performed."
+FORECAST_OUTCOME = "Forecasted %d future periods."
+NO_FORECAST = "Not enough data to forecast."
 
 
 def kpi_summary(
@@ -68,9 +88,7 @@ def change_sentence(kpi_name: str) -> Column:
         F.lit(" in "),
         F.col("change.current_period"),
         F.lit("."),
-        F.when(
-            percent.isNotNull(), F.format_string(" This represents a %.2f%% change.", percent)
-        ).otherwise(""),
+        F.when(percent.isNotNull(), F.format_string(CHANGE_PERCENT, percent)).otherwise(""),
     )
 
 
@@ -79,13 +97,13 @@ def driver_sentence(kpi_name: str) -> Column:
     text = F.concat(
         F.lit(" By "),
         lowest[SEGMENT_COLUMN],
-        F.lit(", the biggest negative driver was "),
+        F.lit(LOWEST_DRIVER),
         lowest[SEGMENT],
-        F.lit(" with a change of "),
+        F.lit(DRIVER_CHANGE),
         format_kpi_value(lowest["absolute_change"], kpi_name),
-        F.lit(". The biggest positive driver was "),
+        F.lit(HIGHEST_DRIVER),
         highest[SEGMENT],
-        F.lit(" with a change of "),
+        F.lit(DRIVER_CHANGE),
         format_kpi_value(highest["absolute_change"], kpi_name),
         F.lit("."),
     )
@@ -101,54 +119,33 @@ def investigation_steps(
     kpi_name: str,
 ) -> DataFrame:
     """Five-row log of an investigation of one series: step, who, what, outcome."""
-    flagged = F.format_string("Detected %d anomalies.", F.count_if("is_anomaly"))
-    found = [
-        (
-            notes,
-            "Data Quality Agent",
-            "Checked missing values, duplicates, and column types.",
-            F.max("quality_notes"),
-        ),
-        (
-            trend,
-            "KPI Agent",
-            f"Calculated monthly {kpi_name}.",
-            F.format_string("Generated %d monthly KPI records.", F.count(F.lit(1))),
-        ),
+    rows = F.count(F.lit(1))
+    outcomes = (
+        (notes, F.max("quality_notes")),
+        (trend, F.format_string(TREND_OUTCOME, rows)),
         (
             change,
-            "Change Detection Agent",
-            "Compared current period against previous period.",
-            F.concat(
-                F.lit(f"{kpi_name} changed by "),
+            F.format_string(
+                CHANGE_OUTCOME,
+                F.lit(kpi_name),
                 plain_number(F.max("absolute_change")),
-                F.lit(" ("),
                 plain_number(F.max("percent_change")),
-                F.lit("%)."),
             ),
         ),
         (
             anomalies,
-            "Anomaly Agent",
-            "Checked for unusual KPI values using z-score detection.",
-            F.when(F.count(F.lit(1)) > 0, flagged).otherwise("No anomaly check was performed."),
-        ),
-        (
-            forecast,
-            "Forecast Agent",
-            "Generated a baseline KPI forecast.",
-            F.when(
-                F.count(F.lit(1)) > 0,
-                F.format_string("Forecasted %d future periods.", F.count(F.lit(1))),
-            ).otherwise("Not enough data to forecast."),
+            F.when(rows > 0, F.format_string(ANOMALY_OUTCOME, F.count_if("is_anomaly"))).otherwise(
+                NO_ANOMALY_CHECK
+            ),
         ),
-    ]
+        (forecast, F.when(rows > 0, F.format_string(FORECAST_OUTCOME, rows)).otherwise(NO_FORECAST)),
+    )
     log = None
-    for number, (table, agent, task, outcome) in enumerate(found, start=1):
+    for number, ((agent, task), (table, outcome)) in enumerate(zip(LOG_STEPS, outcomes), start=1):
         row = table.agg(outcome.alias("output")).select(
             F.lit(number).alias("step_no"),
             F.lit(agent).alias("agent"),
-            F.lit(task).alias("task"),
+            F.lit(task.format(kpi_name=kpi_name)).alias("task"),
             "output",
         )
         log = row if log is None else log.unionByName(row)
