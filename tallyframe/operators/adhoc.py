@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.functions.columns import named, quote_identifier
+from tallyframe.functions.columns import named, present, quote_identifier
 from tallyframe.functions.kpi import order_count
 from tallyframe.functions.numbers import round2
 from tallyframe.settings import AOV, ORDERS, REVENUE, Settings
@@ -86,13 +86,13 @@ def kpi_by_segment(
     has_revenue = settings.revenue_col is not None
     has_orders = settings.order_col is not None
     if kpi_name == REVENUE and has_revenue:
-        name, value = "total_revenue", round2(F.sum(named(settings.revenue_col)))
+        name, value = "total_revenue", round2(F.sum(present(df, settings.revenue_col)))
     elif kpi_name == ORDERS and has_orders:
         name, value = "total_orders", order_count(df, settings)
     elif kpi_name == AOV and has_revenue and has_orders:
         name = "average_order_value"
         value = round2(
-            F.try_divide(F.sum(named(settings.revenue_col)), order_count(df, settings))
+            F.try_divide(F.sum(present(df, settings.revenue_col)), order_count(df, settings))
         )
     else:
         return preview(df, PREVIEW_ROWS)

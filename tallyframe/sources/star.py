@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.functions.dates import filter_periods
 from tallyframe.session import split_hot_keys
 from tallyframe.settings import Settings
 from tallyframe.sources.datasets import read_dataset
@@ -42,41 +43,46 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_dataset(spark, f"{sf_dir}/{name}.parquet", SCHEMAS[name])
 
 
-def sales(spark: SparkSession, sf_dir: str, *segments: str) -> DataFrame:
+def customers_with_places(spark: SparkSession, sf_dir: str, segments: set[str]) -> DataFrame:
+    customers = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    if not {"n_name", "r_name"} & segments:
+        return customers
+    places = load(spark, sf_dir, "nation")
+    if "r_name" in segments:
+        regions = load(spark, sf_dir, "region")
+        places = places.join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return customers.join(places, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+
+
+def sales(
+    spark: SparkSession, sf_dir: str, *segments: str, months: tuple[str, ...] = ()
+) -> DataFrame:
     """Line items with the named segment columns; only the tables holding those are joined.
 
-    Customer attributes are first put onto the orders, so that the line items,
-    by far the largest table, are shuffled only once for them. Small tables are
-    broadcast by Spark's own size check, the others are sort-merge joins whose
-    hot keys AQE splits.
+    Over all months, customer attributes are first put onto the orders, so that
+    the line items, by far the largest table, are shuffled only once for them.
+    With ``months`` few line items are left, and these are joined to the orders
+    and then to the customers, so that most orders are never joined further.
+    Small tables are broadcast by Spark's own size check, the others are
+    sort-merge joins whose hot keys AQE splits.
     """
     facts = load(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         "l_partkey",
         "l_shipdate",
-        "l_returnflag",
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net_revenue"),
     )
+    if months:
+        facts = filter_periods(facts, "l_shipdate", *months)
     if set(segments) & set(CUSTOMER_SEGMENTS):
-        customers = load(spark, sf_dir, "customer").select(
-            "c_custkey", "c_nationkey", "c_mktsegment"
-        )
-        if {"n_name", "r_name"} & set(segments):
-            places = load(spark, sf_dir, "nation")
-            if "r_name" in segments:
-                regions = load(spark, sf_dir, "region")
-                places = places.join(
-                    regions, F.col("n_regionkey") == F.col("r_regionkey"), "left"
-                )
-            customers = customers.join(
-                places, F.col("c_nationkey") == F.col("n_nationkey"), "left"
-            )
-        buyers = (
-            load(spark, sf_dir, "orders")
-            .select("o_orderkey", "o_custkey")
-            .join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
-        )
-        facts = facts.join(buyers, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        customers = customers_with_places(spark, sf_dir, set(segments))
+        buyers = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+        same_order = F.col("l_orderkey") == F.col("o_orderkey")
+        same_customer = F.col("o_custkey") == F.col("c_custkey")
+        if months:
+            facts = facts.join(buyers, same_order, "left").join(customers, same_customer, "left")
+        else:
+            facts = facts.join(buyers.join(customers, same_customer, "left"), same_order, "left")
     if "p_brand" in segments:
         parts = load(spark, sf_dir, "part").select("p_partkey", "p_brand")
         facts = facts.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")

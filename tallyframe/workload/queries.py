@@ -88,7 +88,7 @@ def orders_drivers(kpi_name: str, segment: str, *periods: str) -> Query:
 
 def sales_drivers(kpi_name: str, segment: str, *periods: str) -> Query:
     return lambda spark, sf_dir: segment_drivers(
-        sales(spark, sf_dir, segment), SALES_SETTINGS, kpi_name, segment, *periods
+        sales(spark, sf_dir, segment, months=periods), SALES_SETTINGS, kpi_name, segment, *periods
     )
 
 
@@ -106,7 +106,7 @@ def compared(mode: str, *periods: str) -> Query:
 
 
 def compared_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = filter_periods(sales(spark, sf_dir, "n_name"), "l_shipdate", PREVIOUS, CURRENT)
+    rows = sales(spark, sf_dir, "n_name", months=(PREVIOUS, CURRENT))
     trend = monthly_kpi(rows, SALES_SETTINGS, AOV, ["n_name"])
     return compare_periods(trend, PREVIOUS, CURRENT, ["n_name"])
 
@@ -217,11 +217,11 @@ def summary(kpi_name: str) -> Query:
 
 def summary_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A summary per region from one comparison and one driver job over two months."""
-    regional = filter_periods(sales(spark, sf_dir, "r_name"), "l_shipdate", PREVIOUS, CURRENT)
+    regional = sales(spark, sf_dir, "r_name", months=(PREVIOUS, CURRENT))
     trend = monthly_kpi(regional, SALES_SETTINGS, REVENUE, ["r_name"])
     change = compare_periods(trend, PREVIOUS, CURRENT, ["r_name"])
     drivers = segment_drivers(
-        sales(spark, sf_dir, "r_name", "p_brand"),
+        sales(spark, sf_dir, "r_name", "p_brand", months=(PREVIOUS, CURRENT)),
         SALES_SETTINGS,
         REVENUE,
         "p_brand",
@@ -348,7 +348,7 @@ ALL_QUERIES: dict[str, Query] = {
         events(spark, sf_dir), EVENTS_SETTINGS, REVENUE, "event_type"
     ),
     "drivers_all": lambda spark, sf_dir: drivers_all_segments(
-        sales(spark, sf_dir, "r_name", "c_mktsegment", "p_brand"),
+        sales(spark, sf_dir, "r_name", "c_mktsegment", "p_brand", months=(PREVIOUS, CURRENT)),
         SALES_SETTINGS,
         ORDERS,
         ["r_name", "c_mktsegment", "p_brand"],
