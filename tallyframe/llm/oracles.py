@@ -18,4 +18,46 @@ SELECT conv_id, count(*) AS n_turns,
 FROM rows_ GROUP BY conv_id
 """
 
-LLM_ORACLES = {"op1_chat_formatting": _CHAT}
+_MEASURES = (
+    ("symbols", "n_symbols", "word_chars", 1000, 10),
+    ("echoes", "n_echo_words", "n_words", 1000, 20),
+    ("repeats", "n_repeat_words", "n_words", 1000, 50),
+    ("line_copies", "n_dup_lines", "n_lines", 1000, 100),
+    ("word_length", "word_chars", "n_words", 100, 100),
+)
+
+_QUALITY = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l
+  FROM documents),
+windows AS (SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS win FROM d, unnest(range(1, len(w) - 6)) AS u(i)),
+twice AS (SELECT rid, unnest(places) AS i FROM (SELECT rid, list(i) AS places FROM windows GROUP BY rid, win HAVING count(*) > 1)),
+repeated AS (SELECT rid, count(DISTINCT i + j) AS n FROM twice, range(8) AS r(j) GROUP BY rid),
+m AS (
+  SELECT d.rid, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::BIGINT AS n_echo_words
+  FROM d LEFT JOIN repeated USING (rid)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+s AS (""" + " UNION ALL ".join(
+    f"SELECT rid, lang, source, base_failed, '{name}' AS measure, {step} AS step, {scale} * {part} // greatest({whole}, 1) AS v FROM f"
+    for name, part, whole, scale, step in _MEASURES
+) + r"""),
+b AS (SELECT *, greatest(length(bin(v)) - 7, 0)::BIGINT AS k FROM s),
+c AS (SELECT lang, source, measure, step, (v >> k) << k AS v, count(*) AS n FROM b WHERE NOT base_failed GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY v) AS below, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM c),
+q AS (SELECT lang, source, measure, step, min(v) FILTER (2 * below >= total) AS med, min(v) FILTER (4 * below >= 3 * total) AS upper FROM r GROUP BY ALL),
+beyond AS (
+  SELECT DISTINCT rid FROM s JOIN q ON s.measure = q.measure AND s.lang IS NOT DISTINCT FROM q.lang AND s.source IS NOT DISTINCT FROM q.source
+  WHERE s.v > med + 6 * greatest(upper - med, q.step))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND rid NOT IN (SELECT rid FROM beyond) AS kept
+FROM f
+"""
+
+LLM_ORACLES = {"op1_chat_formatting": _CHAT, "op5_quality_rules": _QUALITY}

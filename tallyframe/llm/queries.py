@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_round_trip
 from .chat import chat_digests
 from .licenses import license_report
+from .ngram_join import ngram_jaccard_join
+from .quality import quality_report
 from .runtime import table
 from .token_counts import token_counts
 
@@ -21,6 +23,14 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
@@ -30,5 +40,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op3_bpe_round_trip, op8_license_scan, op9_token_counts)
+    f.__name__: f for f in (op1_chat_formatting, op3_bpe_round_trip, op4_ngram_jaccard_join, op5_quality_rules, op8_license_scan, op9_token_counts)
 }
