@@ -12,11 +12,12 @@ own are done. For the others the product runs over these rare columns, and pairs
 that follow from sizes and positions are discarded; overlaps of the pairs that stay are accumulated
 over all shared columns, which gives the exact similarity.
 
-Columns with many similar rows would give the square of their number in pairs. Instead, a few pivot
-rows of each column are multiplied with all its rows, links found are contracted, and columns whose
+Columns with many similar rows would give the square of their number in pairs. Instead, one pivot
+row of each column is multiplied with all its rows, links found are contracted, and columns whose
 rows all have one label are done. What is still mixed after some rounds is multiplied completely:
-all rows outside a column's largest label with all rows of other labels. So no link between
-different labels is missed, and copies are never expanded.
+all rows outside a column's largest label with all rows of other labels, where overlaps with common
+pivots bound those of the pairs. So no link between different labels is missed, and copies are
+never expanded.
 
 Shingles in more than one document of ``HOT_SHARE`` in any task's input skip the blocks: their
 number is bounded by ``HOT_SHARE`` times the mean set size, and their counts go to every task.
@@ -46,11 +47,10 @@ BLOCK_ENTRIES = 2_000_000
 HELD_ENTRIES = 2_000_000
 HOT_SHARE = 4096
 HOT_LEAST = 8
-#: Pivot rows of a column in a round, and rounds before the rest is multiplied completely.
-PIVOTS = 4
-ROUNDS = 6
-#: The rest is multiplied at once when it has no more pairs for each entry than this.
-PAIRS_AN_ENTRY = 2
+#: Rounds with one pivot row for each column, before the rest is multiplied completely.
+ROUNDS = 2
+#: Bytes of a class, a hash of the set.
+KEY = 10
 #: Word hashes kept by a worker.
 KEPT_WORDS = 500_000
 
@@ -86,6 +86,10 @@ def shingles(text: str, width: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(mixed)
 
 
+def set_key(entries: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(entries.tobytes())[:KEY]
+
+
 def pack(values: np.ndarray) -> bytes:
     """The low six bytes of each value."""
     return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -120,7 +124,7 @@ def membership(docs: DataFrame, id_column: str, text: str, width: int) -> DataFr
         for batch in batches:
             nothing = batch.column("id").type
             sets = [shingles(t, width, hashes) for t in texts_of(batch, "_text")]
-            classes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            classes = [set_key(s) if len(s) else None for s in sets]
             empty = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(classes, pa.binary()), pa.array(map(len, sets), pa.int64()), empty, empty], names=names)
             for own, key in zip(sets, classes):
@@ -144,177 +148,234 @@ def hot_columns(found: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r[0] for r in hot], np.uint64), np.array([r[1] for r in hot], np.uint32)
 
 
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts with two bytes each where that is enough, else with four."""
+    return counts.astype(np.uint16 if len(counts) and counts.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def keys_of(data: bytes) -> list[bytes]:
+    return [data[i : i + KEY] for i in range(0, len(data), KEY)]
+
+
+def counts_of(data: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint16 if len(data) == 2 * rows else np.uint32).astype(np.int64)
+
+
+def packed_rows(place: np.ndarray, owner: np.ndarray, keys: np.ndarray, entries: np.ndarray, times: np.ndarray | None, sizes: np.ndarray | None) -> Iterator[tuple]:
+    """Entries dealt to places: for each, the owners' keys and sizes, their counts, the entries, their columns' counts."""
+    order = np.argsort(place, kind="stable")
+    place, owner, entries = place[order], owner[order], entries[order]
+    starts = np.flatnonzero(np.diff(place, prepend=-1)).tolist()
+    for a, b in zip(starts, [*starts[1:], len(place)]):
+        own, counts = np.unique(owner[a:b], return_counts=True)
+        columns = b"" if times is None else times[order[a:b]].astype(np.uint32).tobytes()
+        yield int(place[a]), keys[own].tobytes(), b"" if sizes is None else sizes[own].tobytes(), narrow(counts), pack(entries[a:b]), columns
+
+
+PACKED = ("place", "keys", "sizes", "counts", "entries", "times")
+PACKED_SCHEMA = "place int, keys binary, sizes binary, counts binary, entries binary, times binary"
+
+
+def packed_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    rows = list(rows)
+    for i in range(0, len(rows), 64):
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows[i : i + 64]), [pa.int32(), *[pa.binary()] * 5])]
+        yield pa.RecordBatch.from_arrays(columns, names=list(PACKED))
+
+
+def homes(keys: np.ndarray, blocks: int) -> np.ndarray:
+    return (keys[:, :4].copy().view(np.uint32).reshape(-1) % np.uint32(blocks)).astype(np.int64)
+
+
 def column_blocks(docs: DataFrame, blocks: int, hot: tuple[np.ndarray, np.ndarray], text: str, width: int) -> DataFrame:
-    """The entries of each distinct set of a task, by block of columns.
+    """The entries of each distinct set of a task, dealt to blocks of columns.
 
-    A row has the sets that meet a block: 16 bytes of class, their sizes, how many entries each has
-    here, and the entries. Entries of hot columns go to a block chosen by class, with their counts.
+    A row has the sets that meet a block: their keys, how many entries each has here, and the
+    entries. Rows with sizes are for the place where a set's entries meet again, which its key
+    names; they hold the sizes and the entries of hot columns, with the counts of these.
     """
     shared = docs.sparkSession.sparkContext.broadcast(hot)
-    names = ["block", "classes", "sizes", "counts", "entries", "known"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, times = shared.value
         hashes, seen = WordHashes(), set()
-        classes: list[bytes] = []
-        sets: list[np.ndarray] = []
+        gathered: list[tuple[bytes, np.ndarray]] = []
         held = 0
 
         def dealt() -> Iterator[pa.RecordBatch]:
-            sizes = np.array([len(s) for s in sets], np.uint32)
-            keys = np.frombuffer(b"".join(classes), np.uint8).reshape(-1, 16)
-            entries, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
-            place = np.minimum(np.searchsorted(values, entries), max(len(values) - 1, 0))
-            is_hot = values[place] == entries if len(values) else np.zeros(len(entries), bool)
-            home = keys[:, :4].copy().view(np.uint32).reshape(-1) % blocks
-            for chosen in (~is_hot, is_hot):
-                e, o = entries[chosen], owner[chosen]
-                block = (e % np.uint64(blocks)).astype(np.uint32) if chosen is not is_hot else home[o].astype(np.uint32)
-                known = times[place[chosen]] if chosen is is_hot and len(values) else None
-                order = np.argsort(block, kind="stable")
-                block, e, o = block[order], e[order], o[order]
-                starts = np.flatnonzero(np.diff(block, prepend=-1))
-                rows = []
-                for a, b in zip(starts, [*starts[1:], len(block)]):
-                    own, counts = np.unique(o[a:b], return_counts=True)
-                    mine = b"" if known is None else known[order[a:b]].astype(np.uint32).tobytes()
-                    rows.append((int(block[a]), keys[own].tobytes(), sizes[own].tobytes(), counts.astype(np.uint32).tobytes(), pack(e[a:b]), mine))
-                for i in range(0, len(rows), 64):
-                    columns = zip(*rows[i : i + 64])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int32(), *[pa.binary()] * 5])], names=names)
+            keys = np.frombuffer(b"".join(k for k, _ in gathered), np.uint8).reshape(-1, KEY)
+            sizes = np.array([len(s) for _, s in gathered], np.uint32)
+            entries, owner = np.concatenate([s for _, s in gathered]), np.repeat(np.arange(len(sizes)), sizes)
+            if len(values):
+                at = np.minimum(np.searchsorted(values, entries), len(values) - 1)
+                is_hot = values[at] == entries
+            else:
+                at, is_hot = np.zeros(len(entries), np.int64), np.zeros(len(entries), bool)
+            cold = ~is_hot
+            yield from packed_batches(packed_rows((entries[cold] % np.uint64(blocks)).astype(np.int64), owner[cold], keys, entries[cold], None, None))
+            home, hot_owner, hot_entries = homes(keys, blocks), owner[is_hot], entries[is_hot]
+            hot_times = times[at[is_hot]] if len(values) else np.zeros(0, np.uint32)
+            yield from packed_batches(headed(home, keys, sizes, hot_owner, hot_entries, hot_times))
+
+        def headed(home, keys, sizes, owner, entries, times) -> Iterator[tuple]:
+            counts = np.bincount(owner, minlength=len(keys))
+            ends = np.cumsum(counts)
+            order = np.argsort(home, kind="stable")
+            starts = np.flatnonzero(np.diff(home[order], prepend=-1)).tolist()
+            for a, b in zip(starts, [*starts[1:], len(order)]):
+                own = order[a:b]
+                take = np.concatenate([np.arange(ends[i] - counts[i], ends[i]) for i in own])
+                yield int(home[own[0]]), keys[own].tobytes(), sizes[own].tobytes(), narrow(counts[own]), pack(entries[take]), times[take].astype(np.uint32).tobytes()
 
         for batch in batches:
             for t in texts_of(batch, "_text"):
                 own = shingles(t, width, hashes)
-                if len(own) and (key := xxhash.xxh3_128_digest(own.tobytes())) not in seen:
+                if len(own) and (key := set_key(own)) not in seen:
                     seen.add(key)
-                    classes.append(key)
-                    sets.append(own & _LOW48)
+                    gathered.append((key, own & _LOW48))
                     held += len(own)
             if held > HELD_ENTRIES:
                 yield from dealt()
-                classes, sets, held = [], [], 0
-        if sets:
+                gathered, held = [], 0
+        if gathered:
             yield from dealt()
 
-    return map_arrow(docs.select(F.col(f"`{text}`").alias("_text")), task, "block int, classes binary, sizes binary, counts binary, entries binary, known binary")
+    return map_arrow(docs.select(F.col(f"`{text}`").alias("_text")), task, PACKED_SCHEMA)
 
 
-def counted_entries(packed: DataFrame) -> DataFrame:
-    """Of each block, the entries in columns with two rows or more, by class (class, n, entries, times)."""
+def counted_entries(packed: DataFrame, blocks: int) -> DataFrame:
+    """Of each block, the entries in columns with two rows or more, dealt to the places of their sets."""
 
     def count(block: pa.Table) -> pa.Table:
-        out = []
-        cold = [i for i, k in enumerate(block.column("known").to_pylist()) if not k]
-        for chosen, is_hot in ((cold, False), ([i for i in range(block.num_rows) if i not in set(cold)], True)):
-            if not chosen:
-                continue
-            part = block.take(chosen)
-            join = lambda name: b"".join(part.column(name).to_pylist())
-            keys = np.frombuffer(join("classes"), "V16")
-            sizes, counts = (np.frombuffer(join(x), np.uint32).astype(np.int64) for x in ("sizes", "counts"))
-            entries = unpack(join("entries"))
-            # Sets that several tasks have met come several times, with the same entries.
-            first = np.zeros(len(keys), bool)
-            first[list({k.tobytes(): i for i, k in reversed(list(enumerate(keys)))}.values())] = True
-            use = np.repeat(first, counts)
-            keys, sizes, counts, entries = keys[first], sizes[first], counts[first], entries[use]
-            if is_hot:
-                times = np.frombuffer(join("known"), np.uint32)[use]
-            else:
-                _, inverse, columns = np.unique(entries, return_inverse=True, return_counts=True)
-                times = columns[inverse].astype(np.uint32)
+        rows = list(zip(*(block.column(c).to_pylist() for c in PACKED)))
+        ready = [r for r in rows if r[2]]
+        parts = [(keys_of(r[1]), r[3], unpack(r[4])) for r in rows if not r[2]]
+        # Sets that several tasks have met come several times, with the same entries.
+        seen: set[bytes] = set()
+        keys: list[bytes] = []
+        chosen, counts = [], []
+        for own, sizes, entries in parts:
+            first = np.array([not (k in seen or seen.add(k)) for k in own])
+            sizes = counts_of(sizes, len(own))
+            keys += [k for k, f in zip(own, first) if f]
+            counts.append(sizes[first])
+            chosen.append(entries[np.repeat(first, sizes)])
+        if keys:
+            entries, owner = np.concatenate(chosen), np.repeat(np.arange(len(keys)), np.concatenate(counts))
+            _, inverse, columns = np.unique(entries, return_inverse=True, return_counts=True)
+            times = columns[inverse]
             shared = times >= 2
-            left = np.add.reduceat(shared.astype(np.int64), np.cumsum(counts) - counts) if len(counts) else counts
-            entries, times, some = entries[shared], times[shared], left > 0
-            ends = np.cumsum(left[some]).astype(np.int32)
-            offsets = np.concatenate([[np.int32(0)], ends])
+            entries, owner, times = entries[shared], owner[shared], times[shared]
+            table = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY)
+            ready += packed_rows(homes(table, blocks)[owner], owner, table, entries, times, None)
+        columns = list(zip(*ready)) if ready else [[]] * 6
+        return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.int32(), *[pa.binary()] * 5])], names=list(PACKED))
 
-            def binary(data: bytes, step: int) -> pa.Array:
-                return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((offsets * step).astype(np.int32).tobytes()), pa.py_buffer(data)])
-
-            out.append(
-                pa.table(
-                    {
-                        "class": pa.array([k.tobytes() for k in keys[some]], pa.binary()),
-                        "n": pa.array(sizes[some]),
-                        "entries": binary(pack(entries), 6),
-                        "times": binary(times.tobytes(), 4),
-                    }
-                )
-            )
-        return pa.concat_tables(out)
-
-    return packed.groupBy("block").applyInArrow(count, "class binary, n long, entries binary, times binary")
+    return packed.groupBy("place").applyInArrow(count, PACKED_SCHEMA)
 
 
 def open_rows(entries: DataFrame, percent: int) -> DataFrame:
-    """Classes that may have a partner (class, n, entries, own, prefix).
+    """Sets that may have a partner (class, n, entries, own, prefix).
 
     ``entries`` are those in columns with other rows, rarest first; ``own`` is the number of
     entries before them that no other row has; ``prefix`` the number to be multiplied.
     """
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for key, n, parts, times in zip(*(batch.column(c).to_pylist() for c in ("class", "n", "parts", "times"))):
-                values, counts = unpack(b"".join(parts)), np.frombuffer(b"".join(times), np.uint32)
-                first = n - (percent * n + 99) // 100 + 1
-                own = n - len(values)
-                if own < first:
-                    rows.append((key, n, values[np.lexsort((values, counts))].astype(np.int64), own, first - own))
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["class", "n", "entries", "own", "prefix"])
-
-    whole = entries.groupBy("class").agg(F.first("n").alias("n"), F.collect_list(F.struct("entries", "times")).alias("p"))
-    whole = whole.select("class", "n", F.col("p.entries").alias("parts"), F.col("p.times").alias("times"))
-    return map_arrow(whole, task, "class binary, n long, entries array<long>, own long, prefix long")
-
-
-def possible(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
-    """Whether sets of these sizes that first meet at these positions (from 0) can still be similar."""
-    most = F.least(n1 - p1, n2 - p2)
+    def gather(place: pa.Table) -> pa.Table:
+        numbers: dict[bytes, int] = {}
+        sizes: dict[int, int] = {}
+        owners, values, times = [], [], []
+        for _, own, heads, counts, data, columns in zip(*(place.column(c).to_pylist() for c in PACKED)):
+            keys = keys_of(own)
+            owner = np.array([numbers.setdefault(k, len(numbers)) for k in keys])
+            counts = counts_of(counts, len(keys))
+            use = np.ones(len(keys), bool)
+            if heads:
+                use = np.array([o not in sizes for o in owner.tolist()])
+                sizes.update((o, n) for o, n, u in zip(owner.tolist(), np.frombuffer(heads, np.uint32).tolist(), use) if u)
+            chosen = np.repeat(use, counts)
+            owners.append(np.repeat(owner, counts)[chosen])
+            values.append(unpack(data)[chosen])
+            times.append(np.frombuffer(columns, np.uint32)[chosen])
+        owner, values, times = (np.concatenate(x) for x in (owners, values, times))
+        n = np.array([sizes[i] for i in range(len(numbers))], np.int64)
+        here = np.bincount(owner, minlength=len(n))
+        first, own = n - (percent * n + 99) // 100 + 1, n - here
+        is_open = own < first
+        chosen = is_open[owner]
+        owner, values, times = owner[chosen], values[chosen], times[chosen]
+        order = np.lexsort((values, times, owner))
+        offsets = np.concatenate([[0], np.cumsum(here[is_open])]).astype(np.int32)
+        return pa.table(
+            {
+                "class": pa.array([k for k, u in zip(numbers, is_open) if u], pa.binary()),
+                "n": pa.array(n[is_open]),
+                "entries": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[order].astype(np.int64))),
+                "own": pa.array(own[is_open]),
+                "prefix": pa.array((first - own)[is_open]),
+            }
+        )
+
+    return entries.groupBy("place").applyInArrow(gather, "class binary, n long, entries array<long>, own long, prefix long")
+
+
+def possible(x: str, y: str, percent: int) -> Column:
+    """Whether two sets that first meet in these cells can still be similar.
+
+    Their overlap is at most what either has from its cell on. If both were multiplied with the same
+    pivot, it is also at most the smaller of their overlaps with the pivot plus the smaller of the
+    numbers of their other shared entries.
+    """
+    n1, n2 = F.col(f"{x}.n"), F.col(f"{y}.n")
+    most = F.least(n1 - F.col(f"{x}.at"), n2 - F.col(f"{y}.at"))
+    by_pivot = F.least(f"{x}.met", f"{y}.met") + F.least(F.col(f"{x}.shared") - F.col(f"{x}.met"), F.col(f"{y}.shared") - F.col(f"{y}.met"))
+    most = F.when(F.col(f"{x}.pivot") == F.col(f"{y}.pivot"), F.least(most, by_pivot)).otherwise(most)
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (100 * most >= percent * (n1 + n2 - most))
 
 
-def verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs of classes (a, b) whose similarity reaches the threshold, by the overlap of all entries."""
+def overlaps(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, overlap, linked) of pairs of classes, by all entries of both."""
     one, two = (rows.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("entries").alias(f"e{x}")) for x in "ab")
-    both = F.size(F.array_intersect("ea", "eb"))
-    return pairs.join(one, "a").join(two, "b").withColumn("overlap", both).where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
+    both = F.size(F.array_intersect("ea", "eb")).cast("long")
+    linked = 100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))
+    return pairs.join(one, "a").join(two, "b").withColumn("overlap", both).select("a", "b", "overlap", linked.alias("linked"))
 
 
 def linked_classes(rows: DataFrame, percent: int) -> DataFrame:
     """(node, label) of the open classes: equal labels are connected by links."""
     prefix = F.posexplode(F.slice("entries", F.lit(1), F.col("prefix").cast("int")))
-    cells = rows.select("class", "n", "own", prefix).select("class", "n", F.col("col").alias("column"), (F.col("own") + F.col("pos")).alias("at"))
+    cells = rows.select("class", "n", "own", F.size("entries").cast("long").alias("shared"), prefix)
+    cells = cells.select("class", "n", "shared", F.col("col").alias("column"), (F.col("own") + F.col("pos")).alias("at"))
     several = cells.groupBy("column").agg(F.count("*").alias("m")).where("m > 1").select("column")
     cells = written(cells.join(several, "column"), "cells")
     labels = written(rows.select(F.col("class").alias("node"), F.col("class").alias("label")), "labels")
+    nearest = labels.select(F.col("node").alias("class"), F.col("node").alias("pivot"), F.lit(None).cast("long").alias("met")).limit(0)
     for turn in range(ROUNDS + 1):
-        named = cells.join(labels.withColumnRenamed("node", "class"), "class")
+        named = cells.join(labels.withColumnRenamed("node", "class"), "class").join(nearest, "class", "left")
         parts = named.groupBy("column", "label").agg(F.count("*").alias("m"))
-        sums = parts.groupBy("column").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("most"), F.count("*").alias("labels"))
-        mixed = written(sums.where("labels > 1").select("column", "m", F.col("most.label").alias("main"), (F.col("m") - F.col("most.m")).alias("others")), "mixed")
-        left = mixed.agg(F.sum(F.col("others") * F.col("m")), F.sum("m")).first()
-        if not left[0]:
-            break
-        last = turn == ROUNDS or left[0] <= PAIRS_AN_ENTRY * left[1]
-        open_cells = written(named.join(mixed.select("column", "main"), "column"), "open")
-        others = open_cells.where("label != main") if turn or last else open_cells
-        first = others.select(F.col("column"), F.col("class").alias("c1"), F.col("label").alias("l1"), F.col("n").alias("n1"), F.col("at").alias("p1"))
-        if not last:
-            # By a hash of the class, so that columns with the same rows choose the same pivots.
-            order = Window.partitionBy("column").orderBy(F.xxhash64("c1", F.lit(turn)), "c1")
-            first = first.withColumn("k", F.row_number().over(order)).where(F.col("k") <= (PIVOTS if turn else 1)).drop("k")
-        other = open_cells.select("column", F.col("class").alias("c2"), F.col("label").alias("l2"), F.col("n").alias("n2"), F.col("at").alias("p2"))
-        found = first.join(other, "column").where((F.col("l1") != F.col("l2")) & possible(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), percent))
-        pairs = found.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct()
-        labels = contracted(labels, written(verified(pairs, rows, percent), "links"))
-        if last:
+        mixed = parts.groupBy("column").agg(F.count("*").alias("labels"), F.max(F.struct("m", "label"))["label"].alias("main")).where("labels > 1")
+        known = written(named.join(mixed.select("column", "main"), "column"), "open")
+        if known.isEmpty():
             break
+        cell = F.struct("class", "label", "n", "shared", "at", "pivot", "met")
+        one = known.where("label != main") if turn else known
+        if turn < ROUNDS:
+            # The rows with the smallest share of own entries are nearest to the others.
+            order = Window.partitionBy("column").orderBy(F.expr("shared * 1000 div n").desc(), F.xxhash64("class"), "class")
+            one = one.withColumn("k", F.row_number().over(order)).where("k = 1")
+        one, two = one.select("column", cell.alias("x")), known.select("column", cell.alias("y"))
+        met = one.join(two, "column").where((F.col("x.label") != F.col("y.label")) & possible("x", "y", percent))
+        if turn < ROUNDS:
+            pairs = met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+        else:
+            pairs = met.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+        found = written(overlaps(pairs, rows, percent), "overlaps")
+        labels = contracted(labels, found.where("linked"))
+        if turn < ROUNDS:
+            seen = found.groupBy(F.col("b").alias("class")).agg(F.max(F.struct(F.col("overlap").alias("met"), F.col("a").alias("pivot"))).alias("p"))
+            own = found.select(F.col("a").alias("class")).distinct().join(rows.select("class", F.size("entries").cast("long").alias("met")), "class")
+            now = seen.select("class", "p.pivot", "p.met").join(own.select("class"), "class", "left_anti").unionByName(own.select("class", F.col("class").alias("pivot"), "met"))
+            nearest = written(now.unionByName(nearest.join(now, "class", "left_anti")), "nearest")
     return labels
 
 
@@ -325,7 +386,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     rows, total = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     blocks = max(1, -(-total // BLOCK_ENTRIES))
     hot = hot_columns(found, rows)
-    entries = counted_entries(column_blocks(docs, blocks, hot, text, width))
+    entries = counted_entries(column_blocks(docs, blocks, hot, text, width), blocks)
     labels = linked_classes(written(open_rows(entries, percent), "rows"), percent)
     classes = members.where("n > 0").groupBy("class").agg(F.min("id").alias("least"))
     labelled = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("label", "class").alias("label"))
