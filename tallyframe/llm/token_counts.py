@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .runtime import map_arrow, texts_of, whole_text, written
 
 #: At most so many pre-tokens are hot, of at most so many bytes each.
-HOT_PARTS = 1 << 17
-HOT_BYTES = 48
+HOT_PARTS = 1 << 20
+HOT_BYTES = 32
 #: Distinct pre-tokens a task holds before it hands them on; they are added up after the shuffle.
 HELD_PIECES = 200_000
 #: The pattern of the byte-level pre-tokenizer (fixed value).
