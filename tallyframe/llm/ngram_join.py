@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import contracted
@@ -361,9 +361,11 @@ def linked_classes(rows: DataFrame, percent: int) -> DataFrame:
         one = known.where("label != main") if turn else known
         if turn < ROUNDS:
             # The rows with the smallest share of own entries are nearest to the others.
-            order = Window.partitionBy("column").orderBy(F.expr("shared * 1000 div n").desc(), F.xxhash64("class"), "class")
-            one = one.withColumn("k", F.row_number().over(order)).where("k = 1")
-        one, two = one.select("column", cell.alias("x")), known.select("column", cell.alias("y"))
+            central = F.struct(F.expr("shared * 1000 div n"), F.xxhash64("class"), "class", cell.alias("x"))
+            one = one.groupBy("column").agg(F.max(central).alias("most")).select("column", "most.x")
+        else:
+            one = one.select("column", cell.alias("x"))
+        two = known.select("column", cell.alias("y"))
         met = one.join(two, "column").where((F.col("x.label") != F.col("y.label")) & possible("x", "y", percent))
         if turn < ROUNDS:
             pairs = met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()

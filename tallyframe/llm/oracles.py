@@ -60,4 +60,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
-LLM_ORACLES = {"op1_chat_formatting": _CHAT, "op5_quality_rules": _QUALITY}
+_MIX = """
+WITH sizes AS (SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS chars FROM documents GROUP BY source HAVING sum(length(coalesce(text, ''))) > 0),
+rated AS (SELECT source, pow(chars, 0.5) / sum(pow(chars, 0.5)) OVER () * (sum(chars) OVER () * 1.0) / chars AS rate FROM sizes),
+parted AS (SELECT *, greatest(ceil(rate / 16), 1)::BIGINT AS parts FROM rated),
+means AS (SELECT source, parts, rate / parts AS mean FROM parted),
+probabilities AS (
+  SELECT source, parts, k, sum(exp(-mean + k * ln(mean) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS below
+  FROM means, range(81) AS r(k)),
+tables AS (SELECT source, parts, list(below ORDER BY k) AS below FROM probabilities GROUP BY source, parts),
+keyed AS (
+  SELECT doc_id, d.source, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS key, parts, below
+  FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source),
+drawn AS (
+  SELECT doc_id, source, key, list_sum(list_transform(range(1, parts + 1), lambda part:
+    len(list_filter(below, lambda p: p <= ('0x' || substr(md5('mix-1|' || key || '|' || part::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0))))::BIGINT AS n
+  FROM keyed)
+SELECT doc_id, source, c::INTEGER AS copy, md5('mix-1|place|' || key || '|' || c::VARCHAR) AS place
+FROM drawn, unnest(range(1, n + 1)) AS u(c)
+"""
+
+LLM_ORACLES = {"op6_source_mix": _MIX, "op1_chat_formatting": _CHAT, "op5_quality_rules": _QUALITY}

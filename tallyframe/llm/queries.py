@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_round_trip
 from .chat import chat_digests
 from .licenses import license_report
+from .mixing import source_mix
 from .ngram_join import ngram_jaccard_join
 from .quality import quality_report
 from .runtime import table
 from .token_counts import token_counts
+from .vptree import nearest_neighbours
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +33,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix(table(spark, sf_dir, "documents"))
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
@@ -40,5 +50,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op3_bpe_round_trip, op4_ngram_jaccard_join, op5_quality_rules, op8_license_scan, op9_token_counts)
+    f.__name__: f for f in (op1_chat_formatting, op3_bpe_round_trip, op4_ngram_jaccard_join, op5_quality_rules, op6_source_mix, op7_nearest_neighbours, op8_license_scan, op9_token_counts)
 }
