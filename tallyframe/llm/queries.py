@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_round_trip
 from .chat import chat_digests
+from .html_extract import page_texts
 from .licenses import license_report
 from .mixing import source_mix
 from .ngram_join import ngram_jaccard_join
 from .quality import quality_report
 from .runtime import table
+from .secrets_scan import secret_report
 from .token_counts import token_counts
 from .vptree import nearest_neighbours
 
@@ -21,6 +23,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(table(spark, sf_dir, "conversations"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
@@ -49,6 +55,22 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op3_bpe_round_trip, op4_ngram_jaccard_join, op5_quality_rules, op6_source_mix, op7_nearest_neighbours, op8_license_scan, op9_token_counts)
+    f.__name__: f
+    for f in (
+        op1_chat_formatting,
+        op2_secret_scan,
+        op3_bpe_round_trip,
+        op4_ngram_jaccard_join,
+        op5_quality_rules,
+        op6_source_mix,
+        op7_nearest_neighbours,
+        op8_license_scan,
+        op9_token_counts,
+        op10_html_extraction,
+    )
 }
