@@ -28,13 +28,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest id, null last.
 
-    Rows are numbered in the order in which the table is read, so repeated ids are told apart.
+    Rows are numbered in the order in which the table is read, so repeated ids are told apart. The
+    table of kept rows grows with the input, so it is never broadcast, however small it is.
     """
     row = F.monotonically_increasing_id()
     numbered = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row.alias("row")).alias("id"), "text")
     groups = jaccard_components(numbered, WIDTH, PERCENT, id_column="id")
     kept = written(groups.where("id = component_id").select(F.col("id.row").alias("_row")), "kept")
-    return docs.withColumn("_row", row).join(kept, "_row", "left_semi").drop("_row")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), row.alias("_row"))
+    return rows.join(kept.hint("merge"), "_row", "left_semi").select("_doc.*")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by the Poisson draws of their sources, shuffled."""
-    return mix(docs).drop("_copy", "_place")
+    return mix(docs).select("_doc.*")
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import map_arrow, texts_of
+from .runtime import apart, map_arrow, texts_of
 
 #: Encoded pre-tokens that a worker keeps; it starts anew beyond that, which changes no result.
 KEPT_WORDS = 500_000
@@ -222,11 +222,11 @@ def encode(df: DataFrame, vocabulary: str | None = None, text: str = "text", kee
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
         for batch in batches:
-            values, offsets = model.encode_batch(texts_of(batch, "_text"))
+            values, offsets = model.encode_batch(texts_of(batch))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], names=[*keep, ids])
 
-    return map_arrow(df.select(F.col(f"`{text}`").alias("_text"), *columns), task, f"{schema}`{ids}` array<int>")
+    return map_arrow(df.select(F.col(f"`{text}`").alias(apart(keep)), *columns), task, f"{schema}`{ids}` array<int>")
 
 
 def decode(df: DataFrame, vocabulary: str | None = None, ids: str = "ids", keep: list[str] = (), text: str = "text") -> DataFrame:
@@ -237,9 +237,9 @@ def decode(df: DataFrame, vocabulary: str | None = None, ids: str = "ids", keep:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], model.decode_batch(batch.column("_ids"))], names=[*keep, text])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], model.decode_batch(batch.column(0))], names=[*keep, text])
 
-    return map_arrow(df.select(F.col(f"`{ids}`").alias("_ids"), *columns), task, f"{schema}`{text}` string")
+    return map_arrow(df.select(F.col(f"`{ids}`").alias(apart(keep)), *columns), task, f"{schema}`{text}` string")
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -284,7 +284,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
     # Pages are told apart by their content, so that the vectors don't depend on how rows are dealt.
     page = F.xxhash64(F.col(f"`{url}`"), F.col(f"`{html}`"))
     rows = pages.select(host.alias("host"), page.alias("page"), F.col(f"`{html}`").alias("html"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{k}`") for k in keep]).alias("row"))
-    known = written(templates(token_sums(rows)), "templates")
+    known = written(templates(written(token_sums(rows), "tokens")), "templates")
     kind = rows.schema["row"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import map_arrow, texts_of
+from .runtime import apart, map_arrow, texts_of
 
 LOOKUPS = 12
 LEAST_VOTES = 3
@@ -146,7 +146,7 @@ def vocabulary_weights(docs: DataFrame, templates: tuple[Template, ...], text: s
         rows = 0
         for batch in batches:
             rows += batch.num_rows
-            for t in texts_of(batch, "_text"):
+            for t in texts_of(batch):
                 for word in vocabulary.intersection(words_of(t)):
                     counts[word] += 1
         yield pa.RecordBatch.from_arrays([pa.array(["", *(w.decode() for w in counts)]), pa.array([rows, *counts.values()], pa.int64())], names=["word", "n"])
@@ -167,7 +167,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
         index = LicenseIndex(templates, weights)
         for batch in batches:
             rows = []
-            for t in texts_of(batch, "_text"):
+            for t in texts_of(batch):
                 words = words_of(t)
                 places, base = index.base_places(words)
                 scores = index.found(words)
@@ -177,7 +177,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*keep, "n_words", "places", "base", "found", "score"])
 
     return map_arrow(
-        docs.select(F.col(f"`{text}`").alias("_text"), *[F.col(f"`{k}`") for k in keep]),
+        docs.select(F.col(f"`{text}`").alias(apart(keep)), *[F.col(f"`{k}`") for k in keep]),
         task,
         f"{schema}n_words long, places array<long>, base array<string>, found array<string>, score double",
     )

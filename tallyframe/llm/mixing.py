@@ -69,16 +69,18 @@ def copies(key: Column, parts: Column, below: Column, seed: str = SEED) -> Colum
 
 
 def mix(docs: DataFrame, targets: dict[str, float] | None = None, epochs: float = 1.0, power: float = POWER, seed: str = SEED, id_column: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` repeated by their draws and shuffled, with ``_copy`` (from 1) and ``_place``."""
-    table = written(rates(docs, targets, epochs, power, source, text), "rates")
-    key = F.coalesce(F.col(f"`{id_column}`").cast("string"), F.md5(whole_text(f"`{text}`")))
-    keyed = docs.join(table, docs[f"`{source}`"].eqNullSafe(table["_source"]))
-    drawn = keyed.withColumn("_n", copies(key, F.col("parts"), F.col("below"), seed)).where("_n > 0")
-    out = drawn.select(*[docs[f"`{c}`"] for c in docs.columns], key.alias("_key"), F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
-    placed = out.withColumn("_place", F.md5(F.concat_ws("|", F.lit(seed), F.lit("place"), "_key", F.col("_copy").cast("string")))).drop("_key")
+    """The rows of ``docs`` (``_doc``) repeated by their draws and shuffled, with ``_copy`` (from 1) and ``_place``."""
+    table = written(rates(docs, targets, epochs, power, source, text), "rates").select(F.struct("*").alias("_rate"))
+    # In a struct, columns of the caller can't clash with those made here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    key = F.coalesce(F.col(f"_doc.`{id_column}`").cast("string"), F.md5(whole_text(f"_doc.`{text}`")))
+    keyed = rows.join(table, F.col(f"_doc.`{source}`").eqNullSafe(F.col("_rate._source")))
+    drawn = keyed.select("_doc", key.alias("_key"), copies(key, F.col("_rate.parts"), F.col("_rate.below"), seed).alias("_n")).where("_n > 0")
+    out = drawn.select("_doc", "_key", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
+    placed = out.select("_doc", "_copy", F.md5(F.concat_ws("|", F.lit(seed), F.lit("place"), "_key", F.col("_copy").cast("string"))).alias("_place"))
     return placed.repartition("_place").sortWithinPartitions("_place")
 
 
 def source_mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, copy and place of every copy in the mix."""
-    return mix(docs.select("doc_id", "source", "text")).select("doc_id", "source", F.col("_copy").alias("copy"), F.col("_place").alias("place"))
+    return mix(docs.select("doc_id", "source", "text")).select("_doc.doc_id", "_doc.source", F.col("_copy").alias("copy"), F.col("_place").alias("place"))

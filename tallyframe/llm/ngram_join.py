@@ -44,7 +44,7 @@ from .runtime import map_arrow, texts_of, written
 #: Entries of a block of columns, on average.
 BLOCK_ENTRIES = 2_000_000
 #: Entries that a task gathers before it hands them to their blocks.
-HELD_ENTRIES = 2_000_000
+HELD_ENTRIES = 1_000_000
 HOT_SHARE = 4096
 HOT_LEAST = 8
 #: Rounds with one pivot row for each column, before the rest is multiplied completely.
@@ -52,7 +52,7 @@ ROUNDS = 2
 #: Bytes of a class, a hash of the set.
 KEY = 10
 #: Word hashes kept by a worker.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 
 _LOW48 = np.uint64((1 << 48) - 1)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -123,7 +123,7 @@ def membership(docs: DataFrame, id_column: str, text: str, width: int) -> DataFr
 
         for batch in batches:
             nothing = batch.column("id").type
-            sets = [shingles(t, width, hashes) for t in texts_of(batch, "_text")]
+            sets = [shingles(t, width, hashes) for t in texts_of(batch, 1)]
             classes = [set_key(s) if len(s) else None for s in sets]
             empty = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(classes, pa.binary()), pa.array(map(len, sets), pa.int64()), empty, empty], names=names)
@@ -228,7 +228,7 @@ def column_blocks(docs: DataFrame, blocks: int, hot: tuple[np.ndarray, np.ndarra
                 yield int(home[own[0]]), keys[own].tobytes(), sizes[own].tobytes(), narrow(counts[own]), pack(entries[take]), times[take].astype(np.uint32).tobytes()
 
         for batch in batches:
-            for t in texts_of(batch, "_text"):
+            for t in texts_of(batch):
                 own = shingles(t, width, hashes)
                 if len(own) and (key := set_key(own)) not in seen:
                     seen.add(key)

@@ -29,10 +29,8 @@ _MEASURES = (
 _QUALITY = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t,
-    list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
-]+'), lambda x: x <> '') AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
-]')) AS l
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents),
 windows AS (SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS win FROM d, unnest(range(1, len(w) - 6)) AS u(i)),
 twice AS (SELECT rid, unnest(places) AS i FROM (SELECT rid, list(i) AS places FROM windows GROUP BY rid, win HAVING count(*) > 1)),

@@ -144,14 +144,23 @@ def thresholds(quality: DataFrame, lang: str = "lang", source: str = "source") -
     return quartiles.groupBy("_lang", "_source").agg(F.map_from_entries(F.collect_list(F.struct("measure", fence.alias("fence")))).alias("fences"))
 
 
-def judged(quality: DataFrame, fences: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """``quality`` with ``_kept``: the fixed rules and the thresholds of the row's group."""
+def verdict() -> Column:
+    """The fixed rules and the thresholds of the row's group.
+
+    One expression that is not a conjunction: Spark would push a part of one below the join and
+    measure the texts once more for it.
+    """
     beyond = F.lit(False)
     for m in MEASURES:
-        beyond = beyond | (share(m) > F.col("fences")[m.name])
-    same = quality[f"`{lang}`"].eqNullSafe(fences["_lang"]) & quality[f"`{source}`"].eqNullSafe(fences["_source"])
-    kept = ~F.col("_quality.failed") & ~F.coalesce(beyond, F.lit(False))
-    return quality.join(fences, same, "left").withColumn("_kept", kept).drop("_lang", "_source", "fences")
+        beyond = beyond | (share(m) > F.col("_fences.fences")[m.name])
+    return F.when(F.col("_quality.failed"), False).otherwise(~F.coalesce(beyond, F.lit(False)))
+
+
+def judged(quality: DataFrame, fences: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """``quality`` (with columns of these names) and ``_kept``, the verdict."""
+    groups = fences.select(F.struct("*").alias("_fences"))
+    same = F.col(lang).eqNullSafe(F.col("_fences._lang")) & F.col(source).eqNullSafe(F.col("_fences._source"))
+    return quality.join(groups, same, "left").withColumn("_kept", verdict()).drop("_fences")
 
 
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -159,8 +168,13 @@ def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", sour
 
     Texts are measured twice rather than shuffled: once for the thresholds, once for the verdict.
     """
-    fences = written(thresholds(measured(docs.select(text, lang, source), text), lang, source), "fences")
-    return judged(measured(docs, text), fences, lang, source).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # In a struct, columns of the caller can't clash with those made here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    inputs = [F.col(f"_row.`{c}`").alias(name) for c, name in ((text, "text"), (lang, "lang"), (source, "source"))]
+    quality = written(measured(rows.select(*inputs)).drop("text"), "quality")
+    fences = written(thresholds(quality), "fences")
+    found = judged(measured(rows.select("_row", *inputs)), fences)
+    return found.where("_kept").select("_row.*")
 
 
 def quality_report(docs: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
-def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
+def texts_of(batch: pa.RecordBatch, column: int = 0) -> list[str]:
     """The texts of a column; null counts as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]
 
@@ -57,6 +57,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(keep: list[str], name: str = "_text") -> str:
+    """A name for a column of our own that no kept column has."""
+    while name in keep:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -77,7 +77,7 @@ def distinct_pieces(docs: DataFrame, vocabulary: str, text: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(list(held.values()), pa.int64())], names=["piece", "n"])
 
         for batch in batches:
-            for t in texts_of(batch, "_text"):
+            for t in texts_of(batch):
                 held.update(frequencies(t, specials)[0])
                 if len(held) > HELD_PIECES:
                     yield handed()
@@ -120,7 +120,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, text: str = "te
         known = hot.value
         for batch in batches:
             totals, offsets, names, times = [], [0], [], []
-            for t in texts_of(batch, "_text"):
+            for t in texts_of(batch):
                 found, total = frequencies(t, specials)
                 for piece, n in found.items():
                     if (pieces := known.get(piece)) is None:
