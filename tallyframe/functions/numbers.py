@@ -11,12 +11,18 @@ from tallyframe.settings import AOV, REVENUE
 def round2(value: Column) -> Column:
     """Round to 2 decimals, halves away from zero.
 
-    Distributed sums add up in no fixed order, so their last bits vary from run
-    to run. Rounding to 6 decimals first keeps that noise from deciding halves.
+    For sums and what is made of them: distributed sums add up in no fixed
+    order, so their last bits vary from run to run. Rounding to 6 decimals
+    first keeps that noise from deciding halves.
     """
     return F.round(F.round(value, 6), 2)
 
 
+def plain_round2(value: Column) -> Column:
+    """Round to 2 decimals in one step, for ratios and differences of rounded values."""
+    return F.round(value, 2)
+
+
 def percent_change(previous: Column, current: Column) -> Column:
     """NULL when the previous value is 0."""
     return F.try_divide(current - previous, previous) * 100

@@ -16,15 +16,40 @@ TABLE_NAME = "sales_data"
 PREVIEW_ROWS = 10
 DOUBLE_QUOTED_IDENTIFIERS = "spark.sql.ansi.doubleQuotedIdentifiers"
 
-# An SQL function: the analyzer puts its body into the plan, where a literal
-# pattern folds to a constant.
-STRFTIME = """
-CREATE OR REPLACE TEMPORARY FUNCTION strftime(moment TIMESTAMP_NTZ, pattern STRING)
-RETURNS STRING
-RETURN date_format(moment,
-  replace(replace(replace(replace(replace(replace(
-    pattern, '%Y', 'yyyy'), '%m', 'MM'), '%d', 'dd'), '%H', 'HH'), '%M', 'mm'), '%S', 'ss'))
-"""
+# Directives of strftime and the patterns of Spark's that mean the same (fixed values).
+DIRECTIVES = {
+    "%Y": "yyyy",
+    "%y": "yy",
+    "%m": "MM",
+    "%-m": "M",
+    "%d": "dd",
+    "%-d": "d",
+    "%j": "DDD",
+    "%b": "MMM",
+    "%B": "MMMM",
+    "%a": "EEE",
+    "%A": "EEEE",
+    "%H": "HH",
+    "%-H": "H",
+    "%I": "hh",
+    "%-I": "h",
+    "%p": "a",
+    "%M": "mm",
+    "%-M": "m",
+    "%S": "ss",
+    "%-S": "s",
+}
+
+# An SQL function: the analyzer puts its body into the plan. The pattern is cut into directives and
+# the text between them; text is kept as it is, and an unknown directive fails.
+STRFTIME = (
+    "CREATE OR REPLACE TEMPORARY FUNCTION strftime(moment TIMESTAMP_NTZ, pattern STRING) RETURNS STRING "
+    "RETURN CASE WHEN moment IS NOT NULL THEN array_join(transform("
+    "regexp_extract_all(pattern, '(%-?.|%|[^%]+)', 1), part -> CASE part "
+    + " ".join(f"WHEN '{name}' THEN date_format(moment, '{form}')" for name, form in DIRECTIVES.items())
+    + " WHEN '%%' THEN '%' ELSE CASE WHEN part LIKE '\\%%' "
+    "THEN raise_error(concat('strftime does not know ', part)) ELSE part END END), '') END"
+)
 
 
 def run_sql(
@@ -35,7 +60,8 @@ def run_sql(
     Blank text gives an empty result. ``select_only`` refuses texts that do not
     start with SELECT; without it, commands run as soon as they are given.
     ``double_quotes`` reads "name" as an identifier, and not as a text.
-    ``strftime(moment, pattern)`` is available for the month and day patterns.
+    ``strftime(moment, pattern)`` knows the directives of ``DIRECTIVES`` and fails
+    on others.
     """
     spark = df.sparkSession
     if select_only and not query.strip().lower().startswith("select"):
@@ -77,11 +103,16 @@ def sample_queries(settings: Settings, segment_col: str) -> dict[str, str]:
 
 
 def kpi_by_segment(
-    df: DataFrame, settings: Settings, kpi_name: str, segment_col: str = "region"
+    df: DataFrame,
+    settings: Settings,
+    kpi_name: str,
+    segment_col: str = "region",
+    preview_instead: bool = False,
 ) -> DataFrame:
     """KPI of each segment over all months, highest first; rows without segment form a group.
 
-    If the table lacks a column role the KPI needs, some rows are shown instead.
+    A column role that the KPI needs must be given, unless ``preview_instead``
+    asks for some rows of the table in that case.
     """
     has_revenue = settings.revenue_col is not None
     has_orders = settings.order_col is not None
@@ -94,6 +125,8 @@ def kpi_by_segment(
         value = round2(
             F.try_divide(F.sum(present(df, settings.revenue_col)), order_count(df, settings))
         )
-    else:
+    elif preview_instead:
         return preview(df, PREVIEW_ROWS)
+    else:
+        raise ValueError(f"{kpi_name} needs column roles that the settings do not have")
     return df.groupBy(named(segment_col)).agg(value.alias(name)).orderBy(F.desc(name))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import named
-from tallyframe.functions.numbers import round2
+from tallyframe.functions.numbers import plain_round2, round2
 from tallyframe.settings import DEFAULT_Z_THRESHOLD
 
 
@@ -42,7 +42,7 @@ def detect_anomalies(
         .withColumn(
             "z_score",
             F.when(
-                varies, round2(F.try_divide(value - F.col("__mean"), F.col("__spread")))
+                varies, plain_round2(F.try_divide(value - F.col("__mean"), F.col("__spread")))
             ).otherwise(F.lit(0.0)),
         )
         .withColumn(

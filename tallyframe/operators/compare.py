@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import named
-from tallyframe.functions.numbers import direction, percent_change, round2
+from tallyframe.functions.numbers import direction, percent_change, plain_round2, round2
 
 # Ways to choose the two months (fixed values).
 LATEST_VS_PREVIOUS = "Latest vs previous"
@@ -42,31 +42,40 @@ def compare_periods(
 ) -> DataFrame:
     """Change between two months of a trend, with its direction.
 
-    Without ``by`` the query fails when run if a month is absent; the check is
-    part of the plan, so the trend is not computed a second time for it. With
-    ``by`` a series lacking a month keeps its row, with NULLs.
+    Without ``by`` the query fails when run if a month is absent; the check is a
+    filter of the plan, so whatever is selected from the result keeps it, and
+    the trend is not computed a second time for it. With ``by`` a series lacking
+    a month keeps its row, with NULLs.
     """
     keys = [named(key) for key in by]
 
     def value_in(period: str) -> Column:
-        value = F.max(F.when(F.col("period") == period, F.col("kpi_value")))
-        if by:
-            return value
-        return F.coalesce(value, F.raise_error(f"period {period} is not in the trend").cast("double"))
+        return F.max(F.when(F.col("period") == period, F.col("kpi_value")))
 
+    def missing(period: str) -> Column:
+        return F.raise_error(f"period {period} is not in the trend").cast("boolean")
+
+    complete = F.lit(True)
+    if not by:
+        complete = (
+            F.when(F.col("previous_value").isNull(), missing(previous))
+            .when(F.col("current_value").isNull(), missing(current))
+            .otherwise(True)
+        )
     change = F.col("current_value") - F.col("previous_value")
     return (
         trend.filter(F.col("period").isin(previous, current))
         .groupBy(*keys)
         .agg(value_in(previous).alias("previous_value"), value_in(current).alias("current_value"))
+        .filter(complete)
         .select(
             *keys,
             F.lit(previous).alias("previous_period"),
             F.lit(current).alias("current_period"),
             round2(F.col("previous_value")).alias("previous_value"),
             round2(F.col("current_value")).alias("current_value"),
-            round2(change).alias("absolute_change"),
-            round2(percent_change(F.col("previous_value"), F.col("current_value"))).alias(
+            plain_round2(change).alias("absolute_change"),
+            plain_round2(percent_change(F.col("previous_value"), F.col("current_value"))).alias(
                 "percent_change"
             ),
             direction(change).alias("direction"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.columns import named, present
 from tallyframe.functions.dates import coerce_date, filter_periods, month_of, month_start
 from tallyframe.functions.kpi import check_kpi, kpi_value, role_columns
-from tallyframe.functions.numbers import percent_change, round2
+from tallyframe.functions.numbers import percent_change, plain_round2, round2
 from tallyframe.operators.trend import MONTH, collect_periods
 from tallyframe.settings import Settings
 
@@ -167,7 +167,7 @@ def compare_segments(
         round2(F.col("previous")).alias("previous_value"),
         round2(F.col("current")).alias("current_value"),
         round2(F.col("current") - F.col("previous")).alias("absolute_change"),
-        round2(percent_change(F.col("previous"), F.col("current"))).alias("percent_change"),
+        plain_round2(percent_change(F.col("previous"), F.col("current"))).alias("percent_change"),
     )
 
 

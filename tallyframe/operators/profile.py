@@ -22,7 +22,6 @@ from tallyframe.functions.dates import (
     detect_date_format,
     format_hits,
 )
-from tallyframe.session import durable
 from tallyframe.settings import Settings
 
 # Column names that suggest a role, most telling first (fixed values).
@@ -47,11 +46,9 @@ DATE_PARSE_RATIO = 0.7
 # Texts of the quality notes (fixed values).
 DUPLICATES_FOUND = "Detected %d duplicate rows."
 MISSING_FOUND = "Detected %d missing values across the dataset."
+NOT_CHECKED = "Duplicate rows were not checked."
 NOTHING_FOUND = "No major data quality issues detected from basic profiling."
 
-# Repeated row hashes up to this many are broadcast (8 bytes each, about 16 MB).
-MAX_BROADCAST_HASHES = 2_000_000
-
 
 def column_counts(df: DataFrame, distinct_estimates: bool = False) -> DataFrame:
     """One row of counts behind both profiles: rows, missing values, date format hits."""
@@ -229,13 +226,17 @@ def suggest_settings(columns: DataFrame) -> Settings:
 
 
 def duplicate_rows(df: DataFrame) -> int:
-    """Rows equal to an earlier row in all columns, missing equal to missing.
+    """Rows equal to an earlier row in all columns, missing equal to missing; runs a job."""
+    return duplicate_count(df).first()[0]
+
+
+def duplicate_count(df: DataFrame) -> DataFrame:
+    """The number of duplicates as one row (duplicate_rows), in one plan for every table.
 
-    Shuffling whole rows is the dearest step of a profile, so an 8-byte hash of
-    each row is counted first. Rows with a hash of their own cannot be
-    duplicates; only the others are grouped by all columns, which also sorts
-    out hash collisions. Many repeated hashes mean many candidates: then whole
-    rows are grouped without the detour.
+    An 8-byte hash of each row is counted first. Rows with a hash of their own
+    cannot be duplicates; only the others are grouped by all columns, which also
+    sorts out hash collisions. The join carries no hint: Spark chooses it by the
+    measured size of the repeated hashes.
     """
     hashed = [
         named(field.name) for field in df.schema.fields if not holds_map(field.dataType)
@@ -243,17 +244,8 @@ def duplicate_rows(df: DataFrame) -> int:
     if not hashed:
         return count_repeats(df)
     row_hash = F.xxhash64(*hashed)
-    repeated = durable(
-        df.groupBy(row_hash.alias("row_hash")).count().filter("count > 1").select("row_hash")
-    )
-    hashes = repeated.count()
-    if hashes == 0:
-        return 0
-    if hashes > MAX_BROADCAST_HASHES:
-        return count_repeats(df)
-    return count_repeats(
-        df.join(F.broadcast(repeated), row_hash == F.col("row_hash"), "left_semi")
-    )
+    repeated = df.groupBy(row_hash.alias("row_hash")).count().filter("count > 1").select("row_hash")
+    return count_repeats(df.join(repeated, row_hash == F.col("row_hash"), "left_semi"))
 
 
 def holds_map(dtype: T.DataType) -> bool:
@@ -265,12 +257,12 @@ def holds_map(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.MapType)
 
 
-def count_repeats(df: DataFrame) -> int:
+def count_repeats(df: DataFrame) -> DataFrame:
     """Duplicates by grouping on all columns; copies are combined before the shuffle."""
     counted = df.groupBy(*[named(name) for name in df.columns]).agg(
         F.count(F.lit(1)).alias("__copies")
     )
-    return counted.agg(F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0))).first()[0]
+    return counted.agg(F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
 def profile_dataset(
@@ -286,7 +278,7 @@ def profile_dataset(
             ],
         )
     missing = [F.col(f"missing_{position}") for position in range(len(df.columns))]
-    repeats = F.lit(duplicate_rows(df)) if duplicates else F.lit(None)
+    repeats = duplicate_count(df).scalar() if duplicates else F.lit(None)
     fields = df.schema.fields
     return counts.select(
         "rows",
@@ -313,11 +305,14 @@ def text_array(texts: list[str]) -> Column:
 
 
 def quality_notes(profile: DataFrame) -> DataFrame:
-    """Sentences about duplicates and missing values, from ``profile_dataset``."""
+    """Sentences about duplicates and missing values, from ``profile_dataset``.
+
+    Duplicates that were not looked for are said to be unchecked.
+    """
     duplicated = F.when(
         F.col("duplicate_rows") > 0,
         F.format_string(DUPLICATES_FOUND, "duplicate_rows"),
-    )
+    ).when(F.col("duplicate_rows").isNull(), NOT_CHECKED)
     missing = F.when(
         F.col("missing_total") > 0,
         F.format_string(MISSING_FOUND, "missing_total"),

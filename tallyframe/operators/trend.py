@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.columns import named
 from tallyframe.functions.dates import coerce_date, drop_undated, month_of, period_of
 from tallyframe.functions.kpi import check_kpi, kpi_value
-from tallyframe.functions.numbers import percent_change, round2
+from tallyframe.functions.numbers import percent_change, plain_round2, round2
 from tallyframe.settings import Settings
 
 MONTH = "__month"
@@ -99,8 +99,8 @@ def period_changes(trend: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.lag("period").over(by_period(by)).alias("previous_period"),
         round2(F.col("kpi_value")).alias("current_value"),
         round2(previous).alias("previous_value"),
-        round2(F.col("kpi_value") - previous).alias("absolute_change"),
-        round2(percent_change(previous, F.col("kpi_value"))).alias("percent_change"),
+        plain_round2(F.col("kpi_value") - previous).alias("absolute_change"),
+        plain_round2(percent_change(previous, F.col("kpi_value"))).alias("percent_change"),
     )
 
 

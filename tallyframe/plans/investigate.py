@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 from functools import cached_property
 
@@ -36,6 +37,10 @@ class Investigation:
     once for the trend, once for the profile counts, once to look for
     duplicates, and for two months to find the drivers; what is not asked for
     is not read. Months default to the last two.
+
+    ``segment_rows(previous, current)`` gives the rows of two months with the
+    segment column, where that takes joins; ``df`` then needs no segment, and
+    the trend is made without them. ``report_rows`` cuts the report's tables.
     """
 
     def __init__(
@@ -49,6 +54,8 @@ class Investigation:
         threshold: float = DEFAULT_Z_THRESHOLD,
         steps: int = DEFAULT_FORECAST_STEPS,
         duplicates: bool = True,
+        segment_rows: Callable[[str, str], DataFrame] | None = None,
+        report_rows: int | None = None,
     ) -> None:
         check_kpi(kpi_name, settings)
         self.df = df
@@ -57,6 +64,8 @@ class Investigation:
         self.threshold = threshold
         self.forecast_steps = steps
         self.duplicates = duplicates
+        self.segment_rows = segment_rows
+        self.report_rows = report_rows
         self._settings = settings
         self._named = (previous, current)
 
@@ -123,7 +132,7 @@ class Investigation:
             return None
         return durable(
             segment_drivers(
-                self.df,
+                self.segment_rows(previous, current) if self.segment_rows else self.df,
                 self.settings,
                 self.kpi_name,
                 self.segment_col,
@@ -160,12 +169,13 @@ class Investigation:
     def report(self) -> DataFrame:
         return report_bundle(
             self.kpi_name,
-            self.change,
+            self.comparison if len(self.periods) >= 2 else self.change,
             self.months,
             self.summary,
             self.drivers,
             self.anomalies,
             self.forecast,
+            self.report_rows,
         )
 
 

@@ -14,6 +14,8 @@ from tallyframe.operators.trend import CHANGE_FIELDS
 
 # Texts of the summary (fixed values).
 NO_CHANGE = "Not enough period data is available to generate a KPI summary."
+APPEARED = " has no value in "
+VANISHED = " and no value in "
 CHANGE_PERCENT = " This represents a %.2f%% change."
 LOWEST_DRIVER = ", the biggest negative driver was "
 HIGHEST_DRIVER = ". The biggest positive driver was "
@@ -44,7 +46,8 @@ def kpi_summary(
     """One text per series: the change, and if drivers are given the extreme ones.
 
     Change and driver rows are stacked and folded in one aggregation per series;
-    no join, and no driver list is gathered anywhere.
+    no join, and no driver list is gathered anywhere. A series with a value in
+    one of the two months only gets a sentence that says so.
     """
     keys = [named(key) for key in by]
     changed = change.select(
@@ -70,13 +73,33 @@ def kpi_summary(
     parts = [change_sentence(kpi_name)]
     if drivers is not None:
         parts.append(driver_sentence(kpi_name))
-    summary = F.when(F.col("change").isNull(), NO_CHANGE).otherwise(F.concat(*parts))
+    nothing = F.col("change.previous_value").isNull() & F.col("change.current_value").isNull()
+    summary = F.when(nothing, NO_CHANGE).otherwise(F.concat(*parts))
     return totals.select(*keys, summary.alias("summary"))
 
 
 def change_sentence(kpi_name: str) -> Column:
     percent = F.col("change.percent_change")
-    return F.concat(
+    previous, current = F.col("change.previous_value"), F.col("change.current_value")
+    appeared = F.concat(
+        F.lit(f"{kpi_name}{APPEARED}"),
+        F.col("change.previous_period"),
+        F.lit(" and is "),
+        format_kpi_value(current, kpi_name),
+        F.lit(" in "),
+        F.col("change.current_period"),
+        F.lit("."),
+    )
+    vanished = F.concat(
+        F.lit(f"{kpi_name} was "),
+        format_kpi_value(previous, kpi_name),
+        F.lit(" in "),
+        F.col("change.previous_period"),
+        F.lit(VANISHED),
+        F.col("change.current_period"),
+        F.lit("."),
+    )
+    both = F.concat(
         F.lit(f"{kpi_name} "),
         direction(F.col("change.absolute_change")),
         F.lit(" from "),
@@ -90,6 +113,7 @@ def change_sentence(kpi_name: str) -> Column:
         F.lit("."),
         F.when(percent.isNotNull(), F.format_string(CHANGE_PERCENT, percent)).otherwise(""),
     )
+    return F.when(previous.isNull(), appeared).when(current.isNull(), vanished).otherwise(both)
 
 
 def driver_sentence(kpi_name: str) -> Column:

@@ -4,26 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-REPORT_ROWS = 10
+from tallyframe.session import durable
 
+# What a section without rows holds (fixed value).
+NO_DATA = "No data available."
+PAYLOAD_OPTIONS = {"ignoreNullFields": "false"}
 
-def section(table: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
-    """First rows of a result as JSON, numbered.
 
-    The cut is a distributed top-k, so the numbering window sees at most
-    ``REPORT_ROWS`` rows.
+def section(
+    table: DataFrame, name: str, order: Sequence[str], rows: int | None, by_month: bool
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of a result as JSON, numbered; and a marker row, if the result has none.
+
+    With ``rows``, a distributed top-k cuts the result first. Tables by month
+    are numbered in one task, others by the place of a row in its sorted
+    partition and the sizes of the partitions before it.
     """
-    head = table.orderBy(*order).limit(REPORT_ROWS) if order else table.limit(REPORT_ROWS)
-    number = F.row_number().over(Window.orderBy(*(order or [F.lit(1)])))
-    payload = F.to_json(F.struct(*table.columns), {"ignoreNullFields": "false"})
-    return head.select(
-        F.lit(name).alias("section"), number.alias("row_no"), payload.alias("payload")
+    if rows is not None:
+        table = table.orderBy(*order).limit(rows) if order else table.limit(rows)
+    payload = F.to_json(F.struct(*table.columns), PAYLOAD_OPTIONS).alias("payload")
+    if by_month or rows is not None:
+        number = F.row_number().over(Window.orderBy(*(order or [F.lit(1)])))
+        numbered = table.select(F.lit(name).alias("section"), number.alias("row_no"), payload)
+    else:
+        numbered = numbered_parts(table.orderBy(*order), name, payload)
+    empty = table.agg(F.count(F.lit(1)).alias("rows")).filter("rows = 0")
+    return numbered, marker(empty, name)
+
+
+def numbered_parts(ordered: DataFrame, name: str, payload: Column) -> DataFrame:
+    """Number the rows of a sorted table without gathering them in one task."""
+    kept = durable(ordered.select(payload)).select(
+        "payload",
+        F.spark_partition_id().alias("part"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place"),
+    )
+    sizes = kept.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    before = F.sum("size").over(Window.orderBy("part")) - F.col("size")
+    starts = sizes.select("part", before.alias("start"))
+    return kept.join(starts, "part").select(
+        F.lit(name).alias("section"),
+        (F.col("start") + F.col("place") + 1).cast("int").alias("row_no"),
+        "payload",
     )
 
 
+def marker(one_row: DataFrame, name: str) -> DataFrame:
+    payload = F.to_json(F.struct(F.lit(NO_DATA).alias("note")))
+    return one_row.select(F.lit(name).alias("section"), F.lit(0).alias("row_no"), payload.alias("payload"))
+
+
 def report_bundle(
     kpi_name: str,
     change: DataFrame,
@@ -32,25 +65,32 @@ def report_bundle(
     drivers: DataFrame | None = None,
     anomalies: DataFrame | None = None,
     forecast: DataFrame | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
-    """Report of one series as rows (section, row_no, payload), each table cut to its first rows."""
+    """Report of one series as rows (section, row_no, payload).
+
+    All rows of each table, or its first ``rows``. A section that is empty or
+    not given has one row with number 0 and a note.
+    """
     spark = trend.sparkSession
     kpi = spark.range(1).select(F.lit(kpi_name).alias("kpi_name"))
     if summary is None:
         summary = spark.range(1).select(F.lit("No summary available.").alias("summary"))
     sections = [
-        (kpi, "kpi", ()),
-        (summary, "summary", ()),
-        (change, "change", ()),
-        (trend, "trend", ("period",)),
-        (drivers, "drivers", ("absolute_change", "segment")),
-        (anomalies, "anomalies", ("period",)),
-        (forecast, "forecast", ("period",)),
+        (kpi, "kpi", (), True),
+        (summary, "summary", (), True),
+        (change, "change", (), True),
+        (trend, "trend", ("period",), True),
+        (drivers, "drivers", ("absolute_change", "segment"), False),
+        (anomalies, "anomalies", ("period",), True),
+        (forecast, "forecast", ("period",), True),
     ]
     report = None
-    for table, name, order in sections:
+    for table, name, order, by_month in sections:
         if table is None:
-            continue
-        rows = section(table, name, order)
-        report = rows if report is None else report.unionByName(rows)
+            parts = [marker(spark.range(1), name)]
+        else:
+            parts = section(table, name, order, rows, by_month)
+        for part in parts:
+            report = part if report is None else report.unionByName(part)
     return report

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +32,7 @@ MISSING_TOKENS = (
     "nan",
     "null",
 )
+ENDINGS = {"parquet": r"\.parquet$", "csv": r"\.(csv|tsv|txt)(\.\w+)?$"}
 BOOLEAN_TEXTS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 # Spark's casts also accept texts such as 1d or 2f; a CSV number looks like this.
@@ -42,17 +45,19 @@ def read_dataset(
     path: str | list[str],
     schema: T.StructType | str | None = None,
     multi_line: bool = False,
+    fmt: str | None = None,
 ) -> DataFrame:
     """Read a CSV file with header, or Parquet, into a table with one kind of missing value.
 
-    Parquet is recognised by the ending ``.parquet`` (or a folder so named). For
+    ``fmt`` is ``csv`` or ``parquet``; without it, the endings of the paths (files
+    or folders) must tell. For
     CSV the missing-value tokens become NULL and, unless ``schema`` is given,
     column types are inferred in one pass: integer, double, boolean, else
     string. Dates stay strings until they are coerced. Quoted line breaks need
     ``multi_line``, which keeps Spark from splitting files.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    if all(one.rstrip("/").endswith(".parquet") for one in paths):
+    if file_format(paths, fmt) == "parquet":
         reader = spark.read if schema is None else spark.read.schema(schema)
         return nan_to_null(reader.parquet(*paths))
     reader = spark.read.options(header=True, escape='"', multiLine=multi_line)
@@ -62,6 +67,16 @@ def read_dataset(
     return nan_to_null(apply_types(texts, infer_types(texts)))
 
 
+def file_format(paths: list[str], fmt: str | None) -> str:
+    found = {fmt} if fmt else {
+        next((name for name, ending in ENDINGS.items() if re.search(ending, one.rstrip("/"))), None)
+        for one in paths
+    }
+    if len(found) != 1 or not found <= set(ENDINGS):
+        raise ValueError(f"give fmt, one of {sorted(ENDINGS)}, for {paths}")
+    return found.pop()
+
+
 def tokens_to_null(df: DataFrame) -> DataFrame:
     return df.select(
         *[

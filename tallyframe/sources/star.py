@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions.dates import filter_periods
-from tallyframe.session import split_hot_keys
 from tallyframe.settings import Settings
 from tallyframe.sources.datasets import read_dataset
 
@@ -39,7 +38,6 @@ SCHEMAS = {
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    split_hot_keys(spark)
     return read_dataset(spark, f"{sf_dir}/{name}.parquet", SCHEMAS[name])
 
 

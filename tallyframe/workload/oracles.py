@@ -144,6 +144,11 @@ def r2(value: str) -> str:
     return f"(CAST(round(CAST({value} AS DECIMAL(38, 6)), 2) AS DOUBLE) + 0.0)"
 
 
+def plain_r2(value: str) -> str:
+    """Rounded to 2 decimals in one step."""
+    return f"(round({value}, 2) + 0.0)"
+
+
 def listed(names: tuple[str, ...]) -> str:
     return "".join(f"{name}, " for name in names)
 
@@ -155,7 +160,7 @@ def trend(rows: str, kpi_name: str, *by: str, value: str | None = None) -> str:
 
 
 def percent(previous: str, current: str) -> str:
-    return r2(f"({current} - {previous}) / nullif({previous}, 0) * 100")
+    return plain_r2(f"({current} - {previous}) / nullif({previous}, 0) * 100")
 
 
 def changes(trend_sql: str, *by: str) -> str:
@@ -163,7 +168,7 @@ def changes(trend_sql: str, *by: str) -> str:
     return f"""SELECT {listed(by)}period AS current_period,
         lag(period) OVER w AS previous_period,
         kpi_value AS current_value, lag(kpi_value) OVER w AS previous_value,
-        {r2('kpi_value - lag(kpi_value) OVER w')} AS absolute_change,
+        {plain_r2('kpi_value - lag(kpi_value) OVER w')} AS absolute_change,
         {percent('lag(kpi_value) OVER w', 'kpi_value')} AS percent_change
       FROM ({trend_sql}) t WINDOW w AS ({parts}ORDER BY period)"""
 
@@ -196,7 +201,7 @@ def compare(rows: str, kpi_name: str, previous: str, current: str, *by: str) ->
     """``previous`` and ``current`` are SQL expressions."""
     group = f"GROUP BY {', '.join(by)}" if by else ""
     return f"""SELECT {listed(by)}previous_period, current_period, previous_value, current_value,
-        {r2('current_value - previous_value')} AS absolute_change,
+        {plain_r2('current_value - previous_value')} AS absolute_change,
         {percent('previous_value', 'current_value')} AS percent_change,
         CASE WHEN current_value > previous_value THEN 'increased'
              WHEN current_value < previous_value THEN 'decreased'
@@ -228,7 +233,7 @@ def drivers(
 def anomalies(trend_sql: str, *by: str, threshold: float = 1.5) -> str:
     parts = f"PARTITION BY {', '.join(by)}" if by else ""
     return f"""SELECT *, abs(z_score) >= {threshold} AND spread > 0 IS TRUE AS flagged FROM (
-        SELECT *, CASE WHEN spread > 0 THEN {r2('(kpi_value - mean) / spread')}
+        SELECT *, CASE WHEN spread > 0 THEN {plain_r2('(kpi_value - mean) / spread')}
           ELSE 0.0 END AS z_score
         FROM (SELECT *, avg(kpi_value) OVER ({parts}) AS mean,
                 stddev_samp(kpi_value) OVER ({parts}) AS spread
@@ -411,7 +416,7 @@ def report(rows: str, kpi_name: str, segment: str, previous: str, current: str)
     text = summary(compare(rows, kpi_name, previous, current), driver_rows, kpi_name)
     return f"""
 WITH t AS ({trend(rows, kpi_name)}), d AS ({driver_rows}), s AS ({text}),
-  c AS ({latest('SELECT * FROM t')}),
+  c AS ({compare(rows, kpi_name, previous, current)}),
   a AS ({anomalies('SELECT * FROM t')}), f AS ({forecast('SELECT * FROM t', 3)}),
   rows_of AS (
     SELECT 'kpi' AS section, 1 AS row_no, '{kpi_name}' AS label, CAST(NULL AS DOUBLE) AS number
@@ -422,10 +427,29 @@ WITH t AS ({trend(rows, kpi_name)}), d AS ({driver_rows}), s AS ({text}),
       absolute_change FROM d
     UNION ALL SELECT 'anomalies', row_number() OVER (ORDER BY period), period, z_score FROM a
     UNION ALL SELECT 'forecast', row_number() OVER (ORDER BY period), period, forecast_value FROM f)
-SELECT section, CAST(row_no AS INTEGER) AS row_no, label, number FROM rows_of WHERE row_no <= 10
+SELECT section, CAST(row_no AS INTEGER) AS row_no, label, number FROM rows_of
 """
 
 
+# One sentence for each customer, also of those with one of the two months only.
+BY_CUSTOMER = f"""SELECT o_custkey, CASE
+    WHEN a IS NULL THEN 'Revenue has no value in ' || {P} || ' and is ' || {money('b')} || ' in ' || {C} || '.'
+    WHEN b IS NULL THEN 'Revenue was ' || {money('a')} || ' in ' || {P} || ' and no value in ' || {C} || '.'
+    ELSE 'Revenue ' || CASE WHEN b > a THEN 'increased' WHEN b < a THEN 'decreased' ELSE 'stayed flat' END
+      || ' from ' || {money('a')} || ' in ' || {P} || ' to ' || {money('b')} || ' in ' || {C} || '.'
+      || coalesce(' This represents a ' || format('{{:.2f}}', {percent('a', 'b')}) || '% change.', '') END AS summary
+  FROM (SELECT o_custkey, {r2("sum(o_totalprice) FILTER (WHERE strftime(o_orderdate, '%Y-%m') = " + P + ")")} AS a,
+          {r2("sum(o_totalprice) FILTER (WHERE strftime(o_orderdate, '%Y-%m') = " + C + ")")} AS b
+        FROM orders WHERE strftime(o_orderdate, '%Y-%m') IN ({P}, {C}) GROUP BY 1) t"""
+
+# The analyses of the phrases by conversation, stated one by one.
+PHRASE_TAGS = """SELECT conv_id, turn, 'profile_dataset,calculate_kpi_trend,' || CASE conv_id % 7
+    WHEN 0 THEN 'compare_periods,' WHEN 1 THEN 'compare_periods,analyze_root_cause,'
+    WHEN 2 THEN 'compare_periods,analyze_root_cause,' WHEN 3 THEN 'detect_anomalies,'
+    WHEN 4 THEN 'forecast_kpi,' WHEN 5 THEN '' ELSE 'compare_periods,run_sql_query,' END
+    || 'generate_insight_summary' AS analyses FROM conversations"""
+
+
 ORACLES = {
     "trend_revenue": ORDERS_REVENUE,
     "trend_orders": ORDERS_ORDERS,
@@ -551,6 +575,9 @@ ORACLES = {
         "Revenue",
         "r_name",
     ),
+    "drivers_null_segment": drivers(TEXT_ROWS, "Revenue", "channel", P, C),
+    "kpi_summary_by_customer": BY_CUSTOMER,
+    "tag_phrases": PHRASE_TAGS,
     "kpi_summary_single_period": "SELECT CASE WHEN count(DISTINCT strftime(ts, '%Y-%m')) < 2 THEN "
     "'Not enough period data is available to generate a KPI summary.' END AS summary FROM events",
     "investigation_steps": STEPS,

@@ -93,12 +93,13 @@ def sales_drivers(kpi_name: str, segment: str, *periods: str) -> Query:
 
 
 def compared(mode: str, *periods: str) -> Query:
-    """Compare two months, reading only those months besides the date column."""
+    """Compare two months, reading only those; their names are looked up only where not given."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         table = orders(spark, sf_dir)
-        present = collect_periods(table, ORDERS_SETTINGS)
-        chosen = comparison_periods(present, mode, *periods)
+        chosen = periods
+        if mode != CUSTOM or len(periods) < 2:
+            chosen = comparison_periods(collect_periods(table, ORDERS_SETTINGS), mode, *periods)
         rows = filter_periods(table, ORDERS_SETTINGS.date_col, *chosen)
         return compare_periods(monthly_kpi(rows, ORDERS_SETTINGS, REVENUE), *chosen)
 
@@ -145,7 +146,7 @@ def csv_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text orders written as CSV with NA for missing, and read back."""
     path = scratch_path(spark, "text-orders-csv")
     text_orders(spark, sf_dir).write.option("header", True).option("nullValue", "NA").csv(path)
-    return read_dataset(spark, path)
+    return read_dataset(spark, path, fmt="csv")
 
 
 def csv_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,10 +264,43 @@ def orders_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sales_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Investigation(
-        sales(spark, sf_dir, "r_name"), SALES_SETTINGS, AOV, "r_name", PREVIOUS, CURRENT
+        sales(spark, sf_dir),
+        SALES_SETTINGS,
+        AOV,
+        "r_name",
+        PREVIOUS,
+        CURRENT,
+        segment_rows=lambda *months: sales(spark, sf_dir, "r_name", months=months),
     ).report
 
 
+def summary_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary for each customer; most bought in one of the two months only."""
+    rows = filter_periods(orders(spark, sf_dir), ORDERS_SETTINGS.date_col, PREVIOUS, CURRENT)
+    trend = monthly_kpi(rows, ORDERS_SETTINGS, REVENUE, ["o_custkey"])
+    change = compare_periods(trend, PREVIOUS, CURRENT, ["o_custkey"])
+    return kpi_summary(change, REVENUE, by=["o_custkey"])
+
+
+# Phrases that, by conversation, are put after the texts so that every tag occurs (see FIXTURES.md).
+PHRASES = (
+    "",
+    " Why did revenue drop?",
+    " Which region drove the change?",
+    " Are there any unusual revenue anomalies?",
+    " Forecast revenue for the next few months.",
+    " Give me a business summary of performance.",
+    " Run an SQL query, then compare",
+)
+
+
+def phrased_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("conv_id") % len(PHRASES) + 1).cast("int"))
+    asked = load(spark, sf_dir, "conversations").withColumn("text", F.concat("text", phrase))
+    tags = tag_questions(asked, "text")
+    return tags.select("conv_id", "turn", F.array_join("analyses", ",").alias("analyses"))
+
+
 def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "report")
     write_report(orders_report(spark, sf_dir), path)
@@ -356,6 +390,9 @@ ALL_QUERIES: dict[str, Query] = {
         CURRENT,
     ),
     "driver_extremes": extremes,
+    "drivers_null_segment": lambda spark, sf_dir: segment_drivers(
+        text_orders(spark, sf_dir), TEXT_SETTINGS, REVENUE, "channel", PREVIOUS, CURRENT
+    ),
     # Anomalies and forecast
     "anomalies_revenue": lambda spark, sf_dir: detect_anomalies(
         monthly_kpi(orders(spark, sf_dir), ORDERS_SETTINGS, REVENUE)
@@ -424,6 +461,7 @@ ALL_QUERIES: dict[str, Query] = {
     "kpi_summary": summary(REVENUE),
     "kpi_summary_orders": summary(ORDERS),
     "kpi_summary_by_region": summary_by_region,
+    "kpi_summary_by_customer": summary_by_customer,
     "kpi_summary_single_period": single_month_summary,
     "investigation_steps": lambda spark, sf_dir: Investigation(
         text_orders(spark, sf_dir), TEXT_SETTINGS, REVENUE
@@ -433,5 +471,6 @@ ALL_QUERIES: dict[str, Query] = {
     "report_sales": lambda spark, sf_dir: report_values(sales_report(spark, sf_dir)),
     # Question tagging
     "tag_conversations": tagged("conversations", "text", "conv_id", "turn"),
+    "tag_phrases": phrased_tags,
     "tag_documents": tagged("documents", "text", "doc_id"),
 }

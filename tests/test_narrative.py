@@ -1,10 +1,13 @@
 """Summaries, the investigation log and the whole investigation."""
 
+import json
+
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import SETTINGS, dicts_of, monthly_table, rows_of, sales_table
 from tallyframe import AOV, ORDERS, REVENUE, Settings
-from tallyframe.operators import latest_change, monthly_kpi, segment_drivers
+from tallyframe.operators import compare_periods, latest_change, monthly_kpi, segment_drivers
 from tallyframe.plans import Investigation, investigate, kpi_summary
 
 ROWS = [
@@ -150,3 +153,63 @@ def test_summary_per_series(spark):
     found = dict(rows_of(kpi_summary(latest_change(trend, ["region"]), REVENUE, by=["region"])))
     assert found["E"].startswith("Revenue increased from $7.00 in 2024-01 to $4,500.00")
     assert found["N"].startswith("Not enough")
+
+
+def test_summary_of_series_with_one_month(spark):
+    trend = monthly_kpi(sales_table(spark, ROWS), SETTINGS, REVENUE, ["region"])
+    change = compare_periods(trend, "2024-01", "2024-02", ["region"])
+    drivers = segment_drivers(
+        sales_table(spark, ROWS), SETTINGS, REVENUE, "order_id", "2024-01", "2024-02", ["region"]
+    )
+    for extra in (None, drivers):
+        found = dict(rows_of(kpi_summary(change, REVENUE, extra, ["region"])))
+        assert found["E"].startswith("Revenue has no value in 2024-01 and is $4,500.00 in 2024-02.")
+        assert found["N"].startswith("Revenue was $1,000.00 in 2024-01 and no value in 2024-02.")
+    empty = compare_periods(trend, "2023-01", "2023-02", ["region"])
+    none = change.withColumns({name: F.lit(None).cast("double") for name in ("previous_value", "current_value")})
+    assert set(dict(rows_of(kpi_summary(none, REVENUE, by=["region"]))).values()) == {
+        "Not enough period data is available to generate a KPI summary."
+    }
+    assert rows_of(empty) == []
+
+
+def payloads(report, name):
+    rows = report.filter(F.col("section") == name).orderBy("row_no").collect()
+    return [(row.row_no, json.loads(row.payload)) for row in rows]
+
+
+def test_report_has_all_rows_and_the_compared_months(spark):
+    rows = [(f"20{10 + n // 12}-{n % 12 + 1:02d}-05", n + 1.0, f"o{n}", f"r{n % 14}") for n in range(30)]
+    found = Investigation(
+        sales_table(spark, rows), SETTINGS, REVENUE, "region", "2010-02", "2010-05"
+    )
+    change = payloads(found.report, "change")[0][1]
+    assert (change["previous_period"], change["current_period"]) == ("2010-02", "2010-05")
+    assert change["absolute_change"] == 3.0 and change["direction"] == "increased"
+    trend = payloads(found.report, "trend")
+    assert [number for number, _ in trend] == list(range(1, 31))
+    assert trend[-1][1] == {"period": "2012-06", "kpi_name": REVENUE, "kpi_value": 30.0}
+    drivers = payloads(found.report, "drivers")
+    assert [number for number, _ in drivers] == list(range(1, len(drivers) + 1))
+    assert drivers == sorted(drivers, key=lambda row: row[1]["absolute_change"])
+    cut = Investigation(sales_table(spark, rows), SETTINGS, REVENUE, report_rows=10).report
+    assert len(payloads(cut, "trend")) == 10
+    assert payloads(cut, "drivers") == [(0, {"note": "No data available."})]
+
+
+def test_report_of_one_month_marks_empty_sections(spark):
+    report = Investigation(sales_table(spark, ROWS[:1]), SETTINGS, REVENUE, "region").report
+    assert payloads(report, "forecast") == payloads(report, "drivers") == [(0, {"note": "No data available."})]
+
+
+def test_trend_is_made_without_the_segment_table(spark, capsys):
+    seen = []
+
+    def segment_rows(*months):
+        seen.append(months)
+        return sales_table(spark, ROWS)
+
+    facts = sales_table(spark, ROWS).drop("region")
+    found = Investigation(facts, SETTINGS, REVENUE, "region", segment_rows=segment_rows)
+    assert len(rows_of(found.trend)) == 2 and seen == []
+    assert len(rows_of(found.drivers)) == 3 and seen == [("2024-01", "2024-02")]

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from helpers import dicts_of, rows_of
 from tallyframe import Settings
 from tallyframe.functions.dates import DATE_FORMATS, coerce_date, detect_date_format
-from tallyframe.operators import profile as profile_module
 from tallyframe.operators import (
     duplicate_rows,
     profile_columns,
@@ -165,11 +164,9 @@ def test_order_falls_back_to_first_other_column(spark):
 DUPLICATES = [(1, None, 1.0), (1, None, 1.0), (1, "a", 1.0), (None, "a", None), (None, "a", None), (None, "a", None)]
 
 
-def test_duplicates(spark, monkeypatch):
+def test_duplicates(spark):
     table = spark.createDataFrame(DUPLICATES, "n int, word string, x double")
     assert duplicate_rows(table) == 3
-    monkeypatch.setattr(profile_module, "MAX_BROADCAST_HASHES", 0)
-    assert duplicate_rows(table) == 3
     assert duplicate_rows(table.limit(0)) == 0
 
 
@@ -189,7 +186,7 @@ def test_duplicates_with_maps(spark):
 def test_duplicates_equal_brute_force(spark):
     rows = [(number % 7, number % 3) for number in range(200)] + [(999, 999)]
     table = spark.createDataFrame(rows, "a int, b int")
-    assert duplicate_rows(table) == count_repeats(table) == len(rows) - len(set(rows))
+    assert duplicate_rows(table) == count_repeats(table).first()[0] == len(rows) - len(set(rows))
 
 
 def test_quality_notes(spark):
@@ -202,6 +199,9 @@ def test_quality_notes(spark):
     )
     assert notes([(1, "a", 1.0), (1, "a", 1.0)]) == "Detected 1 duplicate rows."
     assert notes([(1, "a", None)]) == "Detected 1 missing values across the dataset."
+    twice = spark.createDataFrame([(1, "a"), (1, "a")], "n int, word string")
+    unchecked = quality_notes(profile_dataset(twice, duplicates=False))
+    assert rows_of(unchecked) == [("Duplicate rows were not checked.",)]
     assert notes([(1, "a", 1.0)]) == "No major data quality issues detected from basic profiling."
 
 

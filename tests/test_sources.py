@@ -98,8 +98,11 @@ def test_report_round_trip(spark, tmp_path, fmt):
     by_section = {}
     for section, row_no, payload in found:
         by_section.setdefault(section, []).append((row_no, payload))
-    assert sorted(by_section) == ["change", "kpi", "summary", "trend"]
-    assert [row_no for row_no, _ in by_section["trend"]] == list(range(1, 11))
+    assert sorted(by_section) == sorted(
+        ["anomalies", "change", "drivers", "forecast", "kpi", "summary", "trend"]
+    )
+    assert by_section["drivers"] == [(0, '{"note":"No data available."}')]
+    assert [row_no for row_no, _ in by_section["trend"]] == list(range(1, 13))
     assert by_section["trend"][0][1].startswith('{"period":"2023-01"')
     assert by_section["change"] == [(1, '{"current_period":"2023-12","percent_change":null}')]
     assert by_section["summary"] == [(1, '{"summary":"No summary available."}')]
@@ -108,3 +111,13 @@ def test_report_round_trip(spark, tmp_path, fmt):
 def test_report_format_is_checked(spark, tmp_path):
     with pytest.raises(ValueError, match="parquet or json"):
         write_report(spark.range(1), str(tmp_path / "r"), "xml")
+
+
+def test_format_is_given_or_told_by_the_ending(spark, tmp_path):
+    folder = str(tmp_path / "sales")
+    spark.range(3).write.parquet(folder)
+    with pytest.raises(ValueError, match="give fmt"):
+        read_dataset(spark, folder)
+    assert read_dataset(spark, folder, fmt="parquet").count() == 3
+    with pytest.raises(ValueError, match="give fmt"):
+        read_dataset(spark, folder, fmt="orc")

@@ -1,5 +1,7 @@
 """SQL over the dataset."""
 
+from datetime import datetime
+
 import pytest
 
 from helpers import SETTINGS, dicts_of, rows_of, sales_table
@@ -92,4 +94,24 @@ def test_kpi_by_segment(spark):
     assert kpi_by_segment(table, SETTINGS, REVENUE).columns == ["region", "total_revenue"]
     assert dict(rows_of(kpi_by_segment(table, SETTINGS, ORDERS))) == {"N": 2, None: 1, "S": 0}
     assert dict(rows_of(kpi_by_segment(table, SETTINGS, AOV))) == {None: 20.0, "N": 7.5, "S": None}
-    assert kpi_by_segment(table, Settings("day"), AOV).columns == table.columns
+    assert kpi_by_segment(table, Settings("day"), AOV, preview_instead=True).columns == table.columns
+    with pytest.raises(ValueError, match="column roles"):
+        kpi_by_segment(table, Settings("day"), AOV)
+
+
+MOMENT = "TIMESTAMP_NTZ'1997-01-05 15:04:09'"
+
+
+@pytest.mark.parametrize(
+    "pattern", ["%y-%m", "%-m/%Y", "%Y-%m-%dT%H:%M:%S at", "%j %b %B", "%I:%M %p", "100%%", "%a %A", "%-d.%-m.%y %-H:%-M:%-S %-I", "plain 'text'", ""]
+)
+def test_strftime(spark, pattern):
+    quoted = pattern.replace("'", "''")
+    found = run_sql(spark.range(1), f"SELECT strftime({MOMENT}, '{quoted}') AS t")
+    assert rows_of(found) == [(datetime(1997, 1, 5, 15, 4, 9).strftime(pattern),)]
+
+
+@pytest.mark.parametrize("pattern", ["%Q", "%Y %", "%-Y"])
+def test_strftime_refuses_what_it_does_not_know(spark, pattern):
+    with pytest.raises(Exception, match="strftime does not know"):
+        run_sql(spark.range(1), f"SELECT strftime({MOMENT}, '{pattern}') AS t").collect()

@@ -155,6 +155,8 @@ def test_compare_periods(spark):
     }
     with pytest.raises(Exception, match="2030-01 is not in the trend"):
         compare_periods(trend, "2024-01", "2030-01").collect()
+    with pytest.raises(Exception, match="2030-01 is not in the trend"):
+        compare_periods(trend, "2024-01", "2030-01").count()
 
 
 def test_comparison_modes():
