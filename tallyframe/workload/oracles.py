@@ -408,7 +408,7 @@ UNION ALL SELECT 4, 'Anomaly Agent',
   'Checked for unusual KPI values using z-score detection.',
   'Detected ' || count(*) FILTER (WHERE flagged) || ' anomalies.' FROM a
 UNION ALL SELECT 5, 'Forecast Agent', 'Generated a baseline KPI forecast.',
-  'Forecasted 3 future periods.'
+  'Forecasted ' || count(*) || ' future periods.' FROM ({forecast('SELECT * FROM t', 3)}) f
 """
 
 def report(rows: str, kpi_name: str, segment: str, previous: str, current: str) -> str:
@@ -417,17 +417,26 @@ def report(rows: str, kpi_name: str, segment: str, previous: str, current: str)
     return f"""
 WITH t AS ({trend(rows, kpi_name)}), d AS ({driver_rows}), s AS ({text}),
   c AS ({compare(rows, kpi_name, previous, current)}),
-  a AS ({anomalies('SELECT * FROM t')}), f AS ({forecast('SELECT * FROM t', 3)}),
+  a AS ({anomaly_table('SELECT * FROM t')}), f AS ({forecast('SELECT * FROM t', 3)}),
   rows_of AS (
     SELECT 'kpi' AS section, 1 AS row_no, '{kpi_name}' AS label, CAST(NULL AS DOUBLE) AS number
-    UNION ALL SELECT 'summary', 1, summary, NULL FROM s
-    UNION ALL SELECT 'change', 1, current_period, absolute_change FROM c
-    UNION ALL SELECT 'trend', row_number() OVER (ORDER BY period), period, kpi_value FROM t
-    UNION ALL SELECT 'drivers', row_number() OVER (ORDER BY absolute_change, segment), segment,
-      absolute_change FROM d
-    UNION ALL SELECT 'anomalies', row_number() OVER (ORDER BY period), period, z_score FROM a
-    UNION ALL SELECT 'forecast', row_number() OVER (ORDER BY period), period, forecast_value FROM f)
-SELECT section, CAST(row_no AS INTEGER) AS row_no, label, number FROM rows_of
+    UNION ALL BY NAME SELECT 'summary' AS section, 1 AS row_no, summary AS label FROM s
+    UNION ALL BY NAME SELECT 'change' AS section, 1 AS row_no, current_period AS label,
+      absolute_change AS number, previous_period, previous_value, current_value, percent_change,
+      direction FROM c
+    UNION ALL BY NAME SELECT 'trend' AS section, row_number() OVER (ORDER BY period) AS row_no,
+      period AS label, kpi_value AS number FROM t
+    UNION ALL BY NAME SELECT 'drivers' AS section,
+      row_number() OVER (ORDER BY absolute_change, segment) AS row_no, segment AS label,
+      absolute_change AS number, previous_period, previous_value, current_value, percent_change,
+      segment_column FROM d
+    UNION ALL BY NAME SELECT 'anomalies' AS section, row_number() OVER (ORDER BY period) AS row_no,
+      period AS label, z_score AS number, mean_value, CAST(is_anomaly AS VARCHAR) AS is_anomaly,
+      anomaly_direction AS direction FROM a
+    UNION ALL BY NAME SELECT 'forecast' AS section, row_number() OVER (ORDER BY period) AS row_no,
+      period AS label, forecast_value AS number FROM f)
+SELECT section, CAST(row_no AS INTEGER) AS row_no, label, number, previous_value, current_value,
+  percent_change, mean_value, previous_period, segment_column, is_anomaly, direction FROM rows_of
 """
 
 
@@ -538,6 +547,7 @@ ORACLES = {
         'order_date,channel,order priority' AS categorical_columns FROM {TEXT_ROWS} r""",
     "profile_columns": column_rows("lineitem", LINEITEM_COLUMNS),
     "profile_text_columns": column_rows(TEXT_ROWS, TEXT_COLUMNS),
+    "distinct_estimates": "SELECT column_name, TRUE AS is_near FROM (DESCRIBE orders) d",
     "date_formats": f"""SELECT count(*) AS rows, count(day) AS dated_rows,
         count(try_strptime(order_date, '%-m/%-d/%Y')) AS month_first_rows FROM {TEXT_ROWS} r""",
     "csv_schema": f"""SELECT column_name, data_type, missing_values, is_date_like, date_format

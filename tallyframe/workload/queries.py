@@ -156,6 +156,18 @@ def csv_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def distinct_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each estimate of distinct values is within 15 % of the exact number."""
+    table = orders(spark, sf_dir)
+    estimates = profile_columns(table, distinct_estimates=True).select("column_name", "approx_distinct")
+    exact = None
+    for name in table.columns:
+        row = table.agg(F.count_distinct(named(name)).alias("exact")).select(F.lit(name).alias("column_name"), "exact")
+        exact = row if exact is None else exact.unionByName(row)
+    near = F.abs(F.col("approx_distinct") - F.col("exact")) <= 0.15 * F.col("exact")
+    return estimates.join(exact, "column_name").select("column_name", near.alias("is_near"))
+
+
 def extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = ["o_orderpriority", "o_orderstatus"]
     return driver_extremes(
@@ -241,7 +253,7 @@ def single_month_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_values(report: DataFrame) -> DataFrame:
-    """Report rows with the label and the main number of each payload."""
+    """Report rows with all fields of their payloads: label, numbers, flag and direction."""
 
     def field(*names: str):
         return F.coalesce(*[F.get_json_object("payload", f"$.{name}") for name in names])
@@ -253,6 +265,12 @@ def report_values(report: DataFrame) -> DataFrame:
         field("z_score", "forecast_value", "absolute_change", "kpi_value")
         .cast("double")
         .alias("number"),
+        *[
+            field(name).cast("double").alias(name)
+            for name in ("previous_value", "current_value", "percent_change", "mean_value")
+        ],
+        *[field(name).alias(name) for name in ("previous_period", "segment_column", "is_anomaly")],
+        field("direction", "anomaly_direction").alias("direction"),
     )
 
 
@@ -432,6 +450,7 @@ ALL_QUERIES: dict[str, Query] = {
     ),
     "profile_columns": lambda spark, sf_dir: profile_columns(load(spark, sf_dir, "lineitem")),
     "profile_text_columns": lambda spark, sf_dir: profile_columns(text_orders(spark, sf_dir)),
+    "distinct_estimates": distinct_estimates,
     "date_formats": date_formats,
     "csv_schema": csv_schema,
     "quality_notes": lambda spark, sf_dir: quality_notes(
