@@ -28,14 +28,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest id, null last.
 
-    Rows are numbered in the order in which the table is read, so repeated ids are told apart. The
-    table of kept rows grows with the input, so it is never broadcast, however small it is.
+    Rows are numbered, so repeated ids are told apart. The numbers follow the splits of the scan, which
+    change when executors come or go, so the numbered rows are written once and only read from there.
+    The table of kept rows grows with the input, so it is never broadcast, however small it is.
     """
-    row = F.monotonically_increasing_id()
-    numbered = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row.alias("row")).alias("id"), "text")
+    # In a struct, columns of the caller can't clash with those made here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias("_row"))
+    rows = written(rows, "numbered")
+    numbered = rows.select(F.struct(F.col("_doc.doc_id").isNull().alias("none"), "_doc.doc_id", F.col("_row").alias("row")).alias("id"), "_doc.text")
     groups = jaccard_components(numbered, WIDTH, PERCENT, id_column="id")
     kept = written(groups.where("id = component_id").select(F.col("id.row").alias("_row")), "kept")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), row.alias("_row"))
     return rows.join(kept.hint("merge"), "_row", "left_semi").select("_doc.*")
 
 

@@ -1,10 +1,12 @@
 """The pipeline against plain versions of its stages, and its queries on the given tables."""
 
 import importlib
+import uuid
 from collections import Counter
 
 import pytest
 from llm_tables import documents, near_copies, plain_components, plain_secrets, some_words, sorted_rows
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyframe.llm.oracles import LLM_ORACLES
@@ -38,6 +40,14 @@ def test_one_document_of_each_group_stays(spark, tmp_path):
     assert Counter(kept) == Counter(want)
 
 
+def test_groups_stay_right_when_rows_are_read_in_another_order(spark):
+    order = F.udf(lambda: uuid.uuid4().hex).asNondeterministic()
+    docs = documents(spark, TEXTS).withColumn("_order", order()).orderBy("_order").drop("_order")
+    kept = [r["doc_id"] for r in stage("n-gram Jaccard join")(spark, docs, SF).collect()]
+    want = {c for _, _, c in plain_components(list(enumerate(TEXTS)), corpus_pipeline.WIDTH, corpus_pipeline.PERCENT)}
+    assert Counter(kept) == Counter(want)
+
+
 def test_secrets_are_gone(spark):
     rows = {r["doc_id"]: r for r in stage("secret scans")(spark, documents(spark, TEXTS), SF).collect()}
     assert len(rows) == len(TEXTS)
