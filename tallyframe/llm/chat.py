@@ -42,21 +42,25 @@ _ROLE_MARKS = {"\\": "\\", "l": "<", "g": ">", "n": "\n"}
 def conversation_events(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """A table of turns as a log: a ``message`` event for each row.
 
-    Rows are numbered by turn within their conversation; equal turns by role and text, nulls first.
+    Rows come in order of turn, rows of the same turn in order of role and text, nulls first. The key of
+    a message is (turn, number within the turn), so no window holds the texts of a conversation.
     """
-    order = Window.partitionBy("conv_id").orderBy("_turn", "role", "text")
+    same = Window.partitionBy("conv_id", "_turn").orderBy("role", "text")
     rows = turns.select(F.col(f"`{conv}`").alias("conv_id"), F.col(f"`{turn}`").alias("_turn"), F.col(f"`{role}`").alias("role"), F.col(f"`{text}`").alias("text"))
-    number = F.row_number().over(order).cast("long")
-    return rows.select("conv_id", number.alias("seq"), number.alias("turn"), F.lit("message").alias("kind"), "role", "text")
+    place = F.struct("_turn", F.row_number().over(same).alias("number"))
+    return rows.select("conv_id", place.alias("seq"), place.alias("turn"), F.lit("message").alias("kind"), "role", "text")
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """Final messages (conv_id, turn, role, text) of a log (conv_id, seq, turn, kind, role, text)."""
+    """Final messages (conv_id, turn, role, text) of a log (conv_id, seq, turn, kind, role, text).
+
+    ``seq`` and ``turn`` are of any types that can be ordered.
+    """
     kind = F.coalesce("kind", F.lit("message"))
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, KINDS)), kind), F.lit(0))
+    # As a struct, the key is never null, and nulls inside it are equal: grouping and join share a shuffle.
     log = events.select(
-        "conv_id",
-        "turn",
+        F.struct("conv_id", "turn").alias("key"),
         kind.alias("kind"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
@@ -65,26 +69,21 @@ def fold_events(events: DataFrame) -> DataFrame:
     reset = F.when(F.col("kind") != "delta", F.col("at"))
     started = F.when(F.col("kind") == "regenerate", F.lit("")).otherwise(F.col("text"))
     # The last event of a turn that sets its text, and what was appended from there on.
-    last = Window.partitionBy("conv_id", "turn")
+    last = Window.partitionBy("key")
     marked = log.withColumn("from", F.max(reset).over(last))
     kept = marked.where(F.col("from").isNull() | (F.col("at") >= F.col("from")))
-    turns = kept.groupBy("conv_id", "turn").agg(
-        F.array_sort(F.collect_list(F.struct("at", "role", started.alias("text")))).alias("parts"),
-        F.max(F.when(F.col("kind") == "regenerate", F.col("at"))).alias("kept_regenerated"),
-    )
-    spans = log.groupBy("conv_id", "turn").agg(F.min("at").alias("first"), F.max(F.when(F.col("kind") == "regenerate", F.col("at"))).alias("regenerated"))
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    turns = kept.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "role", started.alias("text")))).alias("parts"))
+    spans = log.groupBy("key").agg(F.min("at").alias("first"), F.max(F.when(F.col("kind") == "regenerate", F.col("at"))).alias("regenerated"))
+    before = Window.partitionBy("key.conv_id").orderBy("key.turn").rowsBetween(Window.unboundedPreceding, -1)
     # A turn begun before an earlier turn was made anew no longer belongs to the conversation.
-    alive = spans.withColumn("cut", F.max("regenerated").over(before)).where(F.col("cut").isNull() | (F.col("first") > F.col("cut"))).select("conv_id", "turn")
+    alive = spans.withColumn("cut", F.max("regenerated").over(before)).where(F.col("cut").isNull() | (F.col("first") > F.col("cut"))).select("key")
     roles = F.filter(F.transform("parts", lambda p: p["role"]), lambda r: r != "")
     messages = turns.select(
-        "conv_id",
-        "turn",
+        "key",
         F.coalesce(F.get(roles, F.lit(0)), F.lit("")).alias("role"),
         F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"),
     )
-    same = messages["conv_id"].eqNullSafe(alive["conv_id"]) & messages["turn"].eqNullSafe(alive["turn"])
-    return messages.join(alive, same, "left_semi")
+    return messages.join(alive, "key", "left_semi").select("key.conv_id", "key.turn", "role", "text")
 
 
 def escaped(text: Column) -> Column:
