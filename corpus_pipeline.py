@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tallyframe.llm.bpe import encode
 from tallyframe.llm.mixing import mix
 from tallyframe.llm.ngram_join import jaccard_components
-from tallyframe.llm.quality import quality_filter
-from tallyframe.llm.runtime import written
+from tallyframe.llm.quality import WORD, quality_filter
+from tallyframe.llm.runtime import whole_text, written
 from tallyframe.llm.secrets_scan import fitted, redact_secrets
 
 #: Near-duplicates: five words, a similarity of 0.8 or more.
@@ -28,17 +28,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest id, null last.
 
-    Rows are numbered, so repeated ids are told apart. The numbers follow the splits of the scan, which
-    change when executors come or go, so the numbered rows are written once and only read from there.
-    The table of kept rows grows with the input, so it is never broadcast, however small it is.
+    A row is known by its id and a digest of its text, which, unlike a number, stay the same when the
+    table is read again with other splits. Of repeated rows of one id and text any one stays; texts
+    without words are linked with nothing and all stay. The table of kept rows grows with the input, so
+    it is never broadcast, however small it is.
     """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.md5(whole_text()).alias("digest"))
+    groups = jaccard_components(docs.select(key.alias("id"), "text"), WIDTH, PERCENT, id_column="id")
+    kept = written(groups.where("id = component_id").select(F.col("id").alias("_key")), "kept")
+    alone = F.when(~whole_text().rlike(WORD), F.monotonically_increasing_id())
     # In a struct, columns of the caller can't clash with those made here.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias("_row"))
-    rows = written(rows, "numbered")
-    numbered = rows.select(F.struct(F.col("_doc.doc_id").isNull().alias("none"), "_doc.doc_id", F.col("_row").alias("row")).alias("id"), "_doc.text")
-    groups = jaccard_components(numbered, WIDTH, PERCENT, id_column="id")
-    kept = written(groups.where("id = component_id").select(F.col("id.row").alias("_row")), "kept")
-    return rows.join(kept.hint("merge"), "_row", "left_semi").select("_doc.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), key.alias("_key"), alone.alias("_alone"))
+    once = rows.join(kept.hint("merge"), "_key", "left_semi").groupBy("_key", "_alone").agg(F.first("_doc").alias("_doc"))
+    return once.select("_doc.*")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
