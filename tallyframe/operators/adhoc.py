@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,7 @@ from tallyframe.sources.datasets import preview
 
 TABLE_NAME = "sales_data"
 PREVIEW_ROWS = 10
+BINDING = threading.Lock()
 DOUBLE_QUOTED_IDENTIFIERS = "spark.sql.ansi.doubleQuotedIdentifiers"
 
 # Directives of strftime and the patterns of Spark's that mean the same (fixed values).
@@ -68,14 +71,16 @@ def run_sql(
         raise ValueError("only SELECT queries are allowed")
     if not query.strip():
         return spark.createDataFrame([], T.StructType([]))
-    df.createOrReplaceTempView(TABLE_NAME)
-    spark.sql(STRFTIME)
-    before = spark.conf.get(DOUBLE_QUOTED_IDENTIFIERS)
-    spark.conf.set(DOUBLE_QUOTED_IDENTIFIERS, str(double_quotes).lower())
-    try:
-        return spark.sql(query)
-    finally:
-        spark.conf.set(DOUBLE_QUOTED_IDENTIFIERS, before)
+    # The text is bound to the view while it is analyzed, so threads take turns until then.
+    with BINDING:
+        df.createOrReplaceTempView(TABLE_NAME)
+        spark.sql(STRFTIME)
+        before = spark.conf.get(DOUBLE_QUOTED_IDENTIFIERS)
+        spark.conf.set(DOUBLE_QUOTED_IDENTIFIERS, str(double_quotes).lower())
+        try:
+            return spark.sql(query)
+        finally:
+            spark.conf.set(DOUBLE_QUOTED_IDENTIFIERS, before)
 
 
 def sample_queries(settings: Settings, segment_col: str) -> dict[str, str]:
