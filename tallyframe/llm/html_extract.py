@@ -12,8 +12,9 @@ the class's order, again and again; others are ignored there.
 The text after a template token is a slot. Slots are the same on all pages of a host, and evidence
 about them is added up over its pages: how much of their text stands in an article and outside
 boilerplate. Slots with enough of it are the main ones, and the text of a page that stands in main
-slots is extracted, without what its own markup shows to be boilerplate. Hosts without articles take
-the slots that are neither boilerplate nor mostly links.
+slots is extracted, without what its own markup shows to be boilerplate. Pages without an article take
+the slots that are neither boilerplate nor mostly links. A host's pages with and without an article
+have a template each, from their own evidence, so neither layout decides about the other.
 
 Defined results: null and empty pages have an empty text; pages without a host (null or odd urls)
 are a host of their own; a host of one page has its page's vectors. Repeated rows are pages. White
@@ -34,11 +35,11 @@ from pyspark.sql import functions as F
 
 from .runtime import map_arrow, written
 
-#: Percent of a host's pages that a template token occurs on.
+#: Percent of a host's pages of one layout that a template token occurs on.
 LEAST_PAGES = 30
 #: Percent of a slot's text that makes it a main slot.
 LEAST_MAIN = 5
-#: Percent of a slot's text in links that makes it a menu, on hosts without articles.
+#: Percent of a slot's text in links that makes it a menu, on pages without an article.
 MOST_LINKS = 50
 #: Tokens that a task holds before it hands their sums on.
 HELD_TOKENS = 200_000
@@ -164,16 +165,22 @@ def letters(text: str) -> int:
     return len(text) - text.count(" ")
 
 
+def has_article(segments: list[Segment]) -> bool:
+    """Whether a page has text in an article that isn't boilerplate."""
+    return any(s.main and not s.off and not s.text.isspace() for s in segments)
+
+
 def token_sums(pages: DataFrame) -> DataFrame:
-    """By host and token: pages, occurrences, places, fingerprint, and the text that follows."""
-    names = ["host", "token", "pages", "times", "places", "print", "chars", "main", "off", "links"]
+    """By host, layout (with an article or not) and token: pages, occurrences, places, fingerprint, and the text that follows."""
+    names = ["host", "article", "token", "pages", "times", "places", "print", "chars", "main", "off", "links"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], list[int]] = {}
+        held: dict[tuple[str, bool, int], list[int]] = {}
+        kinds = [pa.string(), pa.bool_(), *[pa.int64()] * (len(names) - 2)]
 
         def handed() -> pa.RecordBatch:
-            rows = [(h, t, *v) for (h, t), v in held.items()]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(zip(*rows))], names=names)
+            rows = [(*k, *v) for k, v in held.items()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
         for batch in batches:
             for host, page, html in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html"))):
@@ -183,6 +190,7 @@ def token_sums(pages: DataFrame) -> DataFrame:
                     first.setdefault(token, place)
                 counts = Counter(tokens)
                 counts[PAGE] = 1
+                article = has_article(segments)
                 after: dict[int, list[int]] = {}
                 for s in segments:
                     size = letters(s.text)
@@ -192,7 +200,7 @@ def token_sums(pages: DataFrame) -> DataFrame:
                     sums[2] += size if s.off else 0
                     sums[3] += size if s.link else 0
                 for token, times in counts.items():
-                    v = held.setdefault((host, token), [0] * 8)
+                    v = held.setdefault((host, article, token), [0] * 8)
                     v[0] += 1
                     v[1] += times
                     v[2] += first.get(token, -1) + 1
@@ -205,21 +213,21 @@ def token_sums(pages: DataFrame) -> DataFrame:
         if held:
             yield handed()
 
-    sums = map_arrow(pages.select("host", "page", "html"), task, "host string, " + ", ".join(f"{n} long" for n in names[1:]))
-    total = [F.sum(n).alias(n) for n in names[2:] if n != "print"]
-    return sums.groupBy("host", "token").agg(F.xxhash64(F.sum(F.col("print").cast("decimal(38,0)"))).alias("print"), *total)
+    sums = map_arrow(pages.select("host", "page", "html"), task, "host string, article boolean, " + ", ".join(f"{n} long" for n in names[2:]))
+    total = [F.sum(n).alias(n) for n in names[3:] if n != "print"]
+    return sums.groupBy("host", "article", "token").agg(F.xxhash64(F.sum(F.col("print").cast("decimal(38,0)"))).alias("print"), *total)
 
 
 def templates(sums: DataFrame) -> DataFrame:
-    """For each host, the tokens of its template with their classes, in order (host, tokens, articles).
+    """For each host, the tokens of its templates with their classes, in order (host, article, plain).
 
-    A token is (token, class, root, main): its class is the fingerprint; ``root`` if it occurs once on
-    each of its pages; ``main`` if the slot after it holds main text. A host has no more tokens here
-    than ``100 / LEAST_PAGES`` pages have.
+    ``article`` is the template of the pages with an article, ``plain`` that of the others. A token is
+    (token, class, root, main): its class is the fingerprint; ``root`` if it occurs once on each of its
+    pages; ``main`` if the slot after it holds main text. A template has no more tokens than
+    ``100 / LEAST_PAGES`` pages have.
     """
-    pages = sums.where(F.col("token") == PAGE).select("host", F.col("pages").alias("all"))
-    article = sums.groupBy("host").agg((F.sum("main") > 0).alias("articles"))
-    usual = sums.join(pages, "host").join(article, "host").where(100 * F.col("pages") >= LEAST_PAGES * F.col("all"))
+    pages = sums.where(F.col("token") == PAGE).select("host", "article", F.col("pages").alias("all"))
+    usual = sums.join(pages, ["host", "article"]).where(100 * F.col("pages") >= LEAST_PAGES * F.col("all"))
     by_article = 100 * F.col("main") >= LEAST_MAIN * F.greatest("chars", F.lit(1))
     by_text = (100 * F.col("links") < MOST_LINKS * F.greatest("chars", F.lit(1))) & (2 * F.col("off") < F.greatest("chars", F.lit(1)))
     token = F.struct(
@@ -227,9 +235,10 @@ def templates(sums: DataFrame) -> DataFrame:
         "token",
         F.col("print").alias("class"),
         (F.col("times") == F.col("pages")).alias("root"),
-        F.when(F.col("articles"), by_article).otherwise(by_text).alias("main"),
+        F.when(F.col("article"), by_article).otherwise(by_text).alias("main"),
     )
-    return usual.groupBy("host").agg(F.array_sort(F.collect_list(token)).alias("tokens"), F.first("articles").alias("articles"))
+    template = lambda of: F.array_sort(F.collect_list(F.when(of, token)))
+    return usual.groupBy("host").agg(template(F.col("article")).alias("article"), template(~F.col("article")).alias("plain"))
 
 
 def valid_tokens(tokens: list[int], template: dict[int, tuple[int, int]], sizes: dict[int, int]) -> set[int]:
@@ -249,9 +258,11 @@ def valid_tokens(tokens: list[int], template: dict[int, tuple[int, int]], sizes:
     return {t for t, (kind, _) in template.items() if kind not in broken}
 
 
-def main_text(html: str, tokens: list[dict], articles: bool) -> str:
-    """The blocks of a page that stand in the main slots of its host's template."""
+def main_text(html: str, with_article: list[dict], plain: list[dict]) -> str:
+    """The blocks of a page that stand in the main slots of its host's template for pages of its layout."""
     page, segments = parse(html)
+    article = has_article(segments)
+    tokens = with_article if article else plain
     template: dict[int, tuple[int, int]] = {}
     sizes: dict[int, int] = {}
     for t in tokens:
@@ -263,7 +274,6 @@ def main_text(html: str, tokens: list[dict], articles: bool) -> str:
     main = {t["token"]: t["main"] for t in tokens}
     slot = PAGE
     blocks: dict[int, list[str]] = {}
-    on_page = articles and any(s.main for s in segments)
     for s in segments:
         # A token outside the template, or of a class that isn't valid here, opens no slot of its own:
         # what follows belongs to the slot before it, as far as the page's markup agrees.
@@ -271,8 +281,8 @@ def main_text(html: str, tokens: list[dict], articles: bool) -> str:
             slot = s.token
             wanted = main.get(slot, False)
         else:
-            wanted = main.get(slot, False) or s.main or (not articles and not s.link)
-        if wanted and not s.off and (s.main or not on_page):
+            wanted = main.get(slot, False) or s.main or (not article and not s.link)
+        if wanted and not s.off and (s.main or not article):
             blocks.setdefault(s.block, []).append(s.text)
     texts = (" ".join(unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n\n".join(t for t in texts if t)
@@ -289,10 +299,10 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h or "", t or [], bool(a)) for h, t, a in zip(*(batch.column(c).to_pylist() for c in ("html", "tokens", "articles")))]
+            texts = [main_text(h or "", a or [], p or []) for h, a, p in zip(*(batch.column(c).to_pylist() for c in ("html", "article", "plain")))]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
-    found = map_arrow(rows.join(known, "host", "left").select("row", "html", "tokens", "articles"), task, f"row {kind}, text string")
+    found = map_arrow(rows.join(known, "host", "left").select("row", "html", "article", "plain"), task, f"row {kind}, text string")
     return found.select(*[F.col(f"row.`{k}`").alias(k) for k in keep], "text")
 
 

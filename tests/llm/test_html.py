@@ -63,6 +63,22 @@ def test_without_an_article(spark):
     assert found[0][0] == "Plain <text>\n\nSecond"
 
 
+PLAIN = "<div class='content'><h2>Plain {0}</h2><p>Body of {0}</p></div>"
+
+
+@pytest.mark.parametrize("articles, plain", [(1, 99), (1, 1), (50, 50), (99, 1)])
+@pytest.mark.parametrize("url", ["http://four.example/{}", None])
+def test_layouts_of_one_host_are_apart(spark, articles, plain, url):
+    bodies = [ARTICLE.format("")] * articles + [PLAIN.format(i) for i in range(plain)]
+    found = extracted(spark, [(url and url.format(i), page(b)) for i, b in enumerate(bodies)])
+    assert [found[i][0] for i in range(len(bodies))] == [TEXT] * articles + [f"Plain {i}\n\nBody of {i}" for i in range(plain)]
+
+
+def test_an_article_without_text_is_none(spark):
+    found = extracted(spark, [("http://five.example/0", page(ARTICLE.format(""))), ("http://five.example/1", page("<main> </main>" + PLAIN.format(1)))])
+    assert [found[0][0], found[1][0]] == [TEXT, "Plain 1\n\nBody of 1"]
+
+
 def test_odd_pages(spark):
     long = "<p>word " * 20_000
     pages = [(None, None), ("", ""), ("no url", "just text"), ("http://x", "<article>" + long + "</article>"), ("http://y", "<article><p>a < b <c"), ("http://z/", page(ARTICLE.format(""))), ("http://z/", page(ARTICLE.format("")))]
