@@ -16,6 +16,10 @@ slots is extracted, without what its own markup shows to be boilerplate. Pages w
 the slots that are neither boilerplate nor mostly links. A host's pages with and without an article
 have a template each, from their own evidence, so neither layout decides about the other.
 
+Names mark boilerplate as whole class tokens or whole ids made of known words only, never as words of a
+slug; headings and paragraphs aren't marked by ids. A one-word id inside an article may be the slug of a
+heading, so it marks its element only if the host's template has that element on several pages.
+
 Defined results: null and empty pages have an empty text; pages without a host (null or odd urls)
 are a host of their own; a host of one page has its page's vectors. Repeated rows are pages. White
 space inside a block becomes one space, blocks are joined by an empty line.
@@ -64,32 +68,54 @@ NAMES = frozenset(
     "newsletter notice notification pager pagination popup promo promoted promotion related replies respond share sharing sidebar signup social sponsor sponsored "
     "subscribe subscription toolbar widget widgets".split()
 )
+#: Words that stand beside those of NAMES in names of boilerplate, and names of remarks inside an article.
+BESIDE = frozenset(
+    "area areas article articles bar block blocks body bottom box button buttons center column container content entry feed fixed form global group header icon icons "
+    "inner item items latest left link links list lists main media mobile module more outer page panel post posts primary recent right row secondary section site slot "
+    "small sticky story stories tertiary thread top unit wrap wrapper".split()
+)
+REMARKS = frozenset("notice notification".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 PAGE = 0
 
 
 class Segment:
     """Text between two tags."""
 
-    __slots__ = ("text", "token", "block", "main", "off", "link")
+    __slots__ = ("text", "token", "block", "main", "off", "link", "asked")
+
+    def __init__(self, text: str, token: int, block: int, main: bool, off: bool, link: bool, asked: tuple[int, ...]):
+        self.text, self.token, self.block, self.main, self.off, self.link, self.asked = text, token, block, main, off, link, asked
+
 
-    def __init__(self, text: str, token: int, block: int, main: bool, off: bool, link: bool):
-        self.text, self.token, self.block, self.main, self.off, self.link = text, token, block, main, off, link
+def named(name: str) -> bool:
+    """Whether a whole class token or id is a name of boilerplate: known words only, and one of NAMES."""
+    words = _WORDS.findall(name)
+    return not NAMES.isdisjoint(words) and all(w in NAMES or w in BESIDE for w in words)
 
 
-def attributes(tag: str, text: str) -> tuple[str, bool]:
-    """The attributes that tell tokens apart, and whether they mark boilerplate."""
+def attributes(tag: str, text: str, main: bool) -> tuple[str, bool, bool]:
+    """The attributes that tell tokens apart, whether they mark boilerplate, and whether they do if the host agrees."""
     if not text or text.isspace():
-        return "", False
-    kept, marked = [], False
+        return "", False, False
+    kept, marked, asked = [], False, False
     for name, value in _ATTRIBUTE.findall(text):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("hidden", "aria-hidden", "style"):
             marked |= name == "hidden" or (name == "aria-hidden" and value == "true") or "display:none" in value.replace(" ", "")
             continue
         kept.append(f"{name}={re.sub('[0-9]+', '0', value)}")
-        words = _WORDS.findall(value)
-        marked |= not (ROLES if name == "role" else NAMES).isdisjoint(words)
-    return " ".join(kept), marked and tag not in ("html", "body", "main", "article")
+        if name == "role":
+            marked |= not ROLES.isdisjoint(_WORDS.findall(value))
+        elif name == "class":
+            remarks = REMARKS if main or tag in PARAGRAPHS else ()
+            marked |= any(named(c) and c not in remarks for c in value.split())
+        elif tag not in PARAGRAPHS and named(value):
+            # In an article, a single word may be the slug of a heading.
+            marked |= not main or len(_WORDS.findall(value)) > 1
+            asked = True
+    whole = tag in ("html", "body", "main", "article")
+    return " ".join(kept), marked and not whole, asked and not marked and not whole
 
 
 def number(*parts: object) -> int:
@@ -100,8 +126,8 @@ def parse(html: str) -> tuple[list[int], list[Segment]]:
     """The page's tag tokens in order, and its text segments."""
     tokens: list[int] = []
     segments: list[Segment] = []
-    # Open elements: tag, container name, in main, boilerplate.
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    # Open elements: tag, container name, in main, boilerplate, tokens that make it boilerplate if the host agrees.
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = [("", "", False, False, ())]
     links = block = 0
     token = PAGE
     at = 0
@@ -109,8 +135,8 @@ def parse(html: str) -> tuple[list[int], list[Segment]]:
     def text_until(end: int) -> None:
         if end > at:
             text = html[at:end]
-            _, _, main, off = stack[-1]
-            segments.append(Segment(text, token, block, main, off, links > 0))
+            _, _, main, off, asked = stack[-1]
+            segments.append(Segment(text, token, block, main, off, links > 0, asked))
 
     for found in _MARKUP.finditer(html):
         text_until(found.start())
@@ -121,7 +147,7 @@ def parse(html: str) -> tuple[list[int], list[Segment]]:
                 block += raw.lower() in ("title", "iframe", "textarea", "select")
             continue
         closing, tag, rest = bool(slash or slash2), (tag or tag2).lower(), rest or rest2 or ""
-        _, container, main, off = stack[-1]
+        _, container, main, off, asked = stack[-1]
         if closing:
             if tag == "a":
                 links = max(0, links - 1)
@@ -132,7 +158,7 @@ def parse(html: str) -> tuple[list[int], list[Segment]]:
                     del stack[depth:]
             token = number("/", tag, container)
         else:
-            names, marked = attributes(tag, rest)
+            names, marked, ask = attributes(tag, rest, main)
             token = number(tag, names, container)
             if tag == "a":
                 links += 1
@@ -140,10 +166,10 @@ def parse(html: str) -> tuple[list[int], list[Segment]]:
                 block += 1
                 if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
                     _close_open(stack, tag)
-                    _, container, main, off = stack[-1]
+                    _, container, main, off, asked = stack[-1]
                 inner = f"{container[-80:]}>{tag}.{names}" if tag in CONTAINERS else container
                 off = off or marked or tag in BOILERPLATE or (tag == "header" and not main)
-                stack.append((tag, inner, main or tag in MAIN or "role=main" in names, off))
+                stack.append((tag, inner, main or tag in MAIN or "role=main" in names, off, (*asked, token) if ask else asked))
             elif tag == "hr":
                 block += 1
         tokens.append(token)
@@ -222,9 +248,9 @@ def templates(sums: DataFrame) -> DataFrame:
     """For each host, the tokens of its templates with their classes, in order (host, article, plain).
 
     ``article`` is the template of the pages with an article, ``plain`` that of the others. A token is
-    (token, class, root, main): its class is the fingerprint; ``root`` if it occurs once on each of its
-    pages; ``main`` if the slot after it holds main text. A template has no more tokens than
-    ``100 / LEAST_PAGES`` pages have.
+    (token, class, root, main, again): its class is the fingerprint; ``root`` if it occurs once on each of
+    its pages; ``main`` if the slot after it holds main text; ``again`` if it is on several pages. A template
+    has no more tokens than ``100 / LEAST_PAGES`` pages have.
     """
     pages = sums.where(F.col("token") == PAGE).select("host", "article", F.col("pages").alias("all"))
     usual = sums.join(pages, ["host", "article"]).where(100 * F.col("pages") >= LEAST_PAGES * F.col("all"))
@@ -236,6 +262,7 @@ def templates(sums: DataFrame) -> DataFrame:
         F.col("print").alias("class"),
         (F.col("times") == F.col("pages")).alias("root"),
         F.when(F.col("article"), by_article).otherwise(by_text).alias("main"),
+        (F.col("pages") > 1).alias("again"),
     )
     template = lambda of: F.array_sort(F.collect_list(F.when(of, token)))
     return usual.groupBy("host").agg(template(F.col("article")).alias("article"), template(~F.col("article")).alias("plain"))
@@ -272,6 +299,7 @@ def main_text(html: str, with_article: list[dict], plain: list[dict]) -> str:
             sizes[t["class"]] = rank + 1
     valid = valid_tokens(page, template, sizes)
     main = {t["token"]: t["main"] for t in tokens}
+    again = {t["token"] for t in tokens if t["again"]}
     slot = PAGE
     blocks: dict[int, list[str]] = {}
     for s in segments:
@@ -282,7 +310,7 @@ def main_text(html: str, with_article: list[dict], plain: list[dict]) -> str:
             wanted = main.get(slot, False)
         else:
             wanted = main.get(slot, False) or s.main or (not article and not s.link)
-        if wanted and not s.off and (s.main or not article):
+        if wanted and not s.off and (s.main or not article) and again.isdisjoint(s.asked):
             blocks.setdefault(s.block, []).append(s.text)
     texts = (" ".join(unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n\n".join(t for t in texts if t)

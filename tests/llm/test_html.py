@@ -79,6 +79,36 @@ def test_an_article_without_text_is_none(spark):
     assert [found[0][0], found[1][0]] == [TEXT, "Plain 1\n\nBody of 1"]
 
 
+SECTIONS = [
+    "<section id='related-work'><h2>Related</h2><p>Text</p></section>",
+    "<section id='sharing-memory-between-processes'><h2>Related</h2><p>Text</p></section>",
+    "<h2 id='comments-in-yaml'>Related</h2><p>Text</p>",
+    "<h2 id='comments'>Related</h2><p id='share'>Text</p>",
+    "<div id='login'><h2>Related</h2><p>Text</p></div>",
+    "<h2>Related</h2><p class='notice'>Text</p>",
+]
+
+
+@pytest.mark.parametrize("wrap", ["<article><h1>Head</h1><p>One.</p>{}</article>", "<main><h1>Head</h1><p>One.</p>{}</main>"])
+def test_slugs_of_headings_are_no_boilerplate(spark, wrap):
+    bodies = [wrap.format(x) for x in SECTIONS + ["<p>Another.</p>"] * 6]
+    found = extracted(spark, [(f"http://six.example/{i}", page(b)) for i, b in enumerate(bodies)] + [(f"http://{i}.example/", page(b)) for i, b in enumerate(bodies)])
+    want = ["Head\n\nOne.\n\nRelated\n\nText"] * len(SECTIONS) + ["Head\n\nOne.\n\nAnother."] * 6
+    assert [found[i][0] for i in range(2 * len(bodies))] == want * 2
+
+
+def test_slugs_on_pages_without_an_article(spark):
+    bodies = [f"<div class='content'><h1>Head</h1>{x}</div>" for x in SECTIONS[:4]]
+    found = extracted(spark, [(f"http://{i}.example/", page(b)) for i, b in enumerate(bodies)])
+    assert {t for t, _ in found.values()} == {"Head\n\nRelated\n\nText"}
+
+
+def test_names_that_recur_on_a_host_are_boilerplate(spark):
+    bodies = [ARTICLE.format(f"<div id='comments'><p>Remark {i}</p></div><div class='post-comments'><p>Remark {i}</p></div>") for i in range(6)]
+    found = extracted(spark, [(f"http://seven.example/{i}", page(b)) for i, b in enumerate(bodies)])
+    assert {t for t, _ in found.values()} == {TEXT}
+
+
 def test_odd_pages(spark):
     long = "<p>word " * 20_000
     pages = [(None, None), ("", ""), ("no url", "just text"), ("http://x", "<article>" + long + "</article>"), ("http://y", "<article><p>a < b <c"), ("http://z/", page(ARTICLE.format(""))), ("http://z/", page(ARTICLE.format("")))]
