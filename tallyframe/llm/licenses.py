@@ -1,12 +1,15 @@
 """License scans with a positional index of rare words.
 
 Templates are short passages of common licences. Document frequencies of their words (a bounded
-vocabulary) are counted over the whole corpus. A file's ``LOOKUPS`` licence words of highest inverse
-document frequency are looked up in the index (word -> template, position); each occurrence votes
-for the place where the template would begin in the file. Places with votes of ``LEAST_VOTES``
-distinct template positions are aligned word by word (``SLACK`` words of drift are allowed for), and
-a template counts as found when its mandatory phrases stand there and its IDF-weighted share of
-matched words, the score, reaches ``LEAST_SCORE``.
+vocabulary) are counted over the whole corpus. Every template has its own words of highest inverse
+document frequency in the index (word -> template, position), so many that a place which reaches
+``LEAST_SCORE`` matches ``LEAST_VOTES`` of their positions at least, whatever else the file holds;
+their number is bounded by the template. Templates whose words in the whole file can't reach
+``LEAST_SCORE``, or that lack a word of their phrases, are left out. For the others, each occurrence of
+an indexed word votes for the place where the template would begin in the file. Places with votes of
+``LEAST_VOTES`` distinct template positions are aligned word by word (``SLACK`` words of drift are
+allowed for), and a template counts as found when its mandatory phrases stand there and its
+IDF-weighted share of matched words, the score, reaches ``LEAST_SCORE``.
 
 Beside the templates, the plain phrases of ``BASE_PHRASES`` are found wherever their words stand
 consecutively. They always count, with score 1.
@@ -29,7 +32,6 @@ from pyspark.sql import functions as F
 
 from .runtime import apart, map_arrow, texts_of
 
-LOOKUPS = 12
 LEAST_VOTES = 3
 SLACK = 2
 LEAST_SCORE = 0.8
@@ -74,20 +76,51 @@ def words_of(text: str) -> list[bytes]:
 
 
 class LicenseIndex:
-    """Postings of the templates' words with their weights."""
+    """Postings of each template's rare words, and the weights of all words."""
 
     def __init__(self, templates: tuple[Template, ...], weights: dict[bytes, float]):
         self.labels = [t.label for t in templates]
         self.templates = [words_of(t.text) for t in templates]
         self.mandatory = [[words_of(p) for p in t.mandatory] for t in templates]
         self.weights = weights
+        self.totals = [sum(weights[w] for w in words) for words in self.templates]
+        self.vocabulary = {w for words in self.templates for w in words}
+        self.needed = [{w for p in phrases for w in p} for phrases in self.mandatory]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for number, words in enumerate(self.templates):
+            rare = self.rare_words(number)
             for position, word in enumerate(words):
-                self.postings[word].append((number, position))
-        self.totals = [sum(weights[w] for w in words) for words in self.templates]
+                if word in rare:
+                    self.postings[word].append((number, position))
         self.base = [(b" " + b" ".join(words_of(p)) + b" ", len(words_of(p)), label) for p, label in BASE_PHRASES]
 
+    def rare_words(self, number: int) -> set[bytes]:
+        """The words of highest weight of a template, so many that without them no place reaches the score.
+
+        A place that matches fewer than ``LEAST_VOTES`` of their positions has at most the weight of all
+        other positions and of the heaviest ``LEAST_VOTES - 1`` ones.
+        """
+        words = self.templates[number]
+        order = sorted(set(words), key=lambda w: (-self.weights[w], w))
+        few = sum(sorted((self.weights[w] for w in words), reverse=True)[: LEAST_VOTES - 1])
+        rare: set[bytes] = set()
+        for word in order:
+            rare.add(word)
+            others = sum(self.weights[w] for w in words if w not in rare)
+            # A little less, as sums are rounded.
+            if few + others < (LEAST_SCORE - 1e-9) * self.totals[number]:
+                break
+        return rare
+
+    def possible(self, words: list[bytes]) -> set[int]:
+        """The templates whose phrases and score the words of a file allow, wherever they stand."""
+        present = self.vocabulary.intersection(words)
+        return {
+            number
+            for number, template in enumerate(self.templates)
+            if self.needed[number] <= present and sum(self.weights[w] for w in template if w in present) >= LEAST_SCORE * self.totals[number] - 1e-9
+        }
+
     def base_places(self, words: list[bytes]) -> tuple[list[int], set[str]]:
         """The word positions of the base phrases, and their labels."""
         places: list[int] = []
@@ -105,15 +138,14 @@ class LicenseIndex:
 
     def found(self, words: list[bytes]) -> dict[str, float]:
         """The labels of the templates found among the words, with their best scores."""
-        present = [w for w in self.postings.keys() & set(words)]
-        rare = sorted(present, key=lambda w: (-self.weights[w], w))[:LOOKUPS]
-        if len(rare) < LEAST_VOTES:
+        possible = self.possible(words)
+        if not possible:
             return {}
-        looked_up = set(rare)
+        looked_up = {w: here for w, places in self.postings.items() if (here := [x for x in places if x[0] in possible])}
         votes: dict[tuple[int, int], set[int]] = defaultdict(set)
         for at, word in enumerate(words):
             if word in looked_up:
-                for number, position in self.postings[word]:
+                for number, position in looked_up[word]:
                     votes[number, at - position].add(position)
         best: dict[str, float] = {}
         for (number, start), _ in sorted(votes.items()):

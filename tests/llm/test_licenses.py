@@ -2,9 +2,10 @@
 
 import re
 
+import pytest
 from llm_tables import documents, some_words
 
-from tallyframe.llm.licenses import TEMPLATES, license_report, words_of
+from tallyframe.llm.licenses import TEMPLATES, LicenseIndex, license_report, words_of
 
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 TEXTS = [
@@ -53,6 +54,30 @@ def test_every_template_is_found_with_a_word_changed(spark):
         assert TEMPLATES[r["doc_id"]].label in r["labels"].split(",")
 
 
+@pytest.mark.parametrize("rarest", range(-1, len(TEMPLATES)))
+@pytest.mark.parametrize("step", [0.0, 0.1, 1.0])
+def test_all_templates_of_one_text_are_found(rarest, step):
+    """In each order of rarity: one template's words, and among these the later or the earlier ones, are the rarest."""
+    vocabulary = sorted({w for t in TEMPLATES for w in words_of(t.text)})
+    own = words_of(TEMPLATES[rarest].text) if rarest >= 0 else []
+    texts = [" filler here ".join(t.text for t in order) for order in (TEMPLATES, TEMPLATES[::-1])]
+    for order in (vocabulary, vocabulary[::-1]):
+        index = LicenseIndex(TEMPLATES, {w: 1.0 + step * i / 10 + 3.0 * (w in own) for i, w in enumerate(order)})
+        for text in texts:
+            assert index.found(words_of(text)) == dict.fromkeys({t.label for t in TEMPLATES}, 1.0)
+        for number, t in enumerate(TEMPLATES):
+            words = words_of(t.text)
+            every = [LicenseIndex.score(index, number, start, words) for start in range(-2, 3)]
+            assert index.found(words)[t.label] == max(every)
+
+
+def test_two_licences_of_one_text(spark):
+    bsd, mit = TEMPLATES[7].text, TEMPLATES[1].text
+    texts = [f"{bsd} {mit}", *(mit for _ in range(20))]
+    labels = {r["doc_id"]: r["labels"] for r in license_report(documents(spark, texts)).collect()}
+    assert labels[0] == "bsd,mit"
+
+
 def test_words_and_empty_table(spark):
     assert words_of("Aé-Ünicode_9\x7f日本 x") == ["aé".encode(), "Ünicode".encode(), b"9", "日本".encode(), b"x"]
     assert license_report(documents(spark, [])).count() == 0
