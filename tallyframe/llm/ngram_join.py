@@ -19,8 +19,10 @@ all rows outside a column's largest label with all rows of other labels, where o
 pivots bound those of the pairs. So no link between different labels is missed, and copies are
 never expanded.
 
-Shingles in more than one document of ``HOT_SHARE`` in any task's input skip the blocks: their
-number is bounded by ``HOT_SHARE`` times the mean set size, and their counts go to every task.
+Shingles in more than one document of ``HOT_SHARE`` in any task's input skip the blocks, and their
+counts go to every task: ``HOT_MOST`` shingles at most, else the share is raised until that holds. A
+shingle that stays below has few entries then, about one part in ``HOT_MOST`` of all at most besides
+that share, and goes through its block like any other, which is larger by no more than that.
 
 Defined results: texts without words (and null texts) have no shingles and are linked with nothing;
 texts with fewer words than ``width`` have one shingle, their whole sequence. Repeated rows are
@@ -47,6 +49,9 @@ BLOCK_ENTRIES = 2_000_000
 HELD_ENTRIES = 1_000_000
 HOT_SHARE = 4096
 HOT_LEAST = 8
+#: Shingles whose counts go to every task, at most, and steps in which their share is raised for each power of two.
+HOT_MOST = 1 << 18
+HOT_STEPS = 8
 #: Rounds with one pivot row for each column, before the rest is multiplied completely.
 ROUNDS = 2
 #: Bytes of a class, a hash of the set.
@@ -142,10 +147,19 @@ def membership(docs: DataFrame, id_column: str, text: str, width: int) -> DataFr
 
 
 def hot_columns(found: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent shingles, sorted, with the sums of their counts."""
+    """The frequent shingles, sorted, with the sums of their counts; no more than ``HOT_MOST``."""
     counts = found.where("n is null").groupBy("shingle").agg(F.sum("m").alias("m"))
-    hot = counts.where(F.col("m") >= max(HOT_LEAST, rows // HOT_SHARE)).orderBy("shingle").collect()
-    return np.array([r[0] for r in hot], np.uint64), np.array([r[1] for r in hot], np.uint32)
+    level = F.floor(F.log2("m") * HOT_STEPS)
+    frequent = counts.where(F.col("m") >= max(HOT_LEAST, rows // HOT_SHARE)).withColumn("level", level)
+    # One row for each step of the share; the lowest level from which on all shingles are few enough.
+    least, held = 0, 0
+    for at, count in sorted(map(tuple, frequent.groupBy("level").count().collect()), reverse=True):
+        held += count
+        if held > HOT_MOST:
+            least = at + 1
+            break
+    hot = frequent.where(F.col("level") >= least).select("shingle", "m").toArrow().sort_by("shingle")
+    return hot.column("shingle").to_numpy().astype(np.uint64), hot.column("m").to_numpy().astype(np.uint32)
 
 
 def narrow(counts: np.ndarray) -> bytes:

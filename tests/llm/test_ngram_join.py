@@ -32,6 +32,21 @@ def test_hot_columns_change_nothing(spark, monkeypatch):
     assert rows_of(nj.jaccard_components(documents(spark, texts))) == sorted(plain_components(list(enumerate(texts)), 4, 85))
 
 
+@pytest.mark.parametrize("most", [0, 5, 100])
+def test_hot_columns_are_bounded_by_a_number(spark, monkeypatch, most):
+    monkeypatch.setattr(nj, "HOT_LEAST", 2)
+    monkeypatch.setattr(nj, "HOT_MOST", most, raising=False)
+    texts = near_copies(9)
+    docs = documents(spark, texts)
+    found = nj.membership(docs, "doc_id", "text", 4)
+    values, times = nj.hot_columns(found, len(texts))
+    counts = {r[0]: r[1] for r in found.where("n is null").groupBy("shingle").sum("m").collect()}
+    assert len(values) <= most < len(counts) and sorted(values.tolist()) == values.tolist()
+    assert [counts[v] for v in values.tolist()] == times.tolist()
+    if most == 100:
+        assert len(values) and rows_of(nj.jaccard_components(docs)) == sorted(plain_components(list(enumerate(texts)), 4, 85))
+
+
 def test_repeated_and_null_ids(spark):
     base = " ".join(some_words(1, 40))
     texts, ids = [base, base + " x", base, "lonely words here now", base], [None, 7, 7, None, 3]
