@@ -78,4 +78,28 @@ SELECT doc_id, source, c::INTEGER AS copy, md5('mix-1|place|' || key || '|' || c
 FROM drawn, unnest(range(1, n + 1)) AS u(c)
 """
 
-LLM_ORACLES = {"op6_source_mix": _MIX, "op1_chat_formatting": _CHAT, "op5_quality_rules": _QUALITY}
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM_WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_DECONTAMINATION = f"""
+WITH i AS (SELECT item_id, {_ALNUM_WORDS} AS w FROM benchmark),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_ALNUM_WORDS} AS w FROM documents),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS win
+  FROM i, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS u(k) WHERE len(w) > 0),
+words AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+tens AS (SELECT rid, k, [word, {", ".join(f"lead(word, {j}) OVER s" for j in range(1, 10))}] AS ten FROM words WINDOW s AS (PARTITION BY rid ORDER BY k)),
+spans AS (
+  SELECT rid, k, size, array_to_string(ten[1:size], ' ') AS win
+  FROM tens CROSS JOIN (SELECT DISTINCT size FROM windows) AS sizes WHERE ten[size] IS NOT NULL),
+found AS (SELECT rid, k, s.size, item_id FROM spans s JOIN windows w ON s.win = w.win AND s.size = w.size),
+hit AS (SELECT rid, count(DISTINCT k + j) AS n FROM (SELECT DISTINCT rid, k, size FROM found) AS f, unnest(range(size)) AS u(j) GROUP BY rid),
+listed AS (
+  SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(listed.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN listed USING (rid)
+"""
+
+LLM_ORACLES = {"op13_decontamination": _DECONTAMINATION, "op6_source_mix": _MIX, "op1_chat_formatting": _CHAT, "op5_quality_rules": _QUALITY}
