@@ -102,4 +102,51 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN listed USING (rid)
 """
 
-LLM_ORACLES = {"op13_decontamination": _DECONTAMINATION, "op6_source_mix": _MIX, "op1_chat_formatting": _CHAT, "op5_quality_rules": _QUALITY}
+_REPAIR = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) AS r(n))),
+said AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place
+  FROM conversations),
+fated AS (
+  SELECT said.*, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(place, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 20 AS fate
+  FROM said, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM fated, unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS u(copy) WHERE fate <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substr(text, 1, 64), md5(text)) AS k,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS unended FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM placed),
+faulty AS (SELECT *, NOT blank AND again AS duplicate, NOT blank AND NOT again AND unended AS truncated, blank OR again AS gone FROM seen),
+chains(s, letters, lines, t) AS (VALUES
+  (0, '', []::VARCHAR[], 0), (0, 'I', ['user:'], 2), (0, 'II', ['user:', 'assistant:'], 3), (1, '', []::VARCHAR[], 1), (1, 'I', ['user:'], 2), (1, 'II', ['user:', 'assistant:'], 3),
+  (2, '', []::VARCHAR[], 2), (2, 'I', ['assistant:'], 3), (2, 'II', ['assistant:', 'user:'], 2), (3, '', []::VARCHAR[], 3), (3, 'I', ['user:'], 2), (3, 'II', ['user:', 'assistant:'], 3)),
+paths AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS k, 0 AS state, {'cost': 0, 'audit': '', 'lines': []::VARCHAR[]} AS best FROM conversations
+  UNION ALL
+  SELECT conv_id, k, way.t AS state, min({'cost': best.cost + 3 * length(letters) + way.cost, 'audit': best.audit || letters || way.letter, 'lines': best.lines || lines || way.line})
+  FROM (
+    SELECT p.conv_id, f.k, p.best, letters, lines, unnest(list_filter([
+      {'t': t, 'cost': 4, 'letter': 'D', 'line': []::VARCHAR[], 'can': true},
+      {'t': CASE t WHEN 2 THEN 3 ELSE 2 END, 'cost': CASE WHEN truncated THEN 6 ELSE 3 END, 'letter': 'R', 'line': [CASE t WHEN 2 THEN 'assistant:' ELSE 'user:' END || f.text], 'can': NOT gone},
+      {'t': CASE f.role[1:1] WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, 'cost': CASE WHEN truncated THEN 3 ELSE 0 END, 'letter': 'K', 'line': [f.role || ':' || f.text],
+       'can': NOT gone AND (t::VARCHAR || f.role[1:1]) IN ('0s', '0u', '1u', '3u', '2a')}], lambda x: x.can)) AS way
+    FROM paths p JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.k = p.k + 1 JOIN chains ON chains.s = p.state)
+  GROUP BY conv_id, k, way.t),
+sizes AS (
+  SELECT c.conv_id, count(f.k) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || role[1:1] NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id),
+ends AS (
+  SELECT p.conv_id, p.k, min({'cost': best.cost + 3 * length(letters), 'audit': best.audit || letters, 'lines': best.lines || lines}) AS best
+  FROM paths p JOIN chains ON chains.s = p.state WHERE chains.t = 3 OR (chains.s = 0 AND chains.t = 0) GROUP BY p.conv_id, p.k)
+SELECT z.conv_id, gaps, blank, duplicate, truncated, illegal, best.cost::BIGINT AS cost, best.audit AS audit, sha256(array_to_string(best.lines, chr(10))) AS repaired_sha256
+FROM sizes z JOIN ends e ON e.conv_id IS NOT DISTINCT FROM z.conv_id AND e.k = z.n
+"""
+
+LLM_ORACLES = {"op11_conversation_repair": _REPAIR, "op13_decontamination": _DECONTAMINATION, "op6_source_mix": _MIX, "op1_chat_formatting": _CHAT, "op5_quality_rules": _QUALITY}

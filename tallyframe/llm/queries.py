@@ -14,6 +14,7 @@ from .licenses import license_report
 from .mixing import source_mix
 from .ngram_join import ngram_jaccard_join
 from .quality import quality_report
+from .repair import damage_repair_report
 from .runtime import table
 from .secrets_scan import secret_report
 from .token_counts import token_counts
@@ -60,6 +61,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damage_repair_report(table(spark, sf_dir, "conversations"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,6 +82,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_token_counts,
         op10_html_extraction,
+        op11_conversation_repair,
         op13_decontamination,
     )
 }
