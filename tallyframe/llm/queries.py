@@ -19,6 +19,7 @@ from .runtime import table
 from .secrets_scan import secret_report
 from .token_counts import token_counts
 from .vptree import nearest_neighbours
+from .whitening import whitening_report
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damage_repair_report(table(spark, sf_dir, "conversations"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_report(table(spark, sf_dir, "embeddings"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -83,6 +88,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_token_counts,
         op10_html_extraction,
         op11_conversation_repair,
+        op12_embedding_whitening,
         op13_decontamination,
     )
 }
