@@ -15,7 +15,7 @@ documents are asked for those of exactly the sizes that occur, at most ``SPAN``
 Only fingerprints are dealt by hash, and both sides of both joins to the benchmark are such that a document's
 row meets one row: windows are distinct, and the items that hold a window are known by one set, so a
 passage in many documents and many items never gives their product. The items of a document are put together
-once for each different collection of such sets. Texts are read again only for documents with a hit.
+once for each different collection of such sets. The texts are shuffled once, to extend the hits.
 
 Defined results: a null or wordless text has no words and no hits; a null or wordless item has no windows; a
 null ``item_id`` gives hits but is neither counted nor listed; repeated items count once; a repeated document
@@ -150,7 +150,8 @@ def contaminated_spans(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame,
         digest = lambda x: F.struct(start(x).alias("start"), size(x).alias("size"), window_digest(words, start(x), size(x)).alias("digest"))
         return F.transform(F.array_distinct(F.flatten(each)), digest)
 
-    again = rows.alias("r").join(hits.alias("h"), same_row("r", "h")).select("r.doc_id", "r.text_id", "text", "hits")
+    # The hits grow with the input: they are dealt with the texts at every size, never broadcast.
+    again = rows.alias("r").join(hits.hint("merge").alias("h"), same_row("r", "h")).select("r.doc_id", "r.text_id", "text", "hits")
     spans = again.select("doc_id", "text_id", F.explode(let(words_of(F.col("text")), extended)).alias("span")).select("doc_id", "text_id", "span.*")
     found = spans.join(windows.select("digest", "items"), "digest").groupBy("doc_id", "text_id")
     found = found.agg(F.collect_set(F.struct("start", "size")).alias("spans"), F.sort_array(F.collect_set("items")).alias("sets"))
