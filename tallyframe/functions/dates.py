@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -135,26 +136,44 @@ def month_start(period: str) -> date | None:
     return date(int(match[1]), int(match[2]), 1)
 
 
-def in_period(df: DataFrame, date_col: str, period: str) -> Column:
-    """Whether the date falls into the month, as a range on the raw column.
+def month_runs(periods: Iterable[str]) -> list[tuple[date, date]]:
+    """First days of the first and last month of each run of neighbouring months; other texts are left out."""
+    runs: list[tuple[date, date]] = []
+    for start in sorted({month_start(period) for period in periods} - {None}):
+        if runs and following_month(runs[-1][1]) == start:
+            runs[-1] = (runs[-1][0], start)
+        else:
+            runs.append((start, start))
+    return runs
+
+
+def following_month(start: date) -> date | None:
+    """First day of the next month, None beyond the last month that a date can have."""
+    if (start.year, start.month) == (date.max.year, date.max.month):
+        return None
+    return date(start.year + start.month // 12, start.month % 12 + 1, 1)
+
+
+def in_months(df: DataFrame, date_col: str, first: date, last: date) -> Column:
+    """Whether the date falls into the months from ``first`` to ``last``, as a range on the raw column.
 
     A range with literals of the column's own type is pushed to the Parquet
     scan; a test on the formatted text would not be.
     """
-    start = month_start(period)
-    if start is None:
-        return F.lit(False)
     dtype = data_type(df, date_col)
-    inside = named(date_col) >= F.lit(start.isoformat()).cast(dtype)
-    if (start.year, start.month) == (date.max.year, date.max.month):
+    inside = named(date_col) >= F.lit(first.isoformat()).cast(dtype)
+    after = following_month(last)
+    if after is None:
         return inside
-    following = date(start.year + start.month // 12, start.month % 12 + 1, 1)
-    return inside & (named(date_col) < F.lit(following.isoformat()).cast(dtype))
+    return inside & (named(date_col) < F.lit(after.isoformat()).cast(dtype))
 
 
 def filter_periods(df: DataFrame, date_col: str, *periods: str) -> DataFrame:
-    """Rows of the named months; ``date_col`` must already be typed."""
+    """Rows of the named months; ``date_col`` must already be typed.
+
+    Neighbouring months are one range, so many months make a short predicate.
+    """
     wanted = F.lit(False)
-    for period in periods:
-        wanted = wanted | in_period(df, date_col, period)
+    for first, last in month_runs(periods):
+        wanted = wanted | in_months(df, date_col, first, last)
     return df.filter(wanted)

@@ -6,7 +6,12 @@ it, the whole table is one series.
 
 from tallyframe.operators.adhoc import kpi_by_segment, run_sql, sample_queries
 from tallyframe.operators.anomaly import anomaly_count, detect_anomalies
-from tallyframe.operators.compare import compare_periods, comparison_periods
+from tallyframe.operators.compare import (
+    compare_periods,
+    compare_series,
+    comparison_periods,
+    series_months,
+)
 from tallyframe.operators.drivers import driver_extremes, drivers_all_segments, segment_drivers
 from tallyframe.operators.forecast import forecast_kpi, future_periods, linear_fit
 from tallyframe.operators.profile import (
@@ -28,6 +33,7 @@ from tallyframe.operators.trend import (
 __all__ = [
     "anomaly_count",
     "compare_periods",
+    "compare_series",
     "comparison_periods",
     "detect_anomalies",
     "driver_extremes",
@@ -48,6 +54,7 @@ __all__ = [
     "run_sql",
     "sample_queries",
     "segment_drivers",
+    "series_months",
     "suggest_settings",
     "tag_questions",
 ]

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import named, present
-from tallyframe.functions.dates import coerce_date, filter_periods, month_of, month_start
+from tallyframe.functions.dates import coerce_date, drop_undated, filter_periods, month_of, period_of
 from tallyframe.functions.kpi import check_kpi, kpi_value, role_columns
 from tallyframe.functions.numbers import percent_change, plain_round2, round2
+from tallyframe.operators.compare import CUSTOM, series_months
 from tallyframe.operators.trend import MONTH, collect_periods
+from tallyframe.session import durable
 from tallyframe.settings import Settings
 
 SEGMENT_COLUMN = "segment_column"
@@ -36,23 +38,24 @@ def segment_drivers(
     by: Sequence[str] = (),
     periods: Sequence[str] | None = None,
     ordered: bool = True,
+    months: DataFrame | None = None,
 ) -> DataFrame:
     """KPI of every segment in two months, ascending by change.
 
-    The months default to the last two. A segment missing in one month counts
-    0.0 there; rows without segment are left out; with fewer than two months in
-    the data the result is empty. ``periods`` are the sorted months present;
-    left out, a job over the date column finds them. ``ordered=False`` saves the
-    sort when the result is processed further.
+    The months default to the last two, with ``by`` to the last two of each series.
+    A segment missing in one month counts 0.0 there; rows without segment are left
+    out; with fewer than two months in the data (of a series, unless both months
+    are named) the result is empty. ``periods`` are the sorted months present, and
+    ``months`` the two months of each series (``series_months``); left out, a job
+    over the date and key columns finds them. ``ordered=False`` saves the sort when
+    the result is processed further.
     """
     rows = coerce_date(df, settings.date_col, settings.date_format)
     labelled = rows.select(
         *base_columns(kpi_name, settings, by), present(rows, segment_col).alias(SEGMENT)
     )
-    if periods is None:
-        periods = present_periods(rows, settings, previous, current)
-    drivers = compare_segments(
-        labelled, settings, kpi_name, [*by, SEGMENT], previous, current, periods
+    drivers = segment_changes(
+        rows, labelled, settings, kpi_name, by, [SEGMENT], previous, current, periods, months
     )
     drivers = drivers.select(
         *[named(key) for key in by],
@@ -75,6 +78,7 @@ def drivers_all_segments(
     by: Sequence[str] = (),
     periods: Sequence[str] | None = None,
     ordered: bool = True,
+    months: DataFrame | None = None,
 ) -> DataFrame:
     """``segment_drivers`` for several segment columns in one pass over two months.
 
@@ -93,13 +97,37 @@ def drivers_all_segments(
         ]
     )
     labelled = rows.select(*base, F.inline(named_segments))
-    if periods is None:
-        periods = present_periods(rows, settings, previous, current)
-    keys = [*by, SEGMENT_COLUMN, SEGMENT]
-    drivers = compare_segments(labelled, settings, kpi_name, keys, previous, current, periods)
+    segment = [SEGMENT_COLUMN, SEGMENT]
+    drivers = segment_changes(
+        rows, labelled, settings, kpi_name, by, segment, previous, current, periods, months
+    )
     if not ordered:
         return drivers
-    return drivers.orderBy(*[named(key) for key in keys[:-1]], "absolute_change", SEGMENT)
+    return drivers.orderBy(*[named(key) for key in by], SEGMENT_COLUMN, "absolute_change", SEGMENT)
+
+
+def segment_changes(
+    rows: DataFrame,
+    labelled: DataFrame,
+    settings: Settings,
+    kpi_name: str,
+    by: Sequence[str],
+    segment: Sequence[str],
+    previous: str | None,
+    current: str | None,
+    periods: Sequence[str] | None,
+    months: DataFrame | None,
+) -> DataFrame:
+    """Changes by series and segment, in the months named, of the table, or of each series."""
+    if months is None and by and (previous is None or current is None):
+        months = own_months(rows, settings, by, previous, current)
+    if months is not None:
+        chosen = rows_of_series(labelled, settings, by, months)
+        return compare_sides(chosen, settings, kpi_name, [*by, *segment])
+    if periods is None:
+        periods = present_periods(rows, settings, previous, current)
+    chosen = rows_of_table(labelled, settings, previous, current, periods)
+    return compare_sides(chosen, settings, kpi_name, [*by, *segment])
 
 
 def present_periods(
@@ -123,16 +151,35 @@ def base_columns(kpi_name: str, settings: Settings, by: Sequence[str]) -> list[C
     return [named(name) for name in names]
 
 
-def compare_segments(
+def own_months(
+    rows: DataFrame,
+    settings: Settings,
+    by: Sequence[str],
+    previous: str | None = None,
+    current: str | None = None,
+) -> DataFrame:
+    """The months each series compares, from one job over the date and key columns."""
+    month = month_of(settings.date_col).alias(MONTH)
+    keys = [named(key) for key in by]
+    present = drop_undated(rows, settings.date_col).select(*keys, month).distinct()
+    months = present.select(*keys, period_of(F.col(MONTH)).alias("period"))
+    return durable(series_months(months, by, CUSTOM, previous, current))
+
+
+def wanted_months(months: DataFrame) -> list[str]:
+    """All months that some series compares: one short text per calendar month, however many series."""
+    both = F.explode(F.array("previous_period", "current_period")).alias("period")
+    return sorted(row.period for row in months.select(both).distinct().collect())
+
+
+def rows_of_table(
     labelled: DataFrame,
     settings: Settings,
-    kpi_name: str,
-    keys: Sequence[str],
     previous: str | None,
     current: str | None,
     periods: Sequence[str],
 ) -> DataFrame:
-    """KPI per key in two months; ``labelled`` has a typed date and a segment column."""
+    """Rows of the two months of the table, with these months."""
     if len(periods) < 2:
         previous, current = previous or "", current or ""
     else:
@@ -140,30 +187,56 @@ def compare_segments(
     rows = filter_periods(labelled, settings.date_col, previous, current)
     if len(periods) < 2:
         rows = rows.filter(F.lit(False))
+    return rows.select(
+        "*", F.lit(previous).alias("previous_period"), F.lit(current).alias("current_period")
+    )
+
+
+def rows_of_series(
+    labelled: DataFrame, settings: Settings, by: Sequence[str], months: DataFrame
+) -> DataFrame:
+    """Rows of the two months of their series, with these months.
 
+    The months that any series compares are a range on the raw date column, which reaches the scan. Then
+    rows meet the months of their series by (series, month), so a hot series is dealt out by its
+    months, and rows of other months go before anything is aggregated.
+    """
+    rows = filter_periods(labelled, settings.date_col, *wanted_months(months))
+    pair = ["previous_period", "current_period"]
+    # In a struct nulls are equal, and keys can't clash with the rows' columns.
+    series = F.struct(*[named(key) for key in by]).alias("__series")
+    each = months.select(series, *pair, F.explode(F.array_distinct(F.array(*pair))).alias("__period"))
+    first_day = F.try_to_timestamp(F.concat("__period", F.lit("-01")), F.lit("yyyy-MM-dd"))
+    wanted = each.select("__series", first_day.cast("date").alias(MONTH), *pair)
+    keyed = rows.select("*", series, month_of(settings.date_col).alias(MONTH))
+    return keyed.join(wanted, ["__series", MONTH]).drop("__series", MONTH)
+
+
+def compare_sides(
+    rows: DataFrame, settings: Settings, kpi_name: str, keys: Sequence[str]
+) -> DataFrame:
+    """KPI per key in two months; ``rows`` has a typed date, a segment and the two periods of its series."""
     key_columns = [named(key) for key in keys]
     # Two levels: a conditional distinct count per side in one aggregate would
-    # multiply the rows; (segment, month) first needs no such expansion.
+    # multiply the rows; (segment, month) first needs no such expansion. The
+    # periods follow from the series, so as keys they make no more groups.
+    pair = ("previous_period", "current_period")
     values = (
         rows.filter(F.col(SEGMENT).isNotNull())
-        .groupBy(*key_columns, month_of(settings.date_col).alias(MONTH))
+        .groupBy(*key_columns, *pair, month_of(settings.date_col).alias(MONTH))
         .agg(kpi_value(rows, kpi_name, settings).alias("value"))
     )
 
     def side(period: str) -> Column:
-        start = month_start(period)
-        if start is None:
-            return F.lit(0.0)
-        in_month = F.when(F.col(MONTH) == F.lit(start), F.col("value"))
+        in_month = F.when(period_of(F.col(MONTH)) == F.col(period), F.col("value"))
         return F.coalesce(F.max(in_month), F.lit(0.0))
 
-    sides = values.groupBy(*key_columns).agg(
-        side(previous).alias("previous"), side(current).alias("current")
+    sides = values.groupBy(*key_columns, *pair).agg(
+        side("previous_period").alias("previous"), side("current_period").alias("current")
     )
     return sides.select(
         *key_columns,
-        F.lit(previous).alias("previous_period"),
-        F.lit(current).alias("current_period"),
+        *pair,
         round2(F.col("previous")).alias("previous_value"),
         round2(F.col("current")).alias("current_value"),
         round2(F.col("current") - F.col("previous")).alias("absolute_change"),

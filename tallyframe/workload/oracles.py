@@ -116,6 +116,8 @@ SURFACE_SQL = {
 # Sources: a table expression with the columns day, revenue, order_id and segments.
 ORDERS_ROWS = """(SELECT o_orderdate AS day, o_totalprice AS revenue, o_orderkey AS order_id,
   o_orderpriority, o_orderstatus FROM orders)"""
+CUSTOMER_ROWS = """(SELECT o_orderdate AS day, o_totalprice AS revenue, o_orderkey AS order_id,
+  o_orderpriority, o_orderstatus, o_custkey FROM orders)"""
 EVENTS_ROWS = "(SELECT ts AS day, value AS revenue, event_id AS order_id, event_type FROM events)"
 SALES_ROWS = """(SELECT l_shipdate AS day, l_extendedprice * (1 - l_discount) AS revenue,
   l_orderkey AS order_id, c_mktsegment, n_name, r_name, p_brand
@@ -230,6 +232,42 @@ def drivers(
             WHERE period IN ({previous}, {current}) GROUP BY ALL) s"""
 
 
+def own_months(rows: str, by: str, back: int = 2) -> str:
+    """The months of each series that has two: its last, and the one before or (0) its first."""
+    other = "min(period)" if back == 0 else f"max(period) FILTER (WHERE back = {back})"
+    return f"""SELECT {by}, {other} AS previous_period, max(period) AS current_period
+      FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY period DESC) AS back
+            FROM (SELECT DISTINCT {by}, strftime(day, '%Y-%m') AS period FROM {rows} base) p) r
+      GROUP BY {by} HAVING count(*) >= 2"""
+
+
+def own_drivers(rows: str, kpi_name: str, segment: str, by: str) -> str:
+    return f"""SELECT {by}, '{segment}' AS segment_column, segment, previous_period, current_period,
+        {r2('a')} AS previous_value, {r2('b')} AS current_value,
+        {r2('b - a')} AS absolute_change, {percent('a', 'b')} AS percent_change
+      FROM (SELECT {by}, segment, previous_period, current_period,
+              coalesce(max(v) FILTER (WHERE period = previous_period), 0.0) AS a,
+              coalesce(max(v) FILTER (WHERE period = current_period), 0.0) AS b
+            FROM (SELECT {by}, {segment} AS segment, strftime(day, '%Y-%m') AS period, {KPI[kpi_name]} AS v
+                  FROM {rows} base GROUP BY ALL) g
+              JOIN ({own_months(rows, by)}) m USING ({by})
+            WHERE period IN (previous_period, current_period) GROUP BY ALL) s"""
+
+
+def own_compare(rows: str, kpi_name: str, by: str, back: int = 2) -> str:
+    return f"""SELECT {by}, previous_period, current_period, previous_value, current_value,
+        {plain_r2('current_value - previous_value')} AS absolute_change,
+        {percent('previous_value', 'current_value')} AS percent_change,
+        CASE WHEN current_value > previous_value THEN 'increased'
+             WHEN current_value < previous_value THEN 'decreased'
+             WHEN current_value = previous_value THEN 'stayed flat' END AS direction
+      FROM (SELECT {by}, previous_period, current_period,
+              max(kpi_value) FILTER (WHERE period = previous_period) AS previous_value,
+              max(kpi_value) FILTER (WHERE period = current_period) AS current_value
+            FROM ({trend(rows, kpi_name, by)}) t LEFT JOIN ({own_months(rows, by, back)}) m USING ({by})
+            GROUP BY ALL) c"""
+
+
 def anomalies(trend_sql: str, *by: str, threshold: float = 1.5) -> str:
     parts = f"PARTITION BY {', '.join(by)}" if by else ""
     return f"""SELECT *, abs(z_score) >= {threshold} AND spread > 0 IS TRUE AS flagged FROM (
@@ -585,6 +623,20 @@ ORACLES = {
         "Revenue",
         "r_name",
     ),
+    "compare_own_months": own_compare(CUSTOMER_ROWS, "Orders", "o_custkey", back=0),
+    "drivers_own_months": own_drivers(
+        CUSTOMER_ROWS, "Average Order Value", "o_orderpriority", "o_custkey"
+    ),
+    "drivers_all_own_months": " UNION ALL ".join(
+        own_drivers(CUSTOMER_ROWS, "Revenue", segment, "o_custkey")
+        for segment in ("o_orderpriority", "o_orderstatus")
+    ),
+    "kpi_summary_own_months": f"""SELECT o_custkey, coalesce(summary,
+          'Not enough period data is available to generate a KPI summary.') AS summary
+        FROM (SELECT DISTINCT o_custkey FROM orders) k LEFT JOIN ({summary(
+            own_compare(CUSTOMER_ROWS, 'Revenue', 'o_custkey'),
+            own_drivers(CUSTOMER_ROWS, 'Revenue', 'o_orderpriority', 'o_custkey'),
+            'Revenue', 'o_custkey')}) s USING (o_custkey)""",
     "drivers_null_segment": drivers(TEXT_ROWS, "Revenue", "channel", P, C),
     "kpi_summary_by_customer": BY_CUSTOMER,
     "tag_phrases": PHRASE_TAGS,

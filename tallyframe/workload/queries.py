@@ -20,6 +20,7 @@ from tallyframe.functions.numbers import format_kpi_value
 from tallyframe.operators import (
     anomaly_count,
     compare_periods,
+    compare_series,
     comparison_periods,
     detect_anomalies,
     driver_extremes,
@@ -38,12 +39,13 @@ from tallyframe.operators import (
     run_sql,
     sample_queries,
     segment_drivers,
+    series_months,
     tag_questions,
 )
 from tallyframe.operators.compare import CUSTOM, FIRST_VS_LATEST, LATEST_VS_PREVIOUS
 from tallyframe.operators.trend import collect_periods
 from tallyframe.plans import Investigation, kpi_summary
-from tallyframe.session import scratch_path
+from tallyframe.session import durable, scratch_path
 from tallyframe.settings import Settings
 from tallyframe.sources import preview, read_dataset, read_report, write_report
 from tallyframe.sources.star import (
@@ -300,6 +302,22 @@ def summary_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kpi_summary(change, REVENUE, by=["o_custkey"])
 
 
+def own_months_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary for each customer from the last two months in which it bought, with drivers of the same months."""
+    table, by = orders(spark, sf_dir), ["o_custkey"]
+    trend = durable(monthly_kpi(table, ORDERS_SETTINGS, REVENUE, by))
+    drivers = segment_drivers(
+        table,
+        ORDERS_SETTINGS,
+        REVENUE,
+        "o_orderpriority",
+        by=by,
+        ordered=False,
+        months=series_months(trend, by),
+    )
+    return kpi_summary(compare_series(trend, by), REVENUE, drivers, by)
+
+
 # Phrases that, by conversation, are put after the texts so that every tag occurs (see FIXTURES.md).
 PHRASES = (
     "",
@@ -389,6 +407,11 @@ ALL_QUERIES: dict[str, Query] = {
     "compare_first_latest": compared(FIRST_VS_LATEST),
     "compare_custom": compared(CUSTOM, PREVIOUS, CURRENT),
     "compare_by_segment": compared_series,
+    "compare_own_months": lambda spark, sf_dir: compare_series(
+        monthly_kpi(orders(spark, sf_dir), ORDERS_SETTINGS, ORDERS, ["o_custkey"]),
+        ["o_custkey"],
+        FIRST_VS_LATEST,
+    ),
     # Drivers
     "drivers_latest": orders_drivers(REVENUE, "o_orderpriority"),
     "drivers_priority_revenue": orders_drivers(REVENUE, "o_orderpriority", PREVIOUS, CURRENT),
@@ -411,6 +434,16 @@ ALL_QUERIES: dict[str, Query] = {
     "drivers_null_segment": lambda spark, sf_dir: segment_drivers(
         text_orders(spark, sf_dir), TEXT_SETTINGS, REVENUE, "channel", PREVIOUS, CURRENT
     ),
+    "drivers_own_months": lambda spark, sf_dir: segment_drivers(
+        orders(spark, sf_dir), ORDERS_SETTINGS, AOV, "o_orderpriority", by=["o_custkey"]
+    ),
+    "drivers_all_own_months": lambda spark, sf_dir: drivers_all_segments(
+        orders(spark, sf_dir),
+        ORDERS_SETTINGS,
+        REVENUE,
+        ["o_orderpriority", "o_orderstatus"],
+        by=["o_custkey"],
+    ),
     # Anomalies and forecast
     "anomalies_revenue": lambda spark, sf_dir: detect_anomalies(
         monthly_kpi(orders(spark, sf_dir), ORDERS_SETTINGS, REVENUE)
@@ -481,6 +514,7 @@ ALL_QUERIES: dict[str, Query] = {
     "kpi_summary_orders": summary(ORDERS),
     "kpi_summary_by_region": summary_by_region,
     "kpi_summary_by_customer": summary_by_customer,
+    "kpi_summary_own_months": own_months_summary,
     "kpi_summary_single_period": single_month_summary,
     "investigation_steps": lambda spark, sf_dir: Investigation(
         text_orders(spark, sf_dir), TEXT_SETTINGS, REVENUE

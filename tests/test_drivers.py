@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from helpers import SETTINGS, dicts_of, rows_of, sales_table
 from tallyframe import AOV, ORDERS, REVENUE
 from tallyframe.operators import (
+    compare_series,
     driver_extremes,
     drivers_all_segments,
     latest_change,
     monthly_kpi,
     segment_drivers,
 )
+from tallyframe.operators.compare import FIRST_VS_LATEST
 from tallyframe.sources.star import ORDERS_SETTINGS, SALES_SETTINGS, load, sales
 
 SF = "/root/testdata/sf0.01"
@@ -109,6 +111,82 @@ def test_drivers_per_series(spark):
     assert found == [("one", "S", -15.0), ("one", "N", -10.0), ("one", "E", 7.0), ("two", "S", -15.0)]
 
 
+ENDED = [
+    ("2024-01-05", 4.0, "a", "N"),
+    ("2024-02-05", 9.0, "b", "N"),
+    ("2024-02-06", 2.0, "c", "S"),
+    ("2024-03-01", 1.0, "d", "S"),
+    ("2024-05-01", 6.0, "e", "N"),
+    ("2024-05-02", 7.0, "f", "E"),
+]
+
+
+def ended_series(spark):
+    """Series one ends in February, two skips April, a null key has two months, four only one."""
+    table = sales_table(spark, ENDED).withColumn("k", F.lit("y"))
+    parts = [
+        table.filter("day < '2024-03-01'").withColumn("shop", F.lit("one")),
+        table.filter("day >= '2024-03-01'").withColumn("shop", F.lit("two")),
+        table.filter("day < '2024-03-01'").withColumn("shop", F.lit(None).cast("string")),
+        table.filter("day = '2024-05-01'").withColumn("shop", F.lit("four")),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def test_series_compare_their_own_months(spark):
+    table = ended_series(spark)
+    drivers = segment_drivers(table, SETTINGS, REVENUE, "region", by=["shop", "k"])
+    found = [
+        (row["shop"], row["segment"], row["previous_period"], row["current_period"], row["absolute_change"])
+        for row in dicts_of(drivers)
+    ]
+    first = [("S", "2024-01", "2024-02", 2.0), ("N", "2024-01", "2024-02", 5.0)]
+    second = [("S", "2024-03", "2024-05", -1.0), ("N", "2024-03", "2024-05", 6.0), ("E", "2024-03", "2024-05", 7.0)]
+    assert found == [(None, *row) for row in first] + [("one", *row) for row in first] + [("two", *row) for row in second]
+    trend = monthly_kpi(table, SETTINGS, REVENUE, ["shop", "k"])
+    compared = {row["shop"]: row for row in dicts_of(compare_series(trend, ["shop", "k"]))}
+    for row in dicts_of(latest_change(trend, ["shop", "k"])):
+        assert {name: compared[row["shop"]][name] for name in row} == row
+    assert compared["four"]["previous_period"] is None
+
+
+def test_each_series_equals_a_table_of_its_own(spark):
+    table = ended_series(spark)
+    segments = ["region", "k"]
+    together = drivers_all_segments(table, SETTINGS, AOV, segments, by=["shop"])
+    for shop in ("one", "two", "four", None):
+        same = F.col("shop").eqNullSafe(F.lit(shop))
+        alone = drivers_all_segments(table.filter(same), SETTINGS, AOV, segments)
+        assert rows_of(together.filter(same).drop("shop")) == rows_of(alone)
+
+
+def test_one_named_month_and_the_latest_of_each_series(spark):
+    table = ended_series(spark)
+    drivers = segment_drivers(table, SETTINGS, REVENUE, "region", previous="2024-01", by=["shop"])
+    assert {(row["shop"], row["previous_period"], row["current_period"]) for row in dicts_of(drivers)} == {
+        (None, "2024-01", "2024-02"),
+        ("one", "2024-01", "2024-02"),
+        ("two", "2024-01", "2024-05"),
+    }
+    trend = monthly_kpi(table, SETTINGS, REVENUE, ["shop"])
+    first = {row["shop"]: row for row in dicts_of(compare_series(trend, ["shop"], FIRST_VS_LATEST))}
+    assert (first["two"]["previous_period"], first["two"]["current_period"]) == ("2024-03", "2024-05")
+    assert rows_of(segment_drivers(table, SETTINGS, REVENUE, "region", previous="soon", current=None, by=["shop"])) != []
+
+
+def test_only_the_months_that_a_series_compares_are_read(spark, tmp_path, capsys):
+    path = str(tmp_path / "orders.parquet")
+    ended_series(spark).write.parquet(path)
+    capsys.readouterr()
+    segment_drivers(spark.read.parquet(path), SETTINGS, REVENUE, "region", by=["shop"]).explain("formatted")
+    plan = capsys.readouterr().out
+    for bound in ("GreaterThanOrEqual(day,2024-01-01)", "LessThan(day,2024-04-01)", "GreaterThanOrEqual(day,2024-05-01)"):
+        assert bound in plan
+
+
 def test_changes_add_up_to_the_total(spark):
     random.seed(5)
     rows = [
