@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 from functools import cached_property
 
@@ -12,8 +12,14 @@ from pyspark.sql import functions as F
 from tallyframe.functions.columns import data_type, is_categorical
 from tallyframe.functions.kpi import check_kpi
 from tallyframe.operators.anomaly import detect_anomalies
-from tallyframe.operators.compare import CUSTOM, compare_periods, comparison_periods
-from tallyframe.operators.drivers import segment_drivers
+from tallyframe.operators.compare import (
+    CUSTOM,
+    compare_periods,
+    compare_series,
+    comparison_periods,
+    series_months,
+)
+from tallyframe.operators.drivers import segment_drivers, wanted_months
 from tallyframe.operators.forecast import forecast_kpi
 from tallyframe.operators.profile import (
     column_counts,
@@ -26,21 +32,24 @@ from tallyframe.operators.trend import in_order, latest_change, monthly_kpi
 from tallyframe.plans.narrative import investigation_steps, kpi_summary
 from tallyframe.plans.report import report_bundle
 from tallyframe.session import durable
-from tallyframe.settings import DEFAULT_FORECAST_STEPS, DEFAULT_Z_THRESHOLD, Settings
+from tallyframe.settings import DEFAULT_FORECAST_STEPS, DEFAULT_Z_THRESHOLD, Settings, pick_column
 
 
 class Investigation:
-    """The results for one KPI, each made when first asked for.
+    """The results for one KPI, each made when first asked for; with ``by`` for any number of series.
 
     The small tables several results need (profile counts, trend, drivers) are
     computed once and kept in the checkpoint folder. So the base table is read
     once for the trend, once for the profile counts, once to look for
     duplicates, and for two months to find the drivers; what is not asked for
-    is not read. Months default to the last two.
-
-    ``segment_rows(previous, current)`` gives the rows of two months with the
-    segment column, where that takes joins; ``df`` then needs no segment, and
-    the trend is made without them. ``report_rows`` cuts the report's tables.
+    is not read. Months default to the last two, with ``by`` to the last two of
+    each series; a series is compared in its own months everywhere.
+
+    ``segment_rows(*months)`` gives the rows of the compared months with the
+    segment column (and keys), where that takes joins; ``df`` then needs no
+    segment, and the trend is made without them. A ``segment_col`` that the table
+    lacks falls back to that of the settings. ``report_rows`` cuts the report's
+    tables, for each series.
     """
 
     def __init__(
@@ -54,13 +63,18 @@ class Investigation:
         threshold: float = DEFAULT_Z_THRESHOLD,
         steps: int = DEFAULT_FORECAST_STEPS,
         duplicates: bool = True,
-        segment_rows: Callable[[str, str], DataFrame] | None = None,
+        segment_rows: Callable[..., DataFrame] | None = None,
         report_rows: int | None = None,
+        by: Sequence[str] = (),
     ) -> None:
         check_kpi(kpi_name, settings)
         self.df = df
         self.kpi_name = kpi_name
-        self.segment_col = segment_col
+        self.by = list(by)
+        # With rows of their own for segments, the table can't tell which columns these have.
+        fallback = settings.segment_col or segment_col
+        known = segment_rows is not None and segment_col is not None
+        self.segment_col = segment_col if known else pick_column(df, segment_col, fallback)
         self.threshold = threshold
         self.forecast_steps = steps
         self.duplicates = duplicates
@@ -83,11 +97,17 @@ class Investigation:
 
     @cached_property
     def months(self) -> DataFrame:
-        return durable(monthly_kpi(self.df, self.settings, self.kpi_name))
+        return durable(monthly_kpi(self.df, self.settings, self.kpi_name, self.by))
 
     @cached_property
     def periods(self) -> list[str]:
-        return sorted(row.period for row in self.months.select("period").collect())
+        """The months of the table: one short text per calendar month."""
+        return sorted(row.period for row in self.months.select("period").distinct().collect())
+
+    @cached_property
+    def series_months(self) -> DataFrame:
+        """The months each series compares; only with ``by``."""
+        return durable(series_months(self.months, self.by, CUSTOM, *self._named))
 
     @cached_property
     def compared(self) -> tuple[str | None, str | None]:
@@ -111,15 +131,17 @@ class Investigation:
 
     @cached_property
     def trend(self) -> DataFrame:
-        return in_order(self.months)
+        return in_order(self.months, self.by)
 
     @cached_property
     def change(self) -> DataFrame:
-        return latest_change(self.months)
+        return latest_change(self.months, self.by)
 
     @cached_property
     def comparison(self) -> DataFrame:
-        """Empty with fewer than two months in the data."""
+        """Empty with fewer than two months in the data; a series with fewer has a row of NULLs."""
+        if self.by:
+            return compare_series(self.months, self.by, CUSTOM, *self._named)
         if len(self.periods) < 2:
             return self.change.filter(F.lit(False))
         return compare_periods(self.months, *self.compared)
@@ -127,32 +149,38 @@ class Investigation:
     @cached_property
     def drivers(self) -> DataFrame | None:
         """None without a segment column or without two months to compare."""
-        previous, current = self.compared
-        if self.segment_col is None or previous is None or current is None:
+        if self.segment_col is None:
+            return None
+        if self.by:
+            compared = wanted_months(self.series_months)
+            months = {"months": self.series_months}
+        else:
+            compared = self.compared
+            months = {"previous": compared[0], "current": compared[1], "periods": self.periods}
+        if not compared or None in compared:
             return None
         return durable(
             segment_drivers(
-                self.segment_rows(previous, current) if self.segment_rows else self.df,
+                self.segment_rows(*compared) if self.segment_rows else self.df,
                 self.settings,
                 self.kpi_name,
                 self.segment_col,
-                previous,
-                current,
-                periods=self.periods,
+                by=self.by,
+                **months,
             )
         )
 
     @cached_property
     def anomalies(self) -> DataFrame:
-        return in_order(detect_anomalies(self.months, self.threshold))
+        return in_order(detect_anomalies(self.months, self.threshold, self.by), self.by)
 
     @cached_property
     def forecast(self) -> DataFrame:
-        return forecast_kpi(self.months, self.forecast_steps)
+        return forecast_kpi(self.months, self.forecast_steps, self.by)
 
     @cached_property
     def summary(self) -> DataFrame:
-        return kpi_summary(self.comparison, self.kpi_name, self.drivers)
+        return kpi_summary(self.comparison, self.kpi_name, self.drivers, self.by)
 
     @cached_property
     def steps(self) -> DataFrame:
@@ -163,19 +191,21 @@ class Investigation:
             self.anomalies,
             self.forecast,
             self.kpi_name,
+            self.by,
         )
 
     @cached_property
     def report(self) -> DataFrame:
         return report_bundle(
             self.kpi_name,
-            self.comparison if len(self.periods) >= 2 else self.change,
+            self.comparison if self.by or len(self.periods) >= 2 else self.change,
             self.months,
             self.summary,
             self.drivers,
             self.anomalies,
             self.forecast,
             self.report_rows,
+            self.by,
         )
 
 

@@ -141,36 +141,55 @@ def investigation_steps(
     anomalies: DataFrame,
     forecast: DataFrame,
     kpi_name: str,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Five-row log of an investigation of one series: step, who, what, outcome."""
+    """Log of an investigation, five rows for each series: step, who, what, outcome.
+
+    Each table is reduced to one row a series, and these rows are stacked and folded in one more
+    aggregation, so the tables are never joined. The notes are about the whole dataset and the same
+    in every series; without ``by`` there is one series, also where there are no months.
+    """
+    keys = [named(key) for key in by]
     rows = F.count(F.lit(1))
+    # Months, change, anomalies and forecast of a series, each from its own table.
+    facts = (
+        (trend, {"months": rows}),
+        (change, {"absolute_change": F.max("absolute_change"), "percent_change": F.max("percent_change")}),
+        (anomalies, {"checked": rows, "anomalies": F.count_if("is_anomaly")}),
+        (forecast, {"forecasts": rows}),
+    )
+    stacked = None
+    for table, measures in facts:
+        part = table.groupBy(*keys).agg(*[value.alias(name) for name, value in measures.items()])
+        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
+    names = [name for _, measures in facts for name in measures]
+    folded = stacked.groupBy(*keys).agg(*[F.max(name).alias(name) for name in names])
+    counted = folded.withColumns(
+        {name: F.coalesce(name, F.lit(0)) for name in ("months", "checked", "anomalies", "forecasts")}
+    )
     outcomes = (
-        (notes, F.max("quality_notes")),
-        (trend, F.format_string(TREND_OUTCOME, rows)),
-        (
-            change,
-            F.format_string(
-                CHANGE_OUTCOME,
-                F.lit(kpi_name),
-                plain_number(F.max("absolute_change")),
-                plain_number(F.max("percent_change")),
-            ),
+        notes.agg(F.max("quality_notes")).scalar(),
+        F.format_string(TREND_OUTCOME, "months"),
+        F.format_string(
+            CHANGE_OUTCOME,
+            F.lit(kpi_name),
+            plain_number(F.col("absolute_change")),
+            plain_number(F.col("percent_change")),
         ),
-        (
-            anomalies,
-            F.when(rows > 0, F.format_string(ANOMALY_OUTCOME, F.count_if("is_anomaly"))).otherwise(
-                NO_ANOMALY_CHECK
-            ),
+        F.when(F.col("checked") > 0, F.format_string(ANOMALY_OUTCOME, "anomalies")).otherwise(
+            NO_ANOMALY_CHECK
+        ),
+        F.when(F.col("forecasts") > 0, F.format_string(FORECAST_OUTCOME, "forecasts")).otherwise(
+            NO_FORECAST
         ),
-        (forecast, F.when(rows > 0, F.format_string(FORECAST_OUTCOME, rows)).otherwise(NO_FORECAST)),
     )
-    log = None
-    for number, ((agent, task), (table, outcome)) in enumerate(zip(LOG_STEPS, outcomes), start=1):
-        row = table.agg(outcome.alias("output")).select(
+    log = [
+        F.struct(
             F.lit(number).alias("step_no"),
             F.lit(agent).alias("agent"),
             F.lit(task.format(kpi_name=kpi_name)).alias("task"),
-            "output",
+            outcome.alias("output"),
         )
-        log = row if log is None else log.unionByName(row)
-    return log
+        for number, ((agent, task), outcome) in enumerate(zip(LOG_STEPS, outcomes), start=1)
+    ]
+    return counted.select(*keys, F.inline(F.array(*log)))

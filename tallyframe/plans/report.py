@@ -7,54 +7,75 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.functions.columns import named
 from tallyframe.session import durable
 
-# What a section without rows holds (fixed value).
+# What a section without rows holds, and the summary where none is given (fixed values).
 NO_DATA = "No data available."
+NO_SUMMARY = "No summary available."
 PAYLOAD_OPTIONS = {"ignoreNullFields": "false"}
+SECTION_NO = "row_no"
 
 
 def section(
-    table: DataFrame, name: str, order: Sequence[str], rows: int | None, by_month: bool
-) -> tuple[DataFrame, DataFrame]:
-    """Rows of a result as JSON, numbered; and a marker row, if the result has none.
+    table: DataFrame,
+    name: str,
+    order: Sequence[str],
+    rows: int | None,
+    by_month: bool,
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """Rows of a result as JSON, numbered within their series.
 
-    With ``rows``, a distributed top-k cuts the result first. Tables by month
-    are numbered in one task, others by the place of a row in its sorted
-    partition and the sizes of the partitions before it.
+    With ``rows``, only the first ones of each series are kept. Tables by month have no more rows in a
+    series than the calendar has months and are numbered by a window, others by the place of a row in
+    its sorted partition and the rows of its series in the partitions before.
     """
-    if rows is not None:
+    keys = [named(key) for key in by]
+    if rows is not None and not by:
         table = table.orderBy(*order).limit(rows) if order else table.limit(rows)
-    payload = F.to_json(F.struct(*table.columns), PAYLOAD_OPTIONS).alias("payload")
+    fields = [named(name) for name in table.columns if name not in by]
+    payload = F.to_json(F.struct(*fields), PAYLOAD_OPTIONS).alias("payload")
     if by_month or rows is not None:
-        number = F.row_number().over(Window.orderBy(*(order or [F.lit(1)])))
-        numbered = table.select(F.lit(name).alias("section"), number.alias("row_no"), payload)
+        series = Window.partitionBy(*keys) if by else Window
+        number = F.row_number().over(series.orderBy(*(order or [F.lit(1)])))
+        numbered = table.select(*keys, number.alias(SECTION_NO), payload)
     else:
-        numbered = numbered_parts(table.orderBy(*order), name, payload)
-    empty = table.agg(F.count(F.lit(1)).alias("rows")).filter("rows = 0")
-    return numbered, marker(empty, name)
+        numbered = numbered_parts(table.orderBy(*keys, *order), payload, by)
+    if rows is not None:
+        numbered = numbered.filter(F.col(SECTION_NO) <= rows)
+    return numbered.select(*keys, F.lit(name).alias("section"), SECTION_NO, "payload")
 
 
-def numbered_parts(ordered: DataFrame, name: str, payload: Column) -> DataFrame:
-    """Number the rows of a sorted table without gathering them in one task."""
-    kept = durable(ordered.select(payload)).select(
-        "payload",
-        F.spark_partition_id().alias("part"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place"),
-    )
-    sizes = kept.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    before = F.sum("size").over(Window.orderBy("part")) - F.col("size")
-    starts = sizes.select("part", before.alias("start"))
-    return kept.join(starts, "part").select(
-        F.lit(name).alias("section"),
-        (F.col("start") + F.col("place") + 1).cast("int").alias("row_no"),
+def numbered_parts(ordered: DataFrame, payload: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Number the rows of each series of a sorted table without gathering them in one task.
+
+    A series, however large, only meets one row for each partition that holds some of it.
+    """
+    keys = [named(key) for key in by]
+    kept = durable(ordered.select(*keys, payload)).select(
+        *keys,
         "payload",
+        # In a struct nulls are equal.
+        F.struct(*keys, F.spark_partition_id().alias("__part")).alias("__run"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__place"),
     )
+    runs = kept.groupBy("__run").agg(F.count(F.lit(1)).alias("size"), F.min("__place").alias("first"))
+    series = Window.partitionBy(*[F.col("__run")[key] for key in by]) if by else Window
+    before = F.sum("size").over(series.orderBy(F.col("__run")["__part"])) - F.col("size")
+    starts = runs.select("__run", (before - F.col("first") + 1).alias("__start"))
+    number = (F.col("__start") + F.col("__place")).cast("int")
+    return kept.join(starts, "__run").select(*keys, number.alias(SECTION_NO), "payload")
 
 
-def marker(one_row: DataFrame, name: str) -> DataFrame:
-    payload = F.to_json(F.struct(F.lit(NO_DATA).alias("note")))
-    return one_row.select(F.lit(name).alias("section"), F.lit(0).alias("row_no"), payload.alias("payload"))
+def markers(series: DataFrame, found: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """A row with a note for each section in which a series has no rows."""
+    keys = [named(key) for key in by]
+    each = series.select(*keys, F.explode(F.array(*map(F.lit, names))).alias("section"))
+    place = F.struct(*keys, "section").alias("__place")
+    missing = each.select("*", place).join(found.select(place).distinct(), "__place", "left_anti")
+    note = F.to_json(F.struct(F.lit(NO_DATA).alias("note"))).alias("payload")
+    return missing.select(*keys, "section", F.lit(0).alias(SECTION_NO), note)
 
 
 def report_bundle(
@@ -66,18 +87,22 @@ def report_bundle(
     anomalies: DataFrame | None = None,
     forecast: DataFrame | None = None,
     rows: int | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Report of one series as rows (section, row_no, payload).
+    """Report as rows (section, row_no, payload), with ``by`` after the keys of the series.
 
-    All rows of each table, or its first ``rows``. A section that is empty or
-    not given has one row with number 0 and a note.
+    All rows of each table, or the first ``rows`` of each series. A section that is empty or not given
+    has one row with number 0 and a note, in each series of the trend. The numbered rows are made
+    durable, so that no table is computed again to find out which sections are empty; any number of
+    series takes the same few jobs.
     """
-    spark = trend.sparkSession
-    kpi = spark.range(1).select(F.lit(kpi_name).alias("kpi_name"))
+    keys = [named(key) for key in by]
+    one = trend.sparkSession.range(1)
+    series = durable(trend.select(*keys).distinct()) if by else one.select()
     if summary is None:
-        summary = spark.range(1).select(F.lit("No summary available.").alias("summary"))
+        summary = series.select(*keys, F.lit(NO_SUMMARY).alias("summary"))
     sections = [
-        (kpi, "kpi", (), True),
+        (series.select(*keys, F.lit(kpi_name).alias("kpi_name")), "kpi", (), True),
         (summary, "summary", (), True),
         (change, "change", (), True),
         (trend, "trend", ("period",), True),
@@ -85,12 +110,10 @@ def report_bundle(
         (anomalies, "anomalies", ("period",), True),
         (forecast, "forecast", ("period",), True),
     ]
-    report = None
+    found = None
     for table, name, order, by_month in sections:
-        if table is None:
-            parts = [marker(spark.range(1), name)]
-        else:
-            parts = section(table, name, order, rows, by_month)
-        for part in parts:
-            report = part if report is None else report.unionByName(part)
-    return report
+        if table is not None:
+            part = section(table, name, order, rows, by_month, by)
+            found = part if found is None else found.unionByName(part)
+    found = durable(found)
+    return found.unionByName(markers(series, found, [name for _, name, _, _ in sections], by))

@@ -30,6 +30,7 @@ class Settings:
     order_col: str | None = None
     date_format: str | None = None
     approximate_orders: bool = False
+    segment_col: str | None = None
 
     def override(
         self,
@@ -37,6 +38,7 @@ class Settings:
         date_col: str | None = None,
         revenue_col: str | None = None,
         order_col: str | None = None,
+        segment_col: str | None = None,
     ) -> Settings:
         """Take each given column if the table has it, else keep the selected one."""
         return replace(
@@ -44,6 +46,7 @@ class Settings:
             date_col=pick_column(df, date_col, self.date_col),
             revenue_col=pick_column(df, revenue_col, self.revenue_col),
             order_col=pick_column(df, order_col, self.order_col),
+            segment_col=pick_column(df, segment_col, self.segment_col),
         )
 
 

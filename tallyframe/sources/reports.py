@@ -14,7 +14,11 @@ def write_report(report: DataFrame, path: str, fmt: str = "parquet", mode: str =
     report.write.mode(mode).partitionBy("section").format(fmt).save(path)
 
 
-def read_report(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return (
-        spark.read.schema(REPORT_SCHEMA).format(fmt).load(path).select("section", "row_no", "payload")
-    )
+def read_report(
+    spark: SparkSession, path: str, fmt: str = "parquet", keys: str | None = None
+) -> DataFrame:
+    """A written report; ``keys`` names and types the columns of its series, as in ``region string``."""
+    schema = f"{keys}, {REPORT_SCHEMA}" if keys else REPORT_SCHEMA
+    report = spark.read.schema(schema).format(fmt).load(path)
+    own = [name for name in report.columns if name not in ("section", "row_no", "payload")]
+    return report.select(*own, "section", "row_no", "payload")

@@ -489,6 +489,62 @@ BY_CUSTOMER = f"""SELECT o_custkey, CASE
           {r2("sum(o_totalprice) FILTER (WHERE strftime(o_orderdate, '%Y-%m') = " + C + ")")} AS b
         FROM orders WHERE strftime(o_orderdate, '%Y-%m') IN ({P}, {C}) GROUP BY 1) t"""
 
+BY = "o_custkey"
+CUSTOMER_TREND = trend(CUSTOMER_ROWS, "Revenue", BY)
+CUSTOMER_DRIVERS = own_drivers(CUSTOMER_ROWS, "Revenue", "o_orderpriority", BY)
+CUSTOMER_SUMMARY = f"""SELECT o_custkey, coalesce(summary,
+      'Not enough period data is available to generate a KPI summary.') AS summary
+    FROM (SELECT DISTINCT o_custkey FROM orders) k LEFT JOIN (
+      {summary(own_compare(CUSTOMER_ROWS, 'Revenue', BY), CUSTOMER_DRIVERS, 'Revenue', BY)}) s USING (o_custkey)"""
+
+
+def customer_report(rows: int | None = None) -> str:
+    """The report of every customer, with notes for its empty sections."""
+    number = f"row_number() OVER (PARTITION BY {BY} ORDER BY"
+    return f"""
+WITH t AS ({CUSTOMER_TREND}), d AS ({CUSTOMER_DRIVERS}), s AS ({CUSTOMER_SUMMARY}),
+  c AS ({own_compare(CUSTOMER_ROWS, 'Revenue', BY)}),
+  a AS ({anomaly_table('SELECT * FROM t', BY)}), f AS ({forecast('SELECT * FROM t', 3, BY)}),
+  k AS (SELECT DISTINCT {BY} FROM t),
+  rows_of AS (
+    SELECT {BY}, 'kpi' AS section, 1 AS row_no, 'Revenue' AS label, CAST(NULL AS DOUBLE) AS number FROM k
+    UNION ALL BY NAME SELECT {BY}, 'summary' AS section, 1 AS row_no, summary AS label FROM s
+    UNION ALL BY NAME SELECT {BY}, 'change' AS section, 1 AS row_no, current_period AS label,
+      absolute_change AS number, previous_period, previous_value, current_value, percent_change, direction FROM c
+    UNION ALL BY NAME SELECT {BY}, 'trend' AS section, {number} period) AS row_no, period AS label, kpi_value AS number FROM t
+    UNION ALL BY NAME SELECT {BY}, 'drivers' AS section, {number} absolute_change, segment) AS row_no, segment AS label,
+      absolute_change AS number, previous_period, previous_value, current_value, percent_change, segment_column FROM d
+    UNION ALL BY NAME SELECT {BY}, 'anomalies' AS section, {number} period) AS row_no, period AS label, z_score AS number,
+      mean_value, CAST(is_anomaly AS VARCHAR) AS is_anomaly, anomaly_direction AS direction FROM a
+    UNION ALL BY NAME SELECT {BY}, 'forecast' AS section, {number} period) AS row_no, period AS label,
+      forecast_value AS number FROM f),
+  empty AS (
+    SELECT {BY}, section, 0 AS row_no
+    FROM k CROSS JOIN (VALUES ('kpi'), ('summary'), ('change'), ('trend'), ('drivers'), ('anomalies'), ('forecast')) AS n(section)
+    WHERE NOT EXISTS (SELECT 1 FROM rows_of r WHERE r.{BY} = k.{BY} AND r.section = n.section))
+SELECT {BY}, section, CAST(row_no AS INTEGER) AS row_no, label, number, previous_value, current_value,
+  percent_change, mean_value, previous_period, segment_column, is_anomaly, direction
+FROM (SELECT * FROM rows_of {f'WHERE row_no <= {rows}' if rows else ''} UNION ALL BY NAME SELECT * FROM empty) u
+"""
+
+
+CUSTOMER_STEPS = f"""
+WITH t AS ({CUSTOMER_TREND}), c AS ({latest('SELECT * FROM t', BY)}), a AS ({anomalies('SELECT * FROM t', BY)}),
+  f AS ({forecast('SELECT * FROM t', 3, BY)}), k AS (SELECT DISTINCT {BY} FROM t),
+  q AS (SELECT CASE WHEN count(*) = count(DISTINCT o_orderkey) THEN
+          'No major data quality issues detected from basic profiling.' END AS note FROM orders)
+SELECT {BY}, 1 AS step_no, 'Data Quality Agent' AS agent,
+  'Checked missing values, duplicates, and column types.' AS task, note AS output FROM k CROSS JOIN q
+UNION ALL SELECT {BY}, 2, 'KPI Agent', 'Calculated monthly Revenue.', 'Generated ' || count(*) || ' monthly KPI records.' FROM t GROUP BY {BY}
+UNION ALL SELECT {BY}, 3, 'Change Detection Agent', 'Compared current period against previous period.',
+  'Revenue changed by ' || coalesce(CAST(absolute_change AS VARCHAR), 'None') || ' (' || coalesce(CAST(percent_change AS VARCHAR), 'None') || '%).' FROM c
+UNION ALL SELECT {BY}, 4, 'Anomaly Agent', 'Checked for unusual KPI values using z-score detection.',
+  'Detected ' || count(*) FILTER (WHERE flagged) || ' anomalies.' FROM a GROUP BY {BY}
+UNION ALL SELECT k.{BY}, 5, 'Forecast Agent', 'Generated a baseline KPI forecast.',
+  CASE WHEN count(f.{BY}) > 0 THEN 'Forecasted ' || count(f.{BY}) || ' future periods.' ELSE 'Not enough data to forecast.' END
+FROM k LEFT JOIN f USING ({BY}) GROUP BY k.{BY}
+"""
+
 # The analyses of the phrases by conversation, stated one by one.
 PHRASE_TAGS = """SELECT conv_id, turn, 'profile_dataset,calculate_kpi_trend,' || CASE conv_id % 7
     WHEN 0 THEN 'compare_periods,' WHEN 1 THEN 'compare_periods,analyze_root_cause,'
@@ -631,12 +687,10 @@ ORACLES = {
         own_drivers(CUSTOMER_ROWS, "Revenue", segment, "o_custkey")
         for segment in ("o_orderpriority", "o_orderstatus")
     ),
-    "kpi_summary_own_months": f"""SELECT o_custkey, coalesce(summary,
-          'Not enough period data is available to generate a KPI summary.') AS summary
-        FROM (SELECT DISTINCT o_custkey FROM orders) k LEFT JOIN ({summary(
-            own_compare(CUSTOMER_ROWS, 'Revenue', 'o_custkey'),
-            own_drivers(CUSTOMER_ROWS, 'Revenue', 'o_orderpriority', 'o_custkey'),
-            'Revenue', 'o_custkey')}) s USING (o_custkey)""",
+    "kpi_summary_own_months": CUSTOMER_SUMMARY,
+    "investigation_steps_by_customer": CUSTOMER_STEPS,
+    "report_by_customer": customer_report(),
+    "report_by_customer_written": customer_report(2),
     "drivers_null_segment": drivers(TEXT_ROWS, "Revenue", "channel", P, C),
     "kpi_summary_by_customer": BY_CUSTOMER,
     "tag_phrases": PHRASE_TAGS,

@@ -254,13 +254,14 @@ def single_month_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def report_values(report: DataFrame) -> DataFrame:
+def report_values(report: DataFrame, *keys: str) -> DataFrame:
     """Report rows with all fields of their payloads: label, numbers, flag and direction."""
 
     def field(*names: str):
         return F.coalesce(*[F.get_json_object("payload", f"$.{name}") for name in names])
 
     return report.select(
+        *keys,
         "section",
         F.col("row_no").cast("int").alias("row_no"),
         field("segment", "period", "current_period", "summary", "kpi_name").alias("label"),
@@ -302,6 +303,20 @@ def summary_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kpi_summary(change, REVENUE, by=["o_custkey"])
 
 
+def customer_investigation(spark: SparkSession, sf_dir: str) -> Investigation:
+    """One investigation of every customer, each in the months in which it bought."""
+    table, by = orders(spark, sf_dir), ["o_custkey"]
+    return Investigation(table, ORDERS_SETTINGS, REVENUE, "o_orderpriority", by=by)
+
+
+def written_customer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of the customers' reports, written and read back."""
+    path, table = scratch_path(spark, "customer-report"), orders(spark, sf_dir)
+    found = Investigation(table, ORDERS_SETTINGS, REVENUE, "o_orderpriority", by=["o_custkey"], report_rows=2)
+    write_report(found.report, path)
+    return report_values(read_report(spark, path, keys="o_custkey bigint"), "o_custkey")
+
+
 def own_months_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A summary for each customer from the last two months in which it bought, with drivers of the same months."""
     table, by = orders(spark, sf_dir), ["o_custkey"]
@@ -521,6 +536,13 @@ ALL_QUERIES: dict[str, Query] = {
     ).steps,
     "report_bundle": lambda spark, sf_dir: report_values(orders_report(spark, sf_dir)),
     "report_written": written_report,
+    "investigation_steps_by_customer": lambda spark, sf_dir: customer_investigation(
+        spark, sf_dir
+    ).steps,
+    "report_by_customer": lambda spark, sf_dir: report_values(
+        customer_investigation(spark, sf_dir).report, "o_custkey"
+    ),
+    "report_by_customer_written": written_customer_report,
     "report_sales": lambda spark, sf_dir: report_values(sales_report(spark, sf_dir)),
     # Question tagging
     "tag_conversations": tagged("conversations", "text", "conv_id", "turn"),

@@ -213,3 +213,85 @@ def test_trend_is_made_without_the_segment_table(spark, capsys):
     found = Investigation(facts, SETTINGS, REVENUE, "region", segment_rows=segment_rows)
     assert len(rows_of(found.trend)) == 2 and seen == []
     assert len(rows_of(found.drivers)) == 3 and seen == [("2024-01", "2024-02")]
+
+
+SERIES_ROWS = [
+    ("2024-01-05", 10.0, "a", "N"),
+    ("2024-01-06", 20.0, "b", "S"),
+    ("2024-02-01", 5.0, "d", "S"),
+    ("2024-04-01", 7.0, "e", "N"),
+    ("2024-04-02", 1.0, "f", None),
+]
+
+
+def keyed_table(spark):
+    """Two series of different months, one of a single month, and one with a null key."""
+    table = sales_table(spark, SERIES_ROWS)
+    parts = [
+        table.filter("day < '2024-03-01'").withColumn("shop", F.lit("one")),
+        table.filter("day >= '2024-02-01'").withColumn("shop", F.lit("two")),
+        table.filter("day >= '2024-04-01'").withColumn("shop", F.lit("three")),
+        table.withColumn("shop", F.lit(None).cast("string")),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def test_every_series_equals_an_investigation_of_its_own(spark):
+    table = keyed_table(spark)
+    by = {"segment_col": "region", "duplicates": False}
+    found = investigate(table, SETTINGS, REVENUE, by=["shop"], **by)
+    for shop in ("one", "two", "three", None):
+        same = F.col("shop").eqNullSafe(F.lit(shop))
+        alone = investigate(table.filter(same), SETTINGS, REVENUE, **by)
+        for name in ("trend", "change", "drivers", "anomalies", "forecast", "summary"):
+            expected = rows_of(alone[name]) if name in alone else []
+            assert rows_of(found[name].filter(same).drop("shop")) == expected, (shop, name)
+        steps = sorted(rows_of(found["steps"].filter(same).drop("shop")))
+        # The notes are about the whole dataset.
+        assert steps[1:] == sorted(rows_of(alone["steps"]))[1:]
+        report = {(r.section, r.row_no): r.payload for r in found["report"].filter(same).collect()}
+        single = {(r.section, r.row_no): r.payload for r in alone["report"].collect()}
+        if shop == "three":
+            # A table without two months has a change without direction.
+            del report["change", 1], single["change", 1]
+        assert report == single
+
+
+def test_large_series_are_numbered_over_partitions(spark):
+    table = spark.range(3000).selectExpr(
+        "date_add(date'2024-01-05', cast(id % 2 * 31 as int)) AS day", "cast(id % 7 as double) AS revenue",
+        "cast(id as string) AS order_id", "cast(id % 997 as string) AS region", "if(id % 10 = 0, null, id % 2) AS shop",
+    )
+    table = table.unionByName(table.withColumn("day", F.date_add("day", 31)))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        report = Investigation(table, SETTINGS, REVENUE, "region", by=["shop"]).report.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    for shop in {r.shop for r in report}:
+        drivers = sorted((r.row_no, json.loads(r.payload)) for r in report if r.shop == shop and r.section == "drivers") if shop is not None else []
+        order = [(p["absolute_change"], p["segment"]) for _, p in drivers]
+        assert [n for n, _ in drivers] == list(range(1, len(drivers) + 1)) and order == sorted(order)
+
+
+def test_report_tables_are_computed_once(spark, capsys):
+    found = Investigation(sales_table(spark, ROWS), SETTINGS, REVENUE, "region")
+    capsys.readouterr()
+    found.report.explain("formatted")
+    plan = capsys.readouterr().out
+    # The durable rows, read for themselves and for the markers; each scan is listed twice.
+    assert plan.count("Scan ExistingRDD") <= 4 and "Window" not in plan
+
+
+def test_segment_column_falls_back_to_that_of_the_settings(spark):
+    settings = Settings("day", "revenue", "order_id", segment_col="region")
+    table = sales_table(spark, ROWS)
+    for name in (None, "not a column"):
+        assert {row["segment"] for row in dicts_of(Investigation(table, settings, REVENUE, name).drivers)} == {"N", "S", "E"}
+    assert settings.override(table, segment_col="order_id").segment_col == "order_id"
+    with pytest.raises(ValueError, match="not a column"):
+        _ = Investigation(table, SETTINGS, REVENUE, "not a column").drivers
