@@ -16,11 +16,12 @@ rows are encoded one by one; other columns are carried unchanged.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -34,6 +35,8 @@ from .runtime import apart, map_arrow, texts_of
 
 #: Encoded pre-tokens that a worker keeps; it starts anew beyond that, which changes no result.
 KEPT_WORDS = 500_000
+#: Rows of a slice hold at most so many bytes, unless it is one row.
+SLICE_BYTES = 1 << 25
 #: Fragments up to this many bytes are merged by a plain scan, longer ones with a queue.
 SHORT = 48
 NO_MERGE = (1 << 60, -1)
@@ -177,13 +180,20 @@ class ForcedBoundaryBpe:
             self.forget()
         places = [self.words(t) for t in texts]
         flat = np.fromiter(chain.from_iterable(places), dtype=np.int64, count=sum(map(len, places)))
-        sizes, starts, values = (np.array(x) for x in (self.sizes, self.starts, self.values))
+        if not len(flat):
+            return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        # Views of the kept words, not copies; none outlives this call, so the arrays can grow again.
+        sizes, starts, values = np.frombuffer(self.sizes, np.int64), np.frombuffer(self.starts, np.int64), np.frombuffer(self.values, np.int32)
         lengths = sizes[flat]
         ends = np.cumsum(lengths)
-        take = np.repeat(starts[flat] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        take = np.repeat(starts[flat] - (ends - lengths), lengths) + np.arange(ends[-1])
         borders = np.concatenate([[0], np.cumsum([len(x) for x in places])])
         return values[take], np.concatenate([[0], ends])[borders]
 
+    def encode_lists(self, texts: list[str]) -> pa.ListArray:
+        values, offsets = self.encode_batch(texts)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+
     def decode_batch(self, ids: pa.ListArray) -> pa.Array:
         flat = pa.array(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
         offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy())])
@@ -214,6 +224,16 @@ def carried(df: DataFrame, keep: list[str], new: str) -> tuple[list, str]:
     return [F.col(f"`{k}`") for k in keep], "".join(f"`{k}` {fields[k]}, " for k in keep)
 
 
+def light(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``SLICE_BYTES`` or one row, so that lists of ids stay small as well."""
+    for batch in batches:
+        if batch.num_rows > 1 and batch.nbytes > SLICE_BYTES:
+            half = batch.num_rows // 2
+            yield from light([batch.slice(0, half), batch.slice(half)])
+        else:
+            yield batch
+
+
 def encode(df: DataFrame, vocabulary: str | None = None, text: str = "text", keep: list[str] = (), ids: str = "ids") -> DataFrame:
     """The kept columns of each row and the ids of its whole text."""
     path = vocabulary or default_vocabulary()
@@ -221,10 +241,8 @@ def encode(df: DataFrame, vocabulary: str | None = None, text: str = "text", kee
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
-        for batch in batches:
-            values, offsets = model.encode_batch(texts_of(batch))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], names=[*keep, ids])
+        for batch in light(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], model.encode_lists(texts_of(batch))], names=[*keep, ids])
 
     return map_arrow(df.select(F.col(f"`{text}`").alias(apart(keep)), *columns), task, f"{schema}`{ids}` array<int>")
 
@@ -242,13 +260,26 @@ def decode(df: DataFrame, vocabulary: str | None = None, ids: str = "ids", keep:
     return map_arrow(df.select(F.col(f"`{ids}`").alias(apart(keep)), *columns), task, f"{schema}`{text}` string")
 
 
+def digests_of(column: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column], pa.string())
+
+
 def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Digests of the ids and of the decoded text, a row for each document."""
-    ids = encode(docs, vocabulary, keep=["doc_id"])
-    both = decode(ids, vocabulary, keep=["doc_id", "ids"])
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
-    )
+    """Digests of the ids and of the text decoded from them, a row for each document.
+
+    A text is encoded, and its ids decoded, in one task by one worker: two Python stages in a row would hold
+    the model twice and send all ids through the JVM between them.
+    """
+    path = vocabulary or default_vocabulary()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_of(path)
+        for batch in light(batches):
+            ids = model.encode_lists(texts_of(batch))
+            numbers = pa.ListArray.from_arrays(ids.offsets, pc.cast(ids.values, pa.string()))
+            columns = [batch.column(1), pc.cast(pc.list_value_length(ids), pa.int64()), digests_of(pc.binary_join(numbers, " ")), digests_of(model.decode_batch(ids))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return map_arrow(docs.select("text", "doc_id"), task, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -89,3 +89,19 @@ def test_counts_equal_the_library(spark, monkeypatch, parts):
 
 def test_counts_of_an_empty_table(spark):
     assert tc.token_counts(documents(spark, [])).count() == 0
+
+
+def test_one_worker_a_task(spark, capsys):
+    bpe.bpe_round_trip(documents(spark, texts())).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+
+
+def test_slices_are_bounded_by_bytes(spark, monkeypatch, word_library):
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 200)
+    model = bpe.model_of(bpe.default_vocabulary())
+    batch = bpe.pa.RecordBatch.from_arrays([bpe.pa.array([t or "" for t in texts()])], names=["text"])
+    slices = list(bpe.light([batch]))
+    assert bpe.pa.Table.from_batches(slices).to_pylist() == batch.to_pylist()
+    assert all(s.num_rows == 1 or s.nbytes <= 200 for s in slices)
+    found = [ids for s in slices for ids in model.encode_lists(s.column(0).to_pylist()).to_pylist()]
+    assert found == [word_library.encode(t or "", add_special_tokens=False).ids for t in texts()]
