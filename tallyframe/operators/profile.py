@@ -43,6 +43,9 @@ COLUMN_FACTS = (
 # More than this share of all rows must parse for a string column to be a date.
 DATE_PARSE_RATIO = 0.7
 
+# Words of 64 bits that tell which row hashes repeat: a power of two, 8 MB with their numbers.
+HASH_WORDS = 1 << 19
+
 # Texts of the quality notes (fixed values).
 DUPLICATES_FOUND = "Detected %d duplicate rows."
 MISSING_FOUND = "Detected %d missing values across the dataset."
@@ -233,10 +236,11 @@ def duplicate_rows(df: DataFrame) -> int:
 def duplicate_count(df: DataFrame) -> DataFrame:
     """The number of duplicates as one row (duplicate_rows), in one plan for every table.
 
-    An 8-byte hash of each row is counted first. Rows with a hash of their own
-    cannot be duplicates; only the others are grouped by all columns, which also
-    sorts out hash collisions. The join carries no hint: Spark chooses it by the
-    measured size of the repeated hashes.
+    An 8-byte hash of each row is counted first, the only thing shuffled for a row that is like no
+    other. The hashes that repeat set bits in ``HASH_WORDS`` words, which is all that is broadcast,
+    whatever the size of the table. Only rows whose bit is set are grouped by all columns, copies being
+    combined before their shuffle; that also sorts out hashes and bits that agree by chance. While there
+    are far fewer repeated hashes than bits, few other rows get that far.
     """
     hashed = [
         named(field.name) for field in df.schema.fields if not holds_map(field.dataType)
@@ -244,8 +248,21 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     if not hashed:
         return count_repeats(df)
     row_hash = F.xxhash64(*hashed)
-    repeated = df.groupBy(row_hash.alias("row_hash")).count().filter("count > 1").select("row_hash")
-    return count_repeats(df.join(repeated, row_hash == F.col("row_hash"), "left_semi"))
+    repeated = df.groupBy(row_hash.alias("row_hash")).count().filter("count > 1")
+    word, bit = hash_place(F.col("row_hash"))
+    words = repeated.groupBy(word.alias("__word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("__bits")
+    )
+    word, bit = hash_place(row_hash)
+    is_set = F.call_function("shiftright", F.col("__bits"), bit).bitwiseAND(F.lit(1)) == 1
+    maybe = df.join(F.broadcast(words), (word == F.col("__word")) & is_set, "left_semi")
+    return count_repeats(maybe)
+
+
+def hash_place(row_hash: Column) -> tuple[Column, Column]:
+    """The word and the bit that stand for a hash."""
+    word = F.call_function("shiftrightunsigned", row_hash, F.lit(6)).bitwiseAND(F.lit(HASH_WORDS - 1))
+    return word, row_hash.bitwiseAND(F.lit(63)).cast("int")
 
 
 def holds_map(dtype: T.DataType) -> bool:

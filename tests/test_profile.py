@@ -13,7 +13,8 @@ from tallyframe.operators import (
     quality_notes,
     suggest_settings,
 )
-from tallyframe.operators.profile import count_repeats
+from tallyframe.operators import profile
+from tallyframe.operators.profile import count_repeats, duplicate_count
 
 
 def texts(spark, values, name="order_date"):
@@ -189,6 +190,47 @@ def test_duplicates_equal_brute_force(spark):
     assert duplicate_rows(table) == count_repeats(table).first()[0] == len(rows) - len(set(rows))
 
 
+def exchanges(plan):
+    """Shuffled bytes and partitioning of each exchange of a plan that has run."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return exchanges(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return exchanges(plan.plan())
+    found = []
+    if name == "ShuffleExchangeExec":
+        found.append((plan.metrics().apply("dataSize").value(), plan.outputPartitioning().toString()))
+    children = plan.children()
+    for number in range(children.size()):
+        found += exchanges(children.apply(number))
+    return found
+
+
+@pytest.mark.parametrize("copies", [0, 2000])
+def test_rows_are_not_shuffled_to_find_duplicates(spark, tmp_path, copies):
+    path, rows = str(tmp_path / "wide"), 20_000
+    wide = spark.range(rows).selectExpr("id", *[f"sha2(cast(id + {n} as string), 512) AS t{n}" for n in range(8)])
+    wide.unionByName(wide.limit(copies)).write.parquet(path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        counted = duplicate_count(spark.read.parquet(path))
+        assert counted.first()[0] == copies
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = exchanges(counted._jdf.queryExecution().executedPlan())
+    width = 8 * 128 + 100
+    # Hash and count of every row as Spark lays them out, and the copied rows with their likes.
+    assert sum(size for size, _ in moved) < 40 * (rows + copies) + 3 * copies * width + 10_000
+    assert sum(size for size, _ in moved) < 0.25 * rows * width or copies
+
+
+def test_chance_hits_of_the_bits_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(profile, "HASH_WORDS", 1)
+    rows = [(number % 400, number % 3) for number in range(1000)]
+    table = spark.createDataFrame(rows, "a int, b int")
+    assert duplicate_rows(table) == len(rows) - len(set(rows))
+
+
 def test_quality_notes(spark):
     def notes(rows):
         table = spark.createDataFrame(rows, "n int, word string, x double")
