@@ -35,6 +35,9 @@ DATE_FORMATS = (
     ("d-MMM-yyyy", ("d-m-Y", "D-m-Y")),
 )
 
+# The month by which a stored table is partitioned, and its last column.
+STORED_MONTH = "__stored_month"
+
 PERIOD_TEXT = re.compile(r"^(\d{4})-(\d{2})$")
 
 
@@ -123,6 +126,10 @@ def period_of(month: Column) -> Column:
     return F.date_format(month, "yyyy-MM")
 
 
+def without_stored_month(df: DataFrame) -> DataFrame:
+    return df.drop(STORED_MONTH)
+
+
 def with_period(df: DataFrame, date_col: str, name: str = "period") -> DataFrame:
     """Add the calendar month as ``yyyy-MM``."""
     return df.withColumn(name, period_of(named(date_col)))
@@ -158,10 +165,13 @@ def in_months(df: DataFrame, date_col: str, first: date, last: date) -> Column:
     """Whether the date falls into the months from ``first`` to ``last``, as a range on the raw column.
 
     A range with literals of the column's own type is pushed to the Parquet
-    scan; a test on the formatted text would not be.
+    scan; a test on the formatted text would not be. A table stored by month is
+    also asked for its partitions.
     """
     dtype = data_type(df, date_col)
     inside = named(date_col) >= F.lit(first.isoformat()).cast(dtype)
+    if STORED_MONTH in df.columns:
+        inside = F.col(STORED_MONTH).between(F.lit(first), F.lit(last)) & inside
     after = following_month(last)
     if after is None:
         return inside

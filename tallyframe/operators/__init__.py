@@ -21,12 +21,21 @@ from tallyframe.operators.profile import (
     quality_notes,
     suggest_settings,
 )
+from tallyframe.operators.state import (
+    estimate_error,
+    kpi_state,
+    read_trend,
+    refresh_trend,
+    roll_up,
+    write_trend,
+)
 from tallyframe.operators.tagging import tag_questions
 from tallyframe.operators.trend import (
     kpi_trend,
     latest_change,
     list_periods,
     monthly_kpi,
+    monthly_kpis,
     period_changes,
 )
 
@@ -39,22 +48,29 @@ __all__ = [
     "driver_extremes",
     "drivers_all_segments",
     "duplicate_rows",
+    "estimate_error",
     "forecast_kpi",
     "future_periods",
     "kpi_by_segment",
+    "kpi_state",
     "kpi_trend",
     "latest_change",
     "linear_fit",
     "list_periods",
     "monthly_kpi",
+    "monthly_kpis",
     "period_changes",
     "profile_columns",
     "profile_dataset",
     "quality_notes",
+    "read_trend",
+    "refresh_trend",
+    "roll_up",
     "run_sql",
     "sample_queries",
     "segment_drivers",
     "series_months",
     "suggest_settings",
     "tag_questions",
+    "write_trend",
 ]

@@ -8,7 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import named, present
-from tallyframe.functions.dates import coerce_date, drop_undated, filter_periods, month_of, period_of
+from tallyframe.functions.dates import (
+    STORED_MONTH,
+    coerce_date,
+    drop_undated,
+    filter_periods,
+    month_of,
+    period_of,
+)
 from tallyframe.functions.kpi import check_kpi, kpi_value, role_columns
 from tallyframe.functions.numbers import percent_change, plain_round2, round2
 from tallyframe.operators.compare import CUSTOM, series_months
@@ -52,7 +59,7 @@ def segment_drivers(
     """
     rows = coerce_date(df, settings.date_col, settings.date_format)
     labelled = rows.select(
-        *base_columns(kpi_name, settings, by), present(rows, segment_col).alias(SEGMENT)
+        *base_columns(rows, kpi_name, settings, by), present(rows, segment_col).alias(SEGMENT)
     )
     drivers = segment_changes(
         rows, labelled, settings, kpi_name, by, [SEGMENT], previous, current, periods, months
@@ -86,7 +93,7 @@ def drivers_all_segments(
     combined again before the shuffle.
     """
     rows = coerce_date(df, settings.date_col, settings.date_format)
-    base = base_columns(kpi_name, settings, by)
+    base = base_columns(rows, kpi_name, settings, by)
     named_segments = F.array(
         *[
             F.struct(
@@ -145,9 +152,12 @@ def present_periods(
     return collect_periods(rows, settings)
 
 
-def base_columns(kpi_name: str, settings: Settings, by: Sequence[str]) -> list[Column]:
+def base_columns(
+    rows: DataFrame, kpi_name: str, settings: Settings, by: Sequence[str]
+) -> list[Column]:
     check_kpi(kpi_name, settings)
-    names = dict.fromkeys([*by, settings.date_col, *role_columns(kpi_name, settings)])
+    stored = [name for name in rows.columns if name == STORED_MONTH]
+    names = dict.fromkeys([*by, settings.date_col, *role_columns(kpi_name, settings), *stored])
     return [named(name) for name in names]
 
 

@@ -21,6 +21,7 @@ from tallyframe.functions.dates import (
     date_shape,
     detect_date_format,
     format_hits,
+    without_stored_month,
 )
 from tallyframe.settings import Settings
 
@@ -55,6 +56,7 @@ NOTHING_FOUND = "No major data quality issues detected from basic profiling."
 
 def column_counts(df: DataFrame, distinct_estimates: bool = False) -> DataFrame:
     """One row of counts behind both profiles: rows, missing values, date format hits."""
+    df = without_stored_month(df)
     fields = list(enumerate(df.schema.fields))
     shaped = df.select(
         "*",
@@ -87,6 +89,7 @@ def profile_columns(
     is the suggestion). ``distinct_estimates`` adds ``approx_distinct``.
     ``counts`` is the result of ``column_counts`` if it is there already.
     """
+    df = without_stored_month(df)
     if counts is None:
         counts = column_counts(df, distinct_estimates)
     fields = list(enumerate(df.schema.fields))
@@ -286,6 +289,7 @@ def profile_dataset(
     df: DataFrame, duplicates: bool = True, counts: DataFrame | None = None
 ) -> DataFrame:
     """One row about the whole table; ``duplicates=False`` skips the only wide step."""
+    df = without_stored_month(df)
     if counts is None:
         counts = df.agg(
             F.count(F.lit(1)).alias("rows"),

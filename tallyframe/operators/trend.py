@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import named
-from tallyframe.functions.dates import coerce_date, drop_undated, month_of, period_of
+from tallyframe.functions.dates import STORED_MONTH, coerce_date, drop_undated, month_of, period_of
 from tallyframe.functions.kpi import check_kpi, kpi_value
 from tallyframe.functions.numbers import percent_change, plain_round2, round2
 from tallyframe.settings import Settings
@@ -47,6 +47,27 @@ def monthly_kpi(
     )
 
 
+def monthly_kpis(
+    df: DataFrame, settings: Settings, kpi_names: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """``monthly_kpi`` of several KPIs from one scan, a row for each KPI.
+
+    One aggregation holds them all: it has at most one distinct count, which the Average Order Value
+    shares with the Orders. As a key, ``kpi_name`` makes each KPI a series: ``by=["kpi_name", ...]``.
+    """
+    rows = dated(df, settings)
+    keys = [named(key) for key in by]
+    values = [round2(kpi_value(rows, name, settings)).alias(f"__kpi_{n}") for n, name in enumerate(kpi_names)]
+    grouped = rows.groupBy(*keys, month_of(settings.date_col).alias(MONTH)).agg(*values)
+    each = F.array(
+        *[
+            F.struct(F.lit(name).alias("kpi_name"), F.col(f"__kpi_{n}").alias("kpi_value"))
+            for n, name in enumerate(kpi_names)
+        ]
+    )
+    return grouped.select(*keys, period_of(F.col(MONTH)).alias("period"), F.inline(each))
+
+
 def kpi_trend(
     df: DataFrame, settings: Settings, kpi_name: str, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -66,7 +87,13 @@ def in_order(months: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def distinct_periods(df: DataFrame, settings: Settings) -> DataFrame:
-    """Months that occur; reads only the date column and combines before the shuffle."""
+    """Months that occur; reads only the date column and combines before the shuffle.
+
+    Of a table stored by month, only the partitions' names are needed.
+    """
+    if STORED_MONTH in df.columns:
+        stored = df.select(F.col(STORED_MONTH).alias(MONTH)).filter(F.col(MONTH).isNotNull())
+        return stored.distinct().select(period_of(F.col(MONTH)).alias("period"))
     months = dated(df, settings).select(month_of(settings.date_col).alias(MONTH)).distinct()
     return months.select(period_of(F.col(MONTH)).alias("period"))
 

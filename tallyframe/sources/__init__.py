@@ -1,6 +1,16 @@
-"""Reading datasets and writing reports."""
+"""Reading and storing datasets, writing reports."""
 
 from tallyframe.sources.datasets import nan_to_null, preview, read_dataset
 from tallyframe.sources.reports import read_report, write_report
+from tallyframe.sources.store import read_store, replace_months, write_store
 
-__all__ = ["nan_to_null", "preview", "read_dataset", "read_report", "write_report"]
+__all__ = [
+    "nan_to_null",
+    "preview",
+    "read_dataset",
+    "read_report",
+    "read_store",
+    "replace_months",
+    "write_report",
+    "write_store",
+]

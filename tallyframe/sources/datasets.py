@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.columns import is_categorical, is_floating, named, present
+from tallyframe.functions.dates import without_stored_month
 
 # Texts that stand for a missing value in a CSV field (fixed values).
 MISSING_TOKENS = (
@@ -143,4 +144,4 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 def preview(df: DataFrame, rows: int = 5) -> DataFrame:
     """Some first rows; which ones is not promised."""
-    return df.limit(rows)
+    return without_stored_month(df).limit(rows)

@@ -679,6 +679,23 @@ ORACLES = {
         "Revenue",
         "r_name",
     ),
+    "trend_all_kpis": " UNION ALL ".join(trend(SALES_ROWS, name) for name in KPI),
+    "change_all_kpis": " UNION ALL ".join(
+        f"SELECT '{name}' AS kpi_name, * FROM ({latest(trend(SALES_ROWS, name))}) c" for name in KPI
+    ),
+    "anomalies_all_kpis": " UNION ALL ".join(anomaly_table(trend(SALES_ROWS, name)) for name in KPI),
+    "forecast_all_kpis": " UNION ALL ".join(
+        f"SELECT '{name}' AS kpi_name, * FROM ({forecast(trend(SALES_ROWS, name), 3)}) f" for name in KPI
+    ),
+    "store_drivers": drivers(TEXT_ROWS, "Revenue", "channel", P, C),
+    "store_compare": compare(TEXT_ROWS, "Average Order Value", P, C),
+    "store_profile": f"""SELECT column_name, missing_values + CASE column_name
+          WHEN 'order_date' THEN (SELECT count(*) FILTER (WHERE day IS NULL) FROM {TEXT_ROWS} r) ELSE 0 END
+          AS missing_values, is_date_like FROM ({column_rows(TEXT_ROWS, TEXT_COLUMNS)}) c""",
+    "trend_refreshed": " UNION ALL ".join(trend(ORDERS_ROWS, name, "o_orderstatus") for name in KPI),
+    # The estimates are compared with exact counts by the query itself; here they are only expected to be near.
+    "orders_rolled_up": f"SELECT o_orderstatus, {r2('sum(o_totalprice)')} AS revenue, TRUE AS is_near "
+    "FROM orders GROUP BY 1",
     "compare_own_months": own_compare(CUSTOMER_ROWS, "Orders", "o_custkey", back=0),
     "drivers_own_months": own_drivers(
         CUSTOMER_ROWS, "Average Order Value", "o_orderpriority", "o_custkey"

@@ -25,29 +25,44 @@ from tallyframe.operators import (
     detect_anomalies,
     driver_extremes,
     drivers_all_segments,
+    estimate_error,
     forecast_kpi,
     kpi_by_segment,
+    kpi_state,
     kpi_trend,
     latest_change,
     linear_fit,
     list_periods,
     monthly_kpi,
+    monthly_kpis,
     period_changes,
     profile_columns,
     profile_dataset,
     quality_notes,
+    read_trend,
+    refresh_trend,
+    roll_up,
     run_sql,
     sample_queries,
     segment_drivers,
     series_months,
     tag_questions,
+    write_trend,
 )
 from tallyframe.operators.compare import CUSTOM, FIRST_VS_LATEST, LATEST_VS_PREVIOUS
 from tallyframe.operators.trend import collect_periods
 from tallyframe.plans import Investigation, kpi_summary
 from tallyframe.session import durable, scratch_path
-from tallyframe.settings import Settings
-from tallyframe.sources import preview, read_dataset, read_report, write_report
+from tallyframe.settings import KPI_NAMES, Settings
+from tallyframe.sources import (
+    preview,
+    read_dataset,
+    read_report,
+    read_store,
+    replace_months,
+    write_report,
+    write_store,
+)
 from tallyframe.sources.star import (
     EVENTS_SETTINGS,
     ORDERS_SETTINGS,
@@ -386,6 +401,48 @@ def row_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kpi_trend(sales(spark, sf_dir), Settings("l_shipdate", "net_revenue"), ORDERS)
 
 
+def stored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders with text dates, stored typed by month."""
+    path = scratch_path(spark, "store")
+    write_store(text_orders(spark, sf_dir), TEXT_SETTINGS, path, ["channel"])
+    return read_store(spark, path)
+
+
+def store_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filter_periods(stored_orders(spark, sf_dir), TEXT_SETTINGS.date_col, PREVIOUS, CURRENT)
+    return compare_periods(monthly_kpi(rows, TEXT_SETTINGS, AOV), PREVIOUS, CURRENT)
+
+
+def late_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All KPIs by status, kept by month and refreshed after orders of one month came late."""
+    table, by = orders(spark, sf_dir), ["o_orderstatus"]
+    store, kept = scratch_path(spark, "store"), scratch_path(spark, "trend")
+    late = filter_periods(table, ORDERS_SETTINGS.date_col, CURRENT).filter("o_orderkey % 2 = 0")
+    write_store(table.join(late.select("o_orderkey"), "o_orderkey", "left_anti"), ORDERS_SETTINGS, store, by)
+    write_trend(read_store(spark, store), ORDERS_SETTINGS, kept, by=by)
+    replace_months(table, ORDERS_SETTINGS, store, [CURRENT], by)
+    refresh_trend(read_store(spark, store), ORDERS_SETTINGS, kept, [CURRENT], by=by)
+    return read_trend(spark, kept, by=by)
+
+
+def all_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monthly_kpis(sales(spark, sf_dir), SALES_SETTINGS, KPI_NAMES)
+
+
+def rolled_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenue by status from the state by status, priority and month, and how the estimates of orders do.
+
+    Orders are counted by customer, of which many order in several months and priorities.
+    """
+    settings = Settings("o_orderdate", "o_totalprice", "o_custkey")
+    state = durable(kpi_state(orders(spark, sf_dir), settings, ["o_orderstatus", "o_orderpriority"]))
+    found = roll_up(state, ["o_orderstatus"]).select("o_orderstatus", REVENUE, ORDERS)
+    exact = orders(spark, sf_dir).groupBy("o_orderstatus").agg(F.count_distinct("o_custkey").alias("exact"))
+    off = F.abs(F.col(ORDERS) - F.col("exact")) / F.col("exact")
+    near = (off <= 3 * estimate_error()).alias("is_near")
+    return found.join(exact, "o_orderstatus").select("o_orderstatus", F.col(REVENUE).alias("revenue"), near)
+
+
 ALL_QUERIES: dict[str, Query] = {
     # KPI trends
     "trend_revenue": orders_trend(REVENUE),
@@ -489,6 +546,25 @@ ALL_QUERIES: dict[str, Query] = {
         steps=6,
         by=["n_name"],
     ),
+    # Several KPIs from one scan
+    "trend_all_kpis": all_kpis,
+    "change_all_kpis": lambda spark, sf_dir: latest_change(all_kpis(spark, sf_dir), ["kpi_name"]),
+    "anomalies_all_kpis": lambda spark, sf_dir: detect_anomalies(
+        all_kpis(spark, sf_dir), by=["kpi_name"]
+    ),
+    "forecast_all_kpis": lambda spark, sf_dir: forecast_kpi(
+        all_kpis(spark, sf_dir), by=["kpi_name"]
+    ),
+    # Stored and kept tables
+    "store_drivers": lambda spark, sf_dir: segment_drivers(
+        stored_orders(spark, sf_dir), TEXT_SETTINGS, REVENUE, "channel", PREVIOUS, CURRENT
+    ),
+    "store_compare": store_compared,
+    "store_profile": lambda spark, sf_dir: profile_columns(stored_orders(spark, sf_dir)).select(
+        "column_name", "missing_values", "is_date_like"
+    ),
+    "trend_refreshed": late_orders,
+    "orders_rolled_up": rolled_up,
     # Profile
     "profile_dataset": lambda spark, sf_dir: flat_profile(
         profile_dataset(load(spark, sf_dir, "lineitem"))
