@@ -696,6 +696,11 @@ ORACLES = {
     # The estimates are compared with exact counts by the query itself; here they are only expected to be near.
     "orders_rolled_up": f"SELECT o_orderstatus, {r2('sum(o_totalprice)')} AS revenue, TRUE AS is_near "
     "FROM orders GROUP BY 1",
+    "csv_malformed": """SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS surplus,
+        count(*) FILTER (WHERE o_orderstatus = 'O') AS missing, CAST(0 AS BIGINT) AS value FROM orders""",
+    "csv_malformed_dropped": trend(
+        """(SELECT o_orderdate AS day, round(o_totalprice, 2) AS revenue, o_orderkey AS order_id
+        FROM orders WHERE o_orderstatus <> 'F')""", "Revenue"),
     "compare_own_months": own_compare(CUSTOMER_ROWS, "Orders", "o_custkey", back=0),
     "drivers_own_months": own_drivers(
         CUSTOMER_ROWS, "Average Order Value", "o_orderpriority", "o_custkey"

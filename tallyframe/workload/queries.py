@@ -55,6 +55,8 @@ from tallyframe.plans import Investigation, kpi_summary
 from tallyframe.session import durable, scratch_path
 from tallyframe.settings import KPI_NAMES, Settings
 from tallyframe.sources import (
+    malformed_counts,
+    malformed_rows,
     preview,
     read_dataset,
     read_report,
@@ -166,6 +168,29 @@ def csv_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_dataset(spark, path, fmt="csv")
 
 
+def ragged_csv(spark: SparkSession, sf_dir: str) -> str:
+    """The orders as CSV text, by status with a field too many (F), one too few (O) or all of them (P)."""
+    fields = ["o_orderkey", F.col("o_totalprice").cast("decimal(18,2)"), "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd")]
+    line = F.concat_ws(
+        ",",
+        *fields,
+        F.when(F.col("o_orderstatus") == "P", "in full"),
+        F.when(F.col("o_orderstatus") == "F", F.lit('"in, full",extra')),
+    )
+    path = scratch_path(spark, "ragged")
+    header = "order_id,amount,amount,order_date,note"
+    orders(spark, sf_dir).select(line.alias(header)).write.option("header", True).option(
+        "quote", ""
+    ).option("sep", "\x01").csv(path)
+    return path
+
+
+def ragged_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenue of the rows that are left when those with a field too many are dropped."""
+    rows = read_dataset(spark, ragged_csv(spark, sf_dir), fmt="csv", malformed="drop")
+    return kpi_trend(rows, Settings("order_date", "amount", "order_id"), REVENUE)
+
+
 def csv_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inferred types and missing values of the CSV copy."""
     return profile_columns(csv_copy(spark, sf_dir)).select(
@@ -577,6 +602,10 @@ ALL_QUERIES: dict[str, Query] = {
     "distinct_estimates": distinct_estimates,
     "date_formats": date_formats,
     "csv_schema": csv_schema,
+    "csv_malformed": lambda spark, sf_dir: malformed_counts(
+        malformed_rows(spark, ragged_csv(spark, sf_dir))
+    ),
+    "csv_malformed_dropped": ragged_trend,
     "quality_notes": lambda spark, sf_dir: quality_notes(
         profile_dataset(text_orders(spark, sf_dir))
     ),

@@ -6,7 +6,15 @@ from helpers import dicts_of, rows_of
 from tallyframe import REVENUE, Settings
 from tallyframe.operators import kpi_trend
 from tallyframe.plans import report_bundle
-from tallyframe.sources import nan_to_null, preview, read_dataset, read_report, write_report
+from tallyframe.sources import (
+    malformed_counts,
+    malformed_rows,
+    nan_to_null,
+    preview,
+    read_dataset,
+    read_report,
+    write_report,
+)
 
 
 @pytest.fixture
@@ -121,3 +129,61 @@ def test_format_is_given_or_told_by_the_ending(spark, tmp_path):
     assert read_dataset(spark, folder, fmt="parquet").count() == 3
     with pytest.raises(ValueError, match="give fmt"):
         read_dataset(spark, folder, fmt="orc")
+
+
+RAGGED = (
+    "day,n,word,N\n"
+    "2024-01-01,5,a,b\n"
+    "2024-01-02,6,a,b,EXTRA\n"
+    '2024-01-03,7\n'
+    '2024-01-04,8,"x,y ""z"" ",b\n'
+    "2024-01-05,9,a,b,\n"
+    '2024-01-06,10,"p,q",b,"r,s"\n'
+)
+
+
+def test_rows_that_do_not_fit_are_reported(spark, csv_file):
+    path = csv_file(RAGGED)
+    found = malformed_rows(spark, path)
+    assert sorted(rows_of(found)) == [
+        ("2024-01-02,6,a,b,EXTRA", 5, 4, "surplus"),
+        ("2024-01-03,7", 2, 4, "missing"),
+        ("2024-01-05,9,a,b,", 5, 4, "surplus"),
+        ('2024-01-06,10,"p,q",b,"r,s"', 5, 4, "surplus"),
+    ]
+    assert rows_of(malformed_counts(found)) == [(3, 1, 0)]
+    assert found.count() == 4
+    typed = malformed_rows(spark, csv_file("n,day\nx,2024-01-01\n3,2024-01-02\n4\n"), "n int, day date")
+    assert sorted(row["problem"] for row in dicts_of(typed)) == ["missing", "value"]
+
+
+def test_rules_for_rows_that_do_not_fit(spark, csv_file):
+    path = csv_file(RAGGED)
+    with pytest.raises(Exception, match="row does not fit the 4 columns: 2024-01-0"):
+        read_dataset(spark, path)
+    dropped = read_dataset(spark, path, malformed="drop")
+    assert dropped.count() == 3 and [row["n"] for row in dicts_of(dropped)] == [5, 7, 8]
+    assert [row["word"] for row in dicts_of(dropped.select("word"))] == ["a", None, 'x,y "z" ']
+    assert read_dataset(spark, path, malformed="keep").count() == 6
+    short = csv_file("a,b\n1,2\n3\n")
+    assert rows_of(read_dataset(spark, short)) == [(1, 2), (3, None)]
+    with pytest.raises(Exception, match="row does not fit the 2 columns: 3"):
+        read_dataset(spark, short, malformed="strict")
+    with pytest.raises(ValueError, match="malformed is one of"):
+        read_dataset(spark, short, malformed="ignore")
+    given = read_dataset(spark, csv_file(RAGGED), "day date, n int, word string, rest string", malformed="drop")
+    assert [row["n"] for row in dicts_of(given)] == [5, 7, 8]
+
+
+def test_equal_and_blank_header_names(spark, csv_file):
+    table = read_dataset(spark, csv_file("amount,day,Amount,,amount\n1,2024-01-01,2,x,3\n"))
+    assert table.columns == ["amount", "day", "Amount.1", "_c3", "amount.2"]
+    assert [value for name, value in dicts_of(table)[0].items() if "mount" in name] == [1, 2, 3]
+    trend = kpi_trend(table, Settings("day", table.columns[2]), REVENUE)
+    assert rows_of(trend) == [("2024-01", REVENUE, 2.0)]
+
+
+def test_files_without_rows(spark, csv_file):
+    assert read_dataset(spark, csv_file("a,b\n")).columns == ["a", "b"]
+    assert read_dataset(spark, csv_file("")).columns == []
+    assert malformed_rows(spark, csv_file("")).count() == 0
