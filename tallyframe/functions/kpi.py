@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import present
+from tallyframe.functions.numbers import exact_sum
 from tallyframe.settings import AOV, KPI_NAMES, ORDERS, REVENUE, Settings
 
 
@@ -18,7 +19,7 @@ def check_kpi(kpi_name: str, settings: Settings) -> None:
 
 def revenue_sum(df: DataFrame, settings: Settings) -> Column:
     """Sum of revenue, 0.0 when nothing is there to sum."""
-    return F.coalesce(F.sum(present(df, settings.revenue_col).cast("double")), F.lit(0.0))
+    return F.coalesce(exact_sum(present(df, settings.revenue_col).cast("double")), F.lit(0.0))
 
 
 def order_count(df: DataFrame, settings: Settings) -> Column:

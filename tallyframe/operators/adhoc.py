@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tallyframe.functions.columns import named, present, quote_identifier
 from tallyframe.functions.kpi import order_count
-from tallyframe.functions.numbers import round2
+from tallyframe.functions.numbers import exact_sum, round2
 from tallyframe.settings import AOV, ORDERS, REVENUE, Settings
 from tallyframe.sources.datasets import preview
 
@@ -122,13 +122,16 @@ def kpi_by_segment(
     has_revenue = settings.revenue_col is not None
     has_orders = settings.order_col is not None
     if kpi_name == REVENUE and has_revenue:
-        name, value = "total_revenue", round2(F.sum(present(df, settings.revenue_col)))
+        name, value = "total_revenue", round2(exact_sum(present(df, settings.revenue_col).cast("double")))
     elif kpi_name == ORDERS and has_orders:
         name, value = "total_orders", order_count(df, settings)
     elif kpi_name == AOV and has_revenue and has_orders:
         name = "average_order_value"
         value = round2(
-            F.try_divide(F.sum(present(df, settings.revenue_col)), order_count(df, settings))
+            F.try_divide(
+                exact_sum(present(df, settings.revenue_col).cast("double")),
+                order_count(df, settings).cast("double"),
+            )
         )
     elif preview_instead:
         return preview(df, PREVIEW_ROWS)

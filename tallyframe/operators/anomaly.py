@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import named
-from tallyframe.functions.numbers import plain_round2, round2
+from tallyframe.functions.numbers import exact_sum, round2
 from tallyframe.settings import DEFAULT_Z_THRESHOLD
 
 
@@ -31,7 +31,7 @@ def detect_anomalies(
         )
     series = Window.partitionBy(*[named(key) for key in by])
     value = named(value_col)
-    mean = F.avg(value).over(series)
+    mean = F.try_divide(exact_sum(value, series), F.count(value).over(series).cast("double"))
     spread = F.stddev_samp(value).over(series)
     z_score = F.col("z_score")
     varies = F.col("__spread") > 0
@@ -42,7 +42,7 @@ def detect_anomalies(
         .withColumn(
             "z_score",
             F.when(
-                varies, plain_round2(F.try_divide(value - F.col("__mean"), F.col("__spread")))
+                varies, round2(F.try_divide(value - F.col("__mean"), F.col("__spread")))
             ).otherwise(F.lit(0.0)),
         )
         .withColumn(

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tallyframe.functions.columns import data_type, named, present
 from tallyframe.functions.dates import coerce_date, filter_periods, month_of, month_start, period_of
 from tallyframe.functions.kpi import revenue_sum
-from tallyframe.functions.numbers import round2
+from tallyframe.functions.numbers import exact_sum, round2
 from tallyframe.operators.trend import MONTH, dated, monthly_kpis
 from tallyframe.settings import AOV, KPI_NAMES, ORDERS, REVENUE, Settings
 
@@ -130,7 +130,7 @@ def roll_up(
     orders = F.hll_sketch_estimate(F.hll_union_agg("order_sketch")) if sketched else F.sum("n_rows")
     measures = [F.coalesce(orders, F.lit(0)).cast("double").alias(ORDERS)]
     if "revenue" in state.columns:
-        revenue = F.coalesce(F.sum("revenue"), F.lit(0.0))
+        revenue = F.coalesce(exact_sum(F.col("revenue")), F.lit(0.0))
         average = F.coalesce(F.try_divide(revenue, F.coalesce(orders, F.lit(0)).cast("double")), F.lit(0.0))
         measures += [round2(revenue).alias(REVENUE), round2(average).alias(AOV)]
     return rows.groupBy(*[named(key) for key in keys]).agg(*measures)

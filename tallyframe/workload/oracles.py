@@ -133,22 +133,24 @@ TEXT_ONCE = """SELECT CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_order
 TEXT_ROWS = f"""({TEXT_ONCE} UNION ALL
   SELECT * FROM ({TEXT_ONCE}) urgent WHERE "order priority" = '1-URGENT')"""
 
+# Values have 9 decimals, as decimals their sums are exact.
+TOTAL = "CAST(CAST(sum(CAST(revenue AS DECIMAL(38, 9))) AS VARCHAR) AS DOUBLE)"
 KPI = {
-    "Revenue": "coalesce(sum(revenue), 0.0)",
+    "Revenue": f"coalesce({TOTAL}, 0.0)",
     "Orders": "CAST(count(DISTINCT order_id) AS DOUBLE)",
-    "Average Order Value": "coalesce(sum(revenue) / nullif(count(DISTINCT order_id), 0), 0.0)",
+    "Average Order Value": f"coalesce({TOTAL} / nullif(count(DISTINCT order_id), 0), 0.0)",
 }
 ROWS_KPI = "CAST(count(*) AS DOUBLE)"
 
 
 def r2(value: str) -> str:
-    """Rounded to 2 decimals by way of 6 exact ones; adding 0.0 removes a negative zero."""
-    return f"(CAST(round(CAST({value} AS DECIMAL(38, 6)), 2) AS DOUBLE) + 0.0)"
+    """Rounded to 2 decimals, halves of the shortest decimal form away from zero; adding 0.0 removes a negative zero."""
+    return f"(CAST(round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38, 12)), 2) AS DOUBLE) + 0.0)"
 
 
-def plain_r2(value: str) -> str:
-    """Rounded to 2 decimals in one step."""
-    return f"(round({value}, 2) + 0.0)"
+def exact(total: str) -> str:
+    """The double nearest to a decimal."""
+    return f"CAST(CAST({total} AS VARCHAR) AS DOUBLE)"
 
 
 def listed(names: tuple[str, ...]) -> str:
@@ -162,7 +164,7 @@ def trend(rows: str, kpi_name: str, *by: str, value: str | None = None) -> str:
 
 
 def percent(previous: str, current: str) -> str:
-    return plain_r2(f"({current} - {previous}) / nullif({previous}, 0) * 100")
+    return r2(f"({current} - {previous}) / nullif({previous}, 0) * 100")
 
 
 def changes(trend_sql: str, *by: str) -> str:
@@ -170,7 +172,7 @@ def changes(trend_sql: str, *by: str) -> str:
     return f"""SELECT {listed(by)}period AS current_period,
         lag(period) OVER w AS previous_period,
         kpi_value AS current_value, lag(kpi_value) OVER w AS previous_value,
-        {plain_r2('kpi_value - lag(kpi_value) OVER w')} AS absolute_change,
+        {r2('kpi_value - lag(kpi_value) OVER w')} AS absolute_change,
         {percent('lag(kpi_value) OVER w', 'kpi_value')} AS percent_change
       FROM ({trend_sql}) t WINDOW w AS ({parts}ORDER BY period)"""
 
@@ -203,7 +205,7 @@ def compare(rows: str, kpi_name: str, previous: str, current: str, *by: str) ->
     """``previous`` and ``current`` are SQL expressions."""
     group = f"GROUP BY {', '.join(by)}" if by else ""
     return f"""SELECT {listed(by)}previous_period, current_period, previous_value, current_value,
-        {plain_r2('current_value - previous_value')} AS absolute_change,
+        {r2('current_value - previous_value')} AS absolute_change,
         {percent('previous_value', 'current_value')} AS percent_change,
         CASE WHEN current_value > previous_value THEN 'increased'
              WHEN current_value < previous_value THEN 'decreased'
@@ -256,7 +258,7 @@ def own_drivers(rows: str, kpi_name: str, segment: str, by: str) -> str:
 
 def own_compare(rows: str, kpi_name: str, by: str, back: int = 2) -> str:
     return f"""SELECT {by}, previous_period, current_period, previous_value, current_value,
-        {plain_r2('current_value - previous_value')} AS absolute_change,
+        {r2('current_value - previous_value')} AS absolute_change,
         {percent('previous_value', 'current_value')} AS percent_change,
         CASE WHEN current_value > previous_value THEN 'increased'
              WHEN current_value < previous_value THEN 'decreased'
@@ -271,9 +273,10 @@ def own_compare(rows: str, kpi_name: str, by: str, back: int = 2) -> str:
 def anomalies(trend_sql: str, *by: str, threshold: float = 1.5) -> str:
     parts = f"PARTITION BY {', '.join(by)}" if by else ""
     return f"""SELECT *, abs(z_score) >= {threshold} AND spread > 0 IS TRUE AS flagged FROM (
-        SELECT *, CASE WHEN spread > 0 THEN {plain_r2('(kpi_value - mean) / spread')}
+        SELECT *, CASE WHEN spread > 0 THEN {r2('(kpi_value - mean) / spread')}
           ELSE 0.0 END AS z_score
-        FROM (SELECT *, avg(kpi_value) OVER ({parts}) AS mean,
+        FROM (SELECT *, {exact(f"sum(CAST(kpi_value AS DECIMAL(38, 2))) OVER ({parts})")}
+                / count(*) OVER ({parts}) AS mean,
                 stddev_samp(kpi_value) OVER ({parts}) AS spread
               FROM ({trend_sql}) t) m) z"""
 
@@ -289,15 +292,19 @@ def anomaly_table(trend_sql: str, *by: str, threshold: float = 1.5) -> str:
 def fit(trend_sql: str, *by: str) -> str:
     parts = f"PARTITION BY {', '.join(by)} " if by else ""
     return f"""SELECT {listed(by)}regr_slope(kpi_value, x) AS slope,
-        regr_intercept(kpi_value, x) AS intercept, count(*) AS months, max(period) AS last_period
+        regr_intercept(kpi_value, x) AS intercept, count(*) AS months, max(period) AS last_period,
+        {exact('sum(CAST(kpi_value AS DECIMAL(38, 2)))')} AS y, {exact('sum(CAST(kpi_value AS DECIMAL(38, 2)) * x)')} AS xy
       FROM (SELECT *, row_number() OVER ({parts}ORDER BY period) - 1 AS x FROM ({trend_sql}) t) n
       GROUP BY ALL HAVING count(*) >= 2"""
 
 
 def forecast(trend_sql: str, steps: int, *by: str) -> str:
+    """The line's value as one fraction of the sums; n is the number of months."""
+    n = "CAST(months AS DOUBLE)"
+    line = f"(y * ({n} * {n} - 1) + 3 * (2 * xy - ({n} - 1) * y) * (2 * ({n} + step - 1) - ({n} - 1))) / ({n} * ({n} * {n} - 1))"
     return f"""SELECT {listed(by)}strftime(CAST(last_period || '-01' AS DATE)
           + to_months(CAST(step AS INTEGER)), '%Y-%m') AS period,
-        {r2('slope * (months + step - 1) + intercept')} AS forecast_value
+        {r2(line)} AS forecast_value
       FROM (SELECT *, unnest(range(1, {steps + 1})) AS step FROM ({fit(trend_sql, *by)}) f) s"""
 
 
