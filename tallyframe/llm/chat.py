@@ -34,7 +34,8 @@ KINDS = ("message", "delta", "edit", "regenerate")
 ASSISTANT = "assistant"
 
 _TURN = re.compile(r"(?<!\\)<turn ([^<>\n]*)>\n(.*?)\n(?<!\\)</turn>\n", re.S)
-_ESCAPED = re.compile(r"\\(\\*</?turn)")
+# Runs of backslashes are tried from their start only, so time grows with the text.
+_ESCAPED = re.compile(r"(?<!\\)\\(\\*+</?turn)")
 _ROLE = re.compile(r"\\(.)")
 _ROLE_MARKS = {"\\": "\\", "l": "<", "g": ">", "n": "\n"}
 
@@ -87,7 +88,7 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 
 def escaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(\\*</?turn)", r"\\$1")
+    return F.regexp_replace(text, r"(?<!\\)(\\*+</?turn)", r"\\$1")
 
 
 def escaped_role(role: Column) -> Column:
@@ -136,12 +137,12 @@ def read_digests(rendered: DataFrame) -> DataFrame:
     The messages stream by in order, so memory holds one message whatever the conversation's length.
     """
     schema = "conv_id {}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long".format(rendered.schema["conv_id"].dataType.simpleString())
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[rendered.schema["conv_id"].dataType.simpleString()]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
-        at, begun = None, False
+        at, begun, kind = None, False, None
         for batch in batches:
+            kind = batch.schema.field("conv_id").type
             for conv, formatted, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end"))):
                 if not begun or conv != at:
                     if begun:
@@ -157,13 +158,13 @@ def read_digests(rendered: DataFrame) -> DataFrame:
                     chars += len(text)
                 size += len(formatted)
             if len(done) > 1000:
-                yield made(done)
+                yield made(done, kind)
                 done = []
         if begun:
             done.append((at, turns, said.hexdigest(), chars, learned.hexdigest(), size))
-        yield made(done)
+            yield made(done, kind)
 
-    def made(rows: list[tuple]) -> pa.RecordBatch:
+    def made(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
         kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         columns = list(zip(*rows)) if rows else [[]] * 6

@@ -7,7 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_tables import oracle_rows, sorted_rows
 
-from tallyframe.llm.chat import chat_digests, conversation_texts, fold_events, read_back, render
+from pyspark.sql import functions as F
+
+from tallyframe.llm.chat import chat_digests, conversation_events, conversation_texts, escaped, fold_events, read_back, read_digests, render, unescaped
 from tallyframe.llm.oracles import LLM_ORACLES
 
 EVENTS = "conv_id long, seq long, turn long, kind string, role string, text string"
@@ -86,3 +88,21 @@ def test_a_long_conversation(spark):
     found = chat_digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("conv_id = 1").first()
     said = "".join(f"{r}\n{t}\n" for _, _, r, t in rows)
     assert (found["n_turns"], found["turns_sha256"]) == (3000, hashlib.sha256(said.encode()).hexdigest())
+
+
+def test_runs_of_backslashes_take_linear_time(spark):
+    import time
+
+    text = "\\" * 300_000 + "x" + "\\" * 5 + "<turn>" + "\\" * 300_000 + "</turn>\\"
+    begun = time.process_time()
+    assert unescaped(spark.createDataFrame([(text,)], "t string").select(escaped(F.col("t"))).first()[0]) == text
+    assert time.process_time() - begun < 5
+
+
+def test_conversation_ids_of_any_type(spark):
+    rows = [("1.50", 0, "user", "Hi"), ("2.25", 0, "assistant", "Ho"), (None, 0, "user", "")]
+    table = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    for kind in ("decimal(10,2)", "double", "string", "binary"):
+        typed = table.withColumn("conv_id", F.col("conv_id").cast(kind))
+        found = read_digests(render(fold_events(conversation_events(typed))))
+        assert dict(found.dtypes)["conv_id"] == kind and sorted(r["loss_chars"] for r in found.collect()) == [0, 0, 2]
