@@ -166,14 +166,14 @@ def judged(quality: DataFrame, fences: DataFrame, lang: str = "lang", source: st
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns.
 
-    Texts are measured twice rather than shuffled: once for the thresholds, once for the verdict.
+    Texts are measured once: the rows are written with their measures, which give the thresholds and then the
+    verdict. Nothing but the sketches is shuffled.
     """
     # In a struct, columns of the caller can't clash with those made here.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     inputs = [F.col(f"_row.`{c}`").alias(name) for c, name in ((text, "text"), (lang, "lang"), (source, "source"))]
-    quality = written(measured(rows.select(*inputs)).drop("text"), "quality")
-    fences = written(thresholds(quality), "fences")
-    found = judged(measured(rows.select("_row", *inputs)), fences)
+    quality = written(measured(rows.select("_row", *inputs)).drop("text"), "quality")
+    found = judged(quality, written(thresholds(quality), "fences"))
     return found.where("_kept").select("_row.*")
 
 
