@@ -73,7 +73,7 @@ def test_queries_equal_their_reference_sql(spark, name):
     import duckdb
 
     connection = duckdb.connect()
-    for table in ("documents", "conversations", "embeddings", "pages"):
+    for table in ("documents", "conversations", "embeddings", "pages", "benchmark"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     assert sorted_rows(LLM_QUERIES[name](spark, SF)) == sorted_rows(connection.execute(LLM_ORACLES[name]).to_arrow_table())
 
@@ -81,4 +81,4 @@ def test_queries_equal_their_reference_sql(spark, name):
 def test_registered():
     entry = importlib.import_module("__spark_entry__")
     assert set(LLM_QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 14))
