@@ -9,8 +9,9 @@ Every row's entries are then ordered by (rows of the column, column). Two sets o
 Jaccard similarity reaches the threshold t overlap in at least t * max(x, y) entries, so they share
 one of the first x - ceil(t * x) + 1 entries of either row. Rows that have that many entries of their
 own are done. For the others the product runs over these rare columns, and pairs below the bounds
-that follow from sizes and positions are discarded; overlaps of the pairs that stay are accumulated
-over all shared columns, which gives the exact similarity.
+that follow from sizes and positions are discarded; the overlap of a pair that stays is counted from the
+entries of its two rows, which gives the exact similarity (entries are 48-bit hashes of shingles, so two
+shingles of a text of a million words agree with a chance of about 0.2 %).
 
 Columns with many similar rows would give the square of their number in pairs. Instead, one pivot
 row of each column is multiplied with all its rows, links found are contracted, and columns whose
