@@ -71,7 +71,8 @@ def run_sql(
         raise ValueError("only SELECT queries are allowed")
     if not query.strip():
         return spark.createDataFrame([], T.StructType([]))
-    # The text is bound to the view while it is analyzed, so threads take turns until then.
+    # The text is bound to the view while it is analyzed, so threads take turns until then. Other threads that
+    # call spark.sql themselves meanwhile see the quoting of this text; give them a session of their own.
     with BINDING:
         df.createOrReplaceTempView(TABLE_NAME)
         spark.sql(STRFTIME)

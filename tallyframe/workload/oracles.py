@@ -1,7 +1,9 @@
 """Reference SQL (DuckDB) for the registered queries.
 
-Written from the definitions of the analyses, independently of the Spark code;
-only the texts in ``SURFACE_SQL`` are run as they are by both engines.
+Written from the definitions of the analyses, independently of the Spark code, but for two things:
+the texts in ``SURFACE_SQL`` are run as they are by both engines, and the word lists of the question tags
+are shared (``tag_phrases`` states its tags one by one). Estimates of distinct values are compared with exact
+counts by their queries; the SQL only expects them to be near.
 """
 
 from __future__ import annotations
