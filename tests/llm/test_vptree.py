@@ -70,3 +70,38 @@ def test_repeated_ids_and_empty_table(spark):
     got = found(nearest_neighbours(table(spark, [[1, 0], [0, 1], [1, 1], [1, 1]], [0, 0, 3, 3])))
     assert got == {0: [3, 3]}
     assert nearest_neighbours(table(spark, [])).count() == 0
+
+
+def test_many_copies_of_one_row(spark):
+    """Copies are combined before they are dealt, and are rows again at the end."""
+    vectors = [[3, 4]] * 30 + [[1, 0], [0, 1]]
+    got = found(nearest_neighbours(table(spark, vectors, [7] * 30 + [0, 20])))
+    assert got == {0: [7] * 20, 20: [7] * 20}
+
+
+def test_regions_bound_distances_and_prune_clusters():
+    """No region is left out that holds something nearer; clustered vectors leave out most."""
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(40, 8))
+    points = centres[r.integers(0, 40, 4000)] + 0.02 * r.normal(size=(4000, 8))
+    largest = float(np.sqrt((points * points).sum(1).max()))
+    regions = vptree.Regions(points[:1500], largest, 40)
+    of = regions.of(points)
+    profiles = {int(x): regions.profile(int(x), points[of == x]) for x in np.unique(of)}
+    asked = points[:200]
+    gaps = regions.gaps(asked, profiles)
+    visited = 0
+    for region in profiles:
+        scores = asked @ points[of == region].T
+        distance = np.sqrt(np.maximum((asked * asked).sum(1)[:, None] + largest**2 - 2 * scores, 0)).min(1)
+        assert (gaps[region] <= distance + 1e-9).all()
+    kth = np.sort(asked @ points.T, axis=1)[:, -20]
+    limit = np.sqrt((asked * asked).sum(1) + largest**2 - 2 * kth)
+    visited = np.mean([gaps[region] <= limit for region in profiles])
+    assert visited < 0.5
+
+
+def test_parts_hold_a_bounded_number_of_queries(monkeypatch):
+    monkeypatch.setattr(vptree, "QUERY_PART", 100)
+    parts = vptree.query_parts({(3, 0): 60, (3, 1): 40, (3, 2): 1, (3, 3): 250, (3, 4): 5})
+    assert parts == {(3, 0): (0, 1), (3, 1): (0, 1), (3, 2): (1, 1), (3, 3): (2, 3), (3, 4): (5, 1)}
