@@ -93,27 +93,47 @@ class VantagePointTree:
         """Query number, row id, score and copies of each query's k best of at least the score ``least``, ties to the smaller id."""
         found = _Best(self, query_ids, queries, least, k)
         if self.nodes and len(queries):
-            self._visit(0, np.arange(len(queries)), found, factor)
+            self._visit(found, self._descend(found), factor)
         return found.rows()
 
-    def _visit(self, number: int, asking: np.ndarray, found: _Best, factor: float) -> None:
-        node = self.nodes[number]
-        if node[0] < 0:
-            found.offer(asking, node[1])
-            return
-        vantage, radius, near, far = node
-        found.offer(asking, np.array([vantage]))
-        distance = np.sqrt(np.maximum(found.reach[asking] - 2 * found.queries[asking] @ self.vectors[vantage], 0))
-        first_near = distance <= radius
-        gap = np.abs(distance - radius) * factor - 1e-9 * (1 + radius)
-        for side, chosen in ((near, first_near), (far, ~first_near)):
-            if chosen.any():
-                self._visit(side, asking[chosen], found, factor)
-        for side, chosen in ((far, first_near), (near, ~first_near)):
-            chosen = chosen & (gap <= found.limit(asking))
-            if chosen.any():
-                self._visit(side, asking[chosen], found, factor)
+    def _apart(self, found: _Best, asking: np.ndarray, vantage: int) -> np.ndarray:
+        return np.sqrt(np.maximum(found.reach[asking] - 2 * found.queries[asking] @ self.vectors[vantage], 0))
 
+    def _descend(self, found: _Best) -> np.ndarray:
+        """Puts each query to the leaf on its own side of every vantage point; returns the leaves."""
+        leaves = np.empty(len(found.queries), np.int64)
+        waiting = [(0, np.arange(len(leaves)))]
+        while waiting:
+            number, asking = waiting.pop()
+            node = self.nodes[number]
+            if node[0] < 0:
+                leaves[asking] = number
+                found.offer(asking, node[1])
+                continue
+            vantage, radius, near, far = node
+            inside = self._apart(found, asking, vantage) <= radius
+            waiting += [(side, asking[chosen]) for side, chosen in ((far, ~inside), (near, inside)) if chosen.any()]
+        return leaves
+
+    def _visit(self, found: _Best, leaves: np.ndarray, factor: float) -> None:
+        """Puts all queries together to each node that may hold something nearer, but not again to ``leaves``."""
+        waiting = [(0, np.arange(len(leaves)), np.zeros(len(leaves)))]
+        while waiting:
+            number, asking, gap = waiting.pop()
+            open_ = gap * factor <= found.limit(asking)
+            asking, gap = asking[open_], gap[open_]
+            if not len(asking):
+                continue
+            node = self.nodes[number]
+            if node[0] < 0:
+                found.offer(asking[leaves[asking] != number], node[1])
+                continue
+            vantage, radius, near, far = node
+            found.offer(asking, np.array([vantage]))
+            beyond = self._apart(found, asking, vantage) - radius
+            slack = 1e-9 * (1 + radius)
+            waiting.append((far, asking, np.maximum(gap, -beyond - slack)))
+            waiting.append((near, asking, np.maximum(gap, beyond - slack)))
 
 class _Best:
     """The k best rows of each query so far."""
@@ -131,6 +151,8 @@ class _Best:
         return np.sqrt(np.maximum(self.reach[asking] - 2 * self.least[asking], 0))
 
     def offer(self, asking: np.ndarray, points: np.ndarray) -> None:
+        if not len(asking):
+            return
         tree = self.tree
         near = self.queries[asking] @ tree.vectors[points].T
         slack = 1e-9 * (1 + self.reach[asking])
