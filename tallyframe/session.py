@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and benchmarks on one machine.
 
-    On a cluster the session comes from ``spark-submit``; nothing in this
-    package needs settings beyond the AQE defaults.
+    On a cluster the session comes from ``spark-submit`` and names a shared
+    folder in ``spark.checkpoint.dir``; ``split_hot_keys`` makes the other setting.
     """
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
