@@ -107,6 +107,42 @@ def test_recall_on_a_corpus_full_of_other_keys(spark):
         assert len(missed) <= 0.05 * 60, (name, missed)
 
 
+def test_every_labelled_view_of_the_corpus_is_fitted(spark):
+    """More texts, findings and views of one run than any bound that a sample had."""
+    run = "usr/share/doc/" * 40 + "readme7.txt"
+    docs = documents(spark, [f"token=abcdef{i:06} x" for i in range(5000)] * 2 + [run, None, ""])
+    found = ss.corpus_findings(docs)
+    assert {r["label"]: r["n"] for r in found.groupBy("label").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()} == {1: 5000, 0: len({(a, ss.codes(run, a, b))[1] for a, b in ss.views(0, len(run))})}
+    assert 0.2 < found.where("held and label = 1").agg({"n": "sum"}).first()[0] / 5000 < 0.3
+
+
+def test_sums_over_the_corpus_equal_plain_ones(spark):
+    """However its rows are dealt, all views weigh in."""
+    texts = [f"{w} token=abcdef{i}0123 AKIA{i:05}MD62HKU6VBLCC see usr/lib{i % 7}/{w}/readme{i}.txt" for i in range(300) for w in some_words(i, 1)]
+    docs = documents(spark, texts)
+    views = ss.corpus_findings(docs)
+    rows, labels, _ = ss.generated_formats()
+    network = ss.train(ss.views_of(rows), np.array(labels), np.arange(len(rows)) % 4 == 0)
+    at = np.append(network.weights, network.offset)
+    sums = lambda rows, labels, counts: ss.logistic_sums(network.features(rows), labels, counts, at)
+    every = views.collect()
+    plain = sums(ss.views_of([bytes(r["codes"]) for r in every]), np.array([r["label"] for r in every], float), np.array([r["n"] for r in every], float))
+    for parts in (1, 7):
+        assert np.allclose(ss.corpus_sums(views.repartition(parts), sums), plain, rtol=1e-9, atol=1e-9)
+    one, other = (ss.fitted(d) for d in (docs, docs.repartition(5)))
+    assert np.allclose(one.weights, other.weights, atol=1e-6) and abs(one.threshold - other.threshold) < 1e-6
+
+
+def test_newton_finds_the_least_loss():
+    r = np.random.default_rng(2)
+    x = np.column_stack([r.normal(size=(400, 3)), np.ones(400)])
+    y = (x @ [1.0, -2.0, 0.5, 0.3] + r.normal(size=400) > 0).astype(float)
+    start = np.array([30.0, 30.0, -30.0, 0.0])
+    found = ss.newton(lambda at: ss.logistic_sums(x, y, np.full(400, 1 / 400), at), start, 1e-3)
+    slope = ss.logistic_sums(x, y, np.full(400, 1 / 400), found)[1:5] + 1e-3 * (found - start)
+    assert np.abs(slope).max() < 1e-4
+
+
 def test_harmless_candidates():
     assert all(map(ss.harmless, ["usr/lib/Readme7.txt", "anna.12_mail3.example.com", "2024-10-11", "MAX_SIZE=20"]))
     assert not any(map(ss.harmless, [MIXED, f"a/ghp_{MIXED[:36]}", "sk_live_" + MIXED[:24], "0123456789abcdef0123", "x.eyJ0eXAiOiJK.y"]))
